@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from tessera.llm import rans
+from tessera.llm import mixing, packing, rans
 
 QUERIES = {
+    "op6_best_fit_packing": packing.op6_best_fit_packing,
+    "op10_mix_sources": mixing.op10_mix_sources,
     "op9_token_archive": rans.op9_token_archive,
 }
 
