@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from tessera.llm import mixing, packing, rans
+from tessera.llm import mixing, packing, rans, warc
 
 QUERIES = {
+    "op4_warc_archive": warc.op4_warc_archive,
     "op6_best_fit_packing": packing.op6_best_fit_packing,
     "op10_mix_sources": mixing.op10_mix_sources,
     "op9_token_archive": rans.op9_token_archive,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op4_warc_archive": warc.SQL,
+}
