@@ -14,8 +14,11 @@ from tokenizers import Tokenizer
 PLAIN = regex.compile("[\\x00-\\x1b\\x20-\\u02ff\\u2010-\\u2027\\u20ac]*")
 #: Fixed value: the tokenizer's own word pattern.
 WORD = regex.compile("'s|'t|'re|'ve|'m|'ll|'d|\\p{L}+|\\p{N}|[^\\s\\p{L}\\p{N}]+")
-CACHE_ENTRIES = 700_000
+#: Entries of a generation of a cache; the one before is kept too, and what is used again moves on.
+CACHE_ENTRIES = 300_000
 JOINED = 2_000
+#: Characters that are split at once.
+SPLIT_CHARS = 1_000_000
 
 
 class TextEncoder:
@@ -35,8 +38,7 @@ class TextEncoder:
         spec = self.tokenizer.to_str()
         self.splits = '"end_of_word_suffix":"</w>"' in spec and '"Lowercase"' in spec and '"type":"NFC"' in spec
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.words, self.pieces = Kept(), Kept()
 
     def whole(self, text: str) -> bytes:
         ids = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
@@ -46,19 +48,26 @@ class TextEncoder:
         return self.splits and PLAIN.fullmatch(text) is not None and not any(s in text for s in self.specials)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        fast = [self.plain(t) for t in texts]
-        split = [t.split(" ") if f else None for t, f in zip(texts, fast)]
-        if len(self.words) > CACHE_ENTRIES:
-            self.words.clear()
-        if len(self.pieces) > CACHE_ENTRIES:
-            self.pieces.clear()
-        self._learn({w for words in split if words for w in words} - self.words.keys())
-        get = self.words.__getitem__
+        out: list[bytes] = []
+        group, chars = [], 0
+        for text in texts:
+            group.append(text)
+            chars += len(text)
+            if chars >= SPLIT_CHARS:
+                out += self._encode(group)
+                group, chars = [], 0
+        return out + self._encode(group)
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        split = [t.split(" ") if self.plain(t) else None for t in texts]
+        self._learn(self.words.missing({w for words in split if words for w in words}))
+        get = self.words.new.__getitem__
         return [b"".join(map(get, words)) if words is not None else self.whole(t) for t, words in zip(texts, split)]
 
     def _learn(self, words: set[str]) -> None:
         found = [(w, WORD.findall(w.lower())) for w in words]
-        new = list({p for _, parts in found for p in parts} - self.pieces.keys())
+        new = list(self.pieces.missing({p for _, parts in found for p in parts}))
+        pieces = self.pieces.new
         groups = [new[i : i + JOINED] for i in range(0, len(new), JOINED)]
         for group, encoding in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
             ids = self.np.array(encoding.ids, self.dtype)
@@ -66,12 +75,29 @@ class TextEncoder:
             if len(cuts) == len(group) and (not len(ids) or cuts[-1] == len(ids)):
                 raw, width, start = ids.tobytes(), ids.itemsize, 0
                 for piece, end in zip(group, (cuts * width).tolist()):
-                    self.pieces[piece] = raw[start:end]
+                    pieces[piece] = raw[start:end]
                     start = end
             else:
-                self.pieces.update((p, self.whole(p)) for p in group)
-        get = self.pieces.__getitem__
-        self.words.update((w, b"".join(map(get, parts))) for w, parts in found)
+                pieces.update((p, self.whole(p)) for p in group)
+        get = pieces.__getitem__
+        self.words.new.update((w, b"".join(map(get, parts))) for w, parts in found)
+
+
+class Kept:
+    """A cache of two generations."""
+
+    def __init__(self) -> None:
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def missing(self, keys: set[str]) -> set[str]:
+        """The keys that neither generation has; afterwards `new` has all others."""
+        if len(self.new) > CACHE_ENTRIES:
+            self.old, self.new = self.new, {}
+        keys -= self.new.keys()
+        again = keys & self.old.keys()
+        self.new.update((k, self.old.pop(k)) for k in again)
+        return keys - again
 
 
 _encoders: dict[tuple[str, str], TextEncoder] = {}
