@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tessera.llm import mixing, packing, rans, warc
+from tessera.llm import mixing, packing, quality, rans, warc
 
 QUERIES = {
+    "op5_quality_rules": quality.op5_quality_rules,
     "op4_warc_archive": warc.op4_warc_archive,
     "op6_best_fit_packing": packing.op6_best_fit_packing,
     "op10_mix_sources": mixing.op10_mix_sources,
@@ -12,5 +13,6 @@ QUERIES = {
 }
 
 SQL: dict[str, str] = {
+    "op5_quality_rules": quality.SQL,
     "op4_warc_archive": warc.SQL,
 }
