@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from tessera.llm import mixing, packing, quality, rans, warc
+from tessera.llm import language, mixing, packing, quality, rans, unigram, warc
 
 QUERIES = {
+    "op1_language_id": language.op1_language_id,
+    "op7_token_counts": unigram.op7_token_counts,
     "op5_quality_rules": quality.op5_quality_rules,
     "op4_warc_archive": warc.op4_warc_archive,
     "op6_best_fit_packing": packing.op6_best_fit_packing,
