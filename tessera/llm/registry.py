@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tessera.llm import language, mixing, packing, quality, rans, unigram, warc
+from tessera.llm import embeddings, language, mixing, packing, quality, rans, unigram, warc
 
 QUERIES = {
+    "op2_embedding_near_dedup": embeddings.op2_embedding_near_dedup,
     "op1_language_id": language.op1_language_id,
     "op7_token_counts": unigram.op7_token_counts,
     "op5_quality_rules": quality.op5_quality_rules,
@@ -15,6 +16,7 @@ QUERIES = {
 }
 
 SQL: dict[str, str] = {
+    "op2_embedding_near_dedup": embeddings.SQL,
     "op5_quality_rules": quality.SQL,
     "op4_warc_archive": warc.SQL,
 }
