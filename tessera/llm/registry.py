@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tessera.llm import embeddings, language, mixing, packing, quality, rans, unigram, warc
+from tessera.llm import embeddings, language, mixing, packing, quality, rans, repeats, unigram, warc
 
 QUERIES = {
+    "op3_suffix_array_dedup": repeats.op3_suffix_array_dedup,
     "op2_embedding_near_dedup": embeddings.op2_embedding_near_dedup,
     "op1_language_id": language.op1_language_id,
     "op7_token_counts": unigram.op7_token_counts,
