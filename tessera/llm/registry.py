@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tessera.llm import embeddings, language, mixing, packing, quality, rans, repeats, unigram, warc
+from tessera.llm import embeddings, jaccard, language, mixing, packing, quality, rans, repeats, unigram, warc
 
 QUERIES = {
+    "op8_ngram_jaccard_join": jaccard.op8_ngram_jaccard_join,
     "op3_suffix_array_dedup": repeats.op3_suffix_array_dedup,
     "op2_embedding_near_dedup": embeddings.op2_embedding_near_dedup,
     "op1_language_id": language.op1_language_id,
@@ -17,6 +18,7 @@ QUERIES = {
 }
 
 SQL: dict[str, str] = {
+    "op8_ngram_jaccard_join": jaccard.SQL,
     "op2_embedding_near_dedup": embeddings.SQL,
     "op5_quality_rules": quality.SQL,
     "op4_warc_archive": warc.SQL,
