@@ -123,6 +123,7 @@ def judged(docs: DataFrame, max_share: float = MAX_SHARE, min_docs: int = MIN_DO
 def clean(docs: DataFrame) -> DataFrame:
     """The documents that are kept, with their common lines removed from the text (and n_chars set anew); the columns of docs."""
     verdicts, common = judged(docs)
+    names = docs.columns
     by_host = common.groupBy("_host").agg(F.collect_set("_h").alias("_common"))  # at most 1 / MAX_SHARE lines for each of a document's own
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -133,9 +134,9 @@ def clean(docs: DataFrame) -> DataFrame:
                 gone = known.setdefault(tuple(lines), set(lines))
                 text = "\n".join(x for x in text.split("\n") if not x.strip(" \t\n\v\f\r") or line_hash(x) not in gone)
             out.append(text)
-        columns = {n: c for n, c in zip(batch.schema.names, batch.columns) if n in docs.columns}
+        columns = {n: c for n, c in zip(batch.schema.names, batch.columns) if n in names}
         columns["text"] = pa.array(out, pa.string())
-        return pa.record_batch([columns[n] for n in docs.columns], names=docs.columns)
+        return pa.record_batch([columns[n] for n in names], names=names)
 
     kept = verdicts.filter("kept").select(F.col("_doc").alias("_kept"), "_host").distinct()
     hosted = docs.withColumn("_host", host_key(docs))
