@@ -38,13 +38,13 @@ def pieces(docs: DataFrame, path: str, window: int, end_id: int) -> DataFrame:
     """The documents' ids and end id, cut into pieces of at most `window` ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        worker, part, seen = encoder(path, "<u4"), TaskContext.get().partitionId(), np.zeros(window + 1, np.int64)
+        worker, part, seen = encoder(path), TaskContext.get().partitionId(), np.zeros(window + 1, np.int64)
         end, width = np.array([end_id], "<u4").tobytes(), 4 * window
         for batch in batches:
             if not batch.num_rows:
                 continue
             rows: list[tuple] = []
-            for doc, ids in zip(batch.column(0).to_pylist(), worker.encode(text_column(batch).to_pylist())):
+            for doc, ids in zip(batch.column(0).to_pylist(), worker.encode_column(text_column(batch))):
                 ids += end
                 for k in range(-(-len(ids) // width)):
                     cut = ids[k * width : (k + 1) * width]

@@ -140,12 +140,12 @@ def tokenised(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     """Range-partitioned by doc_id and ordered within: part, doc_id, local_start, n_tokens, ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        worker, part, start = encoder(path, "<u4"), TaskContext.get().partitionId(), 0
+        worker, part, start = encoder(path), TaskContext.get().partitionId(), 0
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             if not batch.num_rows:
                 continue
-            ids = [x + end for x in worker.encode(text_column(batch).to_pylist())]
+            ids = [x + end for x in worker.encode_column(text_column(batch))]
             n = np.array([len(x) // 4 for x in ids], np.int64)
             before = start + np.cumsum(n) - n
             start += int(n.sum())
@@ -156,7 +156,7 @@ def tokenised(docs: DataFrame, path: str, end_id: int) -> DataFrame:
 
 
 def id_type(path: str) -> str:
-    return "<u2" if encoder(path, "<u4").size <= 65536 else "<u4"
+    return "<u2" if encoder(path).size <= 65536 else "<u4"
 
 
 def counted(tokens: DataFrame, size: int, kind: str) -> np.ndarray:
@@ -181,7 +181,7 @@ def counted(tokens: DataFrame, size: int, kind: str) -> np.ndarray:
 def write_archive(docs: DataFrame, path: str | None = None, end_id: int = 1) -> tuple[DataFrame, np.ndarray]:
     """Writes the ids of all documents in ascending doc_id order; gives the manifest (a written table) and the shared frequencies."""
     spark, path = docs.sparkSession, path or default_path()
-    tokens, kind, size = written(tokenised(docs, path, end_id), "ids"), id_type(path), encoder(path, "<u4").size
+    tokens, kind, size = written(tokenised(docs, path, end_id), "ids"), id_type(path), encoder(path).size
     freq = table(counted(tokens, size, kind))
     parts = tokens.groupBy("part").agg(F.sum("n_tokens").alias("n")).orderBy("part").collect()  # one row a partition
     before = dict(zip([p.part for p in parts], (np.cumsum([p.n for p in parts]) - [p.n for p in parts]).tolist())) if parts else {}

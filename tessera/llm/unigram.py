@@ -21,12 +21,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.shared import text_column
-from tessera.llm.tokens import Kept
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
 #: Characters that are split at once.
 SPLIT_CHARS = 1_000_000
+#: Words of a generation of the cache; the generation before is kept too.
+CACHE_WORDS = 300_000
+
+
+class Kept:
+    """A cache of two generations."""
+
+    def __init__(self) -> None:
+        self.new: dict[str, tuple] = {}
+        self.old: dict[str, tuple] = {}
+
+    def missing(self, keys: set[str]) -> set[str]:
+        """The keys that neither generation has; afterwards `new` has all others."""
+        if len(self.new) > CACHE_WORDS:
+            self.old, self.new = self.new, {}
+        keys -= self.new.keys()
+        again = keys & self.old.keys()
+        self.new.update((k, self.old.pop(k)) for k in again)
+        return keys - again
 
 
 class Counter:
