@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import written
+from tessera.llm.shared import sheltered, written
 
 WORD = "[^\\x20\\x09-\\x0D]+"
 MAX_RATE = 3
@@ -58,7 +58,7 @@ def newton_step(counts: DataFrame, state: DataFrame) -> DataFrame:
     sums = counts.join(state, "_key").groupBy("_key").agg(*(F.first(c).alias(c) for c in ("_source_size", "_mean", "_target", "_full", "_tilt", "_lo", "_hi")), F.sum(words * r).alias("_words"), F.sum(moment).alias("_slope"))
     low = F.when(F.col("_words") < F.col("_target"), F.col("_tilt")).otherwise(F.col("_lo"))
     high = F.when(F.col("_words") > F.col("_target"), F.col("_tilt")).otherwise(F.col("_hi"))
-    bracket = sums.withColumns({"_lo": low, "_hi": high, "_next": F.col("_tilt") - F.log(F.col("_words") / F.col("_target")) * F.col("_words") / F.col("_slope")})
+    bracket = sums.withColumns({"_lo": low, "_hi": high, "_next": F.col("_tilt") - F.log(F.try_divide("_words", "_target")) * F.try_divide("_words", "_slope")})
     inside = F.col("_next").isNotNull() & ~F.isnan("_next") & (F.col("_next") > F.col("_lo")) & (F.col("_next") < F.col("_hi"))
     middle = (F.col("_lo") + F.col("_hi")) / 2
     settled = F.col("_words") == F.col("_target")
@@ -117,6 +117,13 @@ def mix(docs: DataFrame, columns: tuple[str, ...] | None = None) -> DataFrame:
     return marked.select(*kept, "_size", "_source_size", "_target", "_rate", F.when(F.col("_size") == 0, 1).otherwise(copies).cast("long").alias("_copies"))
 
 
+def copied(docs: DataFrame) -> DataFrame:
+    """Each document as often as its copies say; the columns of docs."""
+    rows, restored = sheltered(docs, "doc_id", "text", "source")
+    mixed = mix(rows).filter("_copies > 0")
+    return restored(mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))))
+
+
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix(spark.read.parquet(f"{sf_dir}/documents.parquet"), ("doc_id", "source"))
     return mixed.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_copies") * F.col("_size")).alias("taken"), F.col("_copies").alias("copies"), F.round("_rate", 6).alias("rate"))

@@ -16,14 +16,16 @@ no rows. The operator's own columns are prefixed, so names can't clash.
 from __future__ import annotations
 
 import hashlib
+import zlib
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tessera.llm.shared import map_batches, slices, text_bytes, text_column, written
+from tessera.llm.shared import map_batches, sheltered, slices, text_bytes, text_column, written
 from tessera.llm.wordhash import BLANK, SLICE, windows, word_hashes, word_spans
 
 MIN_WORDS = 50
@@ -31,6 +33,7 @@ MAX_REPEATED = 0.5
 MAX_SHARE = 0.1
 MIN_DOCS = 20
 MIN_LEFT = 0.5
+NULL_ID = -(1 << 63)
 SYMBOL = np.zeros(256, bool)
 SYMBOL[list(b"[#*$%&|<>]"[1:-1])] = True
 DIGITS = regex.compile("[0-9]+")
@@ -95,9 +98,9 @@ def measured(docs: DataFrame, min_words: int = MIN_WORDS, max_repeated: float =
         failed = (base["n_words"] < min_words) | (base["n_repeat_words"] > max_repeated * base["n_words"])
         lines = [[{"h": line_hash(x), "n": len(BLANKS.sub(" ", x).strip(" ").split(" "))} for x in t.split("\n") if x.strip(" \t\n\v\f\r")] for t in texts]
         ids = [hashlib.blake2b(f"{d} {h} {t}".encode(), digest_size=16).digest() for d, h, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts)]
-        return pa.record_batch({"_doc": batch.column(0), "_host": batch.column(1), "_id": pa.array(ids, pa.binary())} | {k: pa.array(v) for k, v in base.items()} | {"base_failed": pa.array(failed), "_lines": pa.array(lines, pa.list_(pa.struct([("h", pa.int64()), ("n", pa.int64())])))})
+        return pa.record_batch({"_doc": batch.column(0), "_host": batch.column(1), "_mark": pa.array([zlib.crc32(t.encode()) for t in texts], pa.int64()), "_id": pa.array(ids, pa.binary())} | {k: pa.array(v) for k, v in base.items()} | {"base_failed": pa.array(failed), "_lines": pa.array(lines, pa.list_(pa.struct([("h", pa.int64()), ("n", pa.int64())])))})
 
-    return map_batches(docs.select(docs["doc_id"].cast("long").alias("_doc"), host_key(docs).alias("_host"), "text"), step, f"_doc long, _host string, _id binary, {BASE}, _lines array<struct<h: long, n: long>>")
+    return map_batches(docs.select(docs["doc_id"].cast("long").alias("_doc"), host_key(docs).alias("_host"), "text"), step, f"_doc long, _host string, _mark long, _id binary, {BASE}, _lines array<struct<h: long, n: long>>")
 
 
 def common_lines(rows: DataFrame, max_share: float = MAX_SHARE, min_docs: int = MIN_DOCS) -> DataFrame:
@@ -123,27 +126,29 @@ def judged(docs: DataFrame, max_share: float = MAX_SHARE, min_docs: int = MIN_DO
 def clean(docs: DataFrame) -> DataFrame:
     """The documents that are kept, with their common lines removed from the text (and n_chars set anew); the columns of docs."""
     verdicts, common = judged(docs)
-    names = docs.columns
-    by_host = common.groupBy("_host").agg(F.collect_set("_h").alias("_common"))  # at most 1 / MAX_SHARE lines for each of a document's own
+    rows, restored = sheltered(docs, "doc_id", "text", "source")
+    hosted = rows.withColumns({"_host": host_key(rows), "_key": F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))})
+    kept = verdicts.filter("kept").select(F.coalesce("_doc", F.lit(NULL_ID)).alias("_key"), "_host", "_mark").distinct()
+    by_host = common.groupBy("_host").agg(F.collect_set("_h").alias("_common"))  # a host has few: each is on a share of its documents
+    marked = hosted.withColumn("_mark", F.crc32(F.coalesce("text", F.lit("")).cast("binary")))
+    wide = marked.join(kept, ["_key", "_host", "_mark"], "left_semi").join(by_host, "_host", "left").drop("_key", "_host", "_mark")
+    schema = T.StructType([f for f in wide.schema if f.name != "_common"])
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts, drop = batch.column(batch.schema.get_field_index("text")).to_pylist(), batch.column(batch.schema.get_field_index("_common")).to_pylist()
+        names = [n for n in batch.schema.names if n != "_common"]
+        place = names.index("text")
         out, known = [], {}
-        for text, lines in zip(texts, drop):
-            if lines:
+        for text, lines in zip(batch.column(batch.schema.get_field_index("text")).to_pylist(), batch.column(batch.schema.get_field_index("_common")).to_pylist()):
+            if lines and text:
                 gone = known.setdefault(tuple(lines), set(lines))
                 text = "\n".join(x for x in text.split("\n") if not x.strip(" \t\n\v\f\r") or line_hash(x) not in gone)
             out.append(text)
-        columns = {n: c for n, c in zip(batch.schema.names, batch.columns) if n in names}
-        columns["text"] = pa.array(out, pa.string())
-        return pa.record_batch([columns[n] for n in names], names=names)
-
-    kept = verdicts.filter("kept").select(F.col("_doc").alias("_kept"), "_host").distinct()
-    hosted = docs.withColumn("_host", host_key(docs))
-    rows = hosted.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_kept")) & (hosted["_host"] == kept["_host"]), "left_semi")
-    rows = rows.join(by_host, "_host", "left").select(*docs.columns, "_common")
-    out = map_batches(rows, step, docs.schema)
-    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
+        columns = [batch.column(batch.schema.get_field_index(n)) for n in names]
+        columns[place] = pa.array(out, pa.string())
+        return pa.record_batch(columns, names=names)
+
+    out = restored(map_batches(wide, step, schema))
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,37 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
-UNSET_DIR = "file:///tmp/checkpoints"
+from tessera.storage import fresh_dir, shared_dir, written
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The URI of the cluster's shared folder (spark.checkpoint.dir); a local one is set where it is unset, as in tests."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = UNSET_DIR
-        spark.conf.set("spark.checkpoint.dir", found)
-    if "://" not in found and not found.startswith("file:"):
-        found = f"file://{found}"
-    return found.rstrip("/")
-
-
-def fresh_dir(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/tessera-{label}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Writes df as Parquet into the shared folder and reads it back: cuts lineage, and any executor can read it again."""
-    spark = df.sparkSession
-    path = fresh_dir(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["fresh_dir", "few_rows", "map_batches", "open_fs", "shared_dir", "sheltered", "slices", "text_bytes", "text_column", "written"]
 
 
 def open_fs(uri: str):
@@ -68,6 +46,20 @@ def slices(offsets: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         row = end
 
 
+def sheltered(df: DataFrame, *used: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """df with all columns but the used ones under names that clash with none, and a function that gives a frame df's columns again."""
+    rest = {c: f"__column_{i}" for i, c in enumerate(df.columns) if c not in used}
+    return df.select(*used, *(df[c].alias(r) for c, r in rest.items())), lambda out: out.select(*(out[rest.get(c, c)].alias(c) for c in df.columns))
+
+
+def few_rows(batches: Iterator[pa.RecordBatch], most: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The batches in parts, for steps that make Python objects of rows. Arrow's unused memory goes back to the system."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, most):
+            yield batch.slice(k, most)
+        pa.default_memory_pool().release_unused()
+
+
 def map_batches(df: DataFrame, step: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     """mapInArrow with a function of one batch; a batch for which it gives None yields nothing."""
 
@@ -78,6 +70,3 @@ def map_batches(df: DataFrame, step: Callable[[pa.RecordBatch], pa.RecordBatch |
 
     return df.mapInArrow(run, schema)
 
-
-def id_and_text(docs: DataFrame, *more: str) -> DataFrame:
-    return docs.select("doc_id", *more, "text")
