@@ -57,10 +57,14 @@ def suppressed(findings: DataFrame, suppressions: DataFrame) -> DataFrame:
 
 
 def off_registry(ecosystem: Column, resolved: Column) -> Column:
-    """git, url, path, or null where a package comes from its registry."""
-    git = resolved.startswith("git+") | resolved.startswith("git:") | resolved.contains("github.com")
-    npm = F.when(git, "git").when(resolved.startswith("file:"), "path").when(resolved.startswith("http") & ~resolved.contains("registry.npmjs.org") & ~resolved.contains("registry.yarnpkg.com"), "url")
-    crates = F.when(resolved.startswith("git+"), "git").when(resolved.startswith("registry+") | resolved.startswith("sparse+"), F.lit(None)).otherwise("path")
+    """git, path, url or registry, where a package comes from elsewhere than its default registry; else null."""
+    r = F.lower(resolved)
+    npm = (
+        F.when(r.startswith("git+") | r.startswith("git:") | (r.contains("github.com/") & r.endswith(".git")), "git")
+        .when(r.startswith("file:"), "path")
+        .when(r.startswith("http") & ~r.contains("registry.npmjs.org"), "url")
+    )
+    crates = F.when(r.startswith("git+"), "git").when(r.startswith("registry+") & ~r.contains("github.com/rust-lang/crates.io-index"), "registry")
     return F.when(ecosystem == "npm", npm).when(ecosystem == "crates", crates)
 
 
