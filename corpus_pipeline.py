@@ -7,7 +7,6 @@ columns of documents.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tessera.llm import jaccard, mixing, packing, quality, repeats
 from tessera.llm.shared import written
@@ -25,14 +24,12 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 200 bytes and more that occur twice go from the texts; n_chars is set anew."""
-    left = repeats.deduplicated(docs).select(*docs.columns)
-    return left.withColumn("n_chars", F.length("text").cast("long"))
+    return repeats.deduplicated(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its source's target asks for, from no time to three times."""
-    mixed = mixing.mix(docs)
-    return mixed.filter("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*docs.columns)
+    return mixing.copied(docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

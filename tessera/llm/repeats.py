@@ -28,16 +28,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.shared import slices, text_bytes, text_column, written
+from tessera.llm.shared import few_rows, sheltered, slices, text_bytes, text_column, written
 from tessera.llm.wordhash import mixed, prefix, span_hashes
 
 LENGTH = 200
 SEED = 32
 PLACE_BITS = 24
 CHUNK = 1 << 20
-#: Symbols of a bucket: three numbers of so many bits make one sort key.
+#: Three numbers of so many bits make one sort key, so that is the most a bucket can have; BUCKET keeps a worker small.
 INDEX_BITS = 21
-BUCKET = (1 << INDEX_BITS) - 2
+BUCKET = 1 << 19
 SYMBOL_BITS = 9
 FIRST = 4
 #: A document's bytes that one call of anchors() takes; longer ones are taken in overlapping parts.
@@ -254,7 +254,7 @@ def packed(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = zstandard.ZstdCompressor(level=1)
-        for batch in batches:
+        for batch in few_rows(batches):
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
             yield pa.record_batch([*(batch.column(batch.schema.get_field_index(c)) for c in [*rest, "_doc", "_tag"]), pa.array([packer.compress((t or "").encode()) for t in texts], pa.binary())], names=[*rest, "_doc", "_tag", "_packed"])
 
@@ -271,7 +271,7 @@ def context_bytes(wanted: DataFrame, docs: DataFrame, length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpacker = zstandard.ZstdDecompressor()
-        for batch in batches:
+        for batch in few_rows(batches):
             seeds, contexts, cuts = [], [], []
             for text, wants in zip(batch.column(0), batch.column(1).to_pylist()):
                 raw = unpacker.decompress(text.as_py())
@@ -340,30 +340,35 @@ def whole_characters(raw: bytes, spans: list[tuple[int, int]]) -> list[tuple[int
 DIGEST = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def deduplicated(docs: DataFrame, length: int = LENGTH, with_text: bool = True, **more: int) -> DataFrame:
-    """The columns of docs (text: what is left, in whole characters; left out if not with_text), the digest's columns and spans."""
+def cut(docs: DataFrame, length: int = LENGTH, with_text: bool = True, **more: int) -> DataFrame:
+    """The columns of docs (without text), what is left of the text in whole characters (null if not with_text), the digest's columns and the removed spans."""
     rest = [c for c in docs.columns if c != "text"]
     joined = packed(docs).join(marked(docs, length, **more), ["_doc", "_tag"], "left").select(*rest, "_packed", "_marks")
-    extra = [T.StructField("text", T.StringType())] if with_text else []
-    schema = T.StructType([*(docs.schema[c] for c in rest), *extra, *T._parse_datatype_string(DIGEST).fields, T.StructField("spans", T.ArrayType(T.ArrayType(T.LongType())))])
+    schema = T.StructType([*(docs.schema[c] for c in rest), T.StructField("text", T.StringType()), *T._parse_datatype_string(DIGEST).fields, T.StructField("spans", T.ArrayType(T.ArrayType(T.LongType())))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpacker = zstandard.ZstdDecompressor()
-        for batch in batches:
+        for batch in few_rows(batches):
             rows, texts = [], []
             for text, marks in zip(batch.column(len(rest)), batch.column(len(rest) + 1).to_pylist()):
                 raw = unpacker.decompress(text.as_py())
                 spans = removed_spans(marks, length)
                 kept = without(raw, spans)
                 rows.append((len(raw), len(raw) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), [list(s) for s in spans]))
-                if with_text:
-                    texts.append(without(raw, whole_characters(raw, spans)).decode())
+                texts.append(without(raw, whole_characters(raw, spans)).decode() if with_text else None)
             columns = [pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.list_(pa.int64()))))]
-            yield pa.record_batch([*batch.columns[: len(rest)], *([pa.array(texts, pa.string())] if with_text else []), *columns], names=schema.names)
+            yield pa.record_batch([*batch.columns[: len(rest)], pa.array(texts, pa.string()), *columns], names=schema.names)
 
     return joined.mapInArrow(run, schema)
 
 
+def deduplicated(docs: DataFrame, **more: int) -> DataFrame:
+    """docs with what is left of the texts; a column n_chars is set anew."""
+    rows, restored = sheltered(docs, "doc_id", "text")
+    out = restored(cut(rows, **more))
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+
+
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return deduplicated(docs, with_text=False).drop("spans")
+    return cut(docs, with_text=False).drop("text", "spans")
