@@ -21,11 +21,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import text_column, written
+from tessera.llm.shared import few_rows, fresh_dir, open_fs, text_column, written
 from tessera.llm.tokens import default_path, encoder
 
 WINDOW = 2048
@@ -34,22 +35,20 @@ STEPS = 400
 PIECE = "part long, rank_in_part long, doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
 
 
-def pieces(docs: DataFrame, path: str, window: int, end_id: int) -> DataFrame:
+def pieces(docs: DataFrame, path: str, window: int, end_id: int, with_ids: bool) -> DataFrame:
     """The documents' ids and end id, cut into pieces of at most `window` ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker, part, seen = encoder(path), TaskContext.get().partitionId(), np.zeros(window + 1, np.int64)
         end, width = np.array([end_id], "<u4").tobytes(), 4 * window
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in few_rows(batches):
             rows: list[tuple] = []
             for doc, ids in zip(batch.column(0).to_pylist(), worker.encode_column(text_column(batch))):
                 ids += end
                 for k in range(-(-len(ids) // width)):
                     cut = ids[k * width : (k + 1) * width]
                     n = len(cut) // 4
-                    rows.append((part, int(seen[n]), doc, k, k * window, n, zlib.crc32(cut), cut))
+                    rows.append((part, int(seen[n]), doc, k, k * window, n, zlib.crc32(cut), cut if with_ids else None))
                     seen[n] += 1
             yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["part", "rank_in_part", "doc_id", "piece", "start", "length", "ids_crc32", "ids"])
 
@@ -144,26 +143,40 @@ def places(found: list[tuple[dict[int, int], int]], window: int) -> dict[str, np
     return {"keys": np.array(keys, np.int64)[order], "base": np.array(base, np.int64)[order], "offset": np.array(offset, np.int64)[order]}
 
 
-def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, end_id: int = 0) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, ids, sequence_id, offset of every piece."""
-    rows = written(pieces(docs, path or default_path(), window, end_id), "pieces")
-    by_part = rows.groupBy("part", "length").agg(F.count("*").alias("n"))
-    before = by_part.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")).drop("n")
+def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, end_id: int = 0, with_ids: bool = True) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, ids (null if not with_ids), sequence_id, offset of every piece.
+
+    The pieces stay where they are written: a worker reads the rank offsets of the partitions that it meets, at most `window` numbers each.
+    """
+    folder = fresh_dir(docs.sparkSession, "ranks")
+    rows = written(pieces(docs, path or default_path(), window, end_id, with_ids), "pieces")
+    by_part = written(rows.groupBy("part", "length").agg(F.count("*").alias("n")), "counts")
+    before = by_part.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n"))
+    before.select("part", "length", "before").repartition("part").write.partitionBy("part").parquet(folder)
     counts = np.zeros(window + 1, np.int64)
     for row in by_part.groupBy("length").agg(F.sum("n").alias("n")).collect():  # a row for each length
         counts[row.length] = row.n
     where = places(plan(counts, window), window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            length, rank = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        known: dict[int, np.ndarray] = {}
+        for batch in few_rows(batches):
+            part, rank, length = (batch.column(i).to_numpy() for i in range(3))
+            for p in np.unique(part).tolist():
+                if p not in known:
+                    fs, top = open_fs(f"{folder}/part={p}")
+                    offsets = pq.read_table(top, filesystem=fs, partitioning=None)
+                    known[p] = np.zeros(window + 1, np.int64)
+                    known[p][offsets["length"].to_numpy()] = offsets["before"].to_numpy()
+                at = part == p
+                rank = np.where(at, rank + known[p][np.where(at, length, 0)], rank)
             key = length * 2**44 + rank
             at = np.searchsorted(where["keys"], key, side="right") - 1
-            yield pa.record_batch([*batch.columns[2:], pa.array(length), pa.array(where["base"][at] + key - where["keys"][at]), pa.array(where["offset"][at])], names=[*batch.schema.names[2:], "length", "sequence_id", "offset"])
+            yield pa.record_batch([*batch.columns[3:], batch.column(2), pa.array(where["base"][at] + key - where["keys"][at]), pa.array(where["offset"][at])], names=[*batch.schema.names[3:], "length", "sequence_id", "offset"])
 
-    ranked = rows.join(before, ["part", "length"]).select("length", (F.col("before") + F.col("rank_in_part")).alias("rank"), "doc_id", "piece", "start", "ids_crc32", "ids")
+    ranked = rows.select("part", "rank_in_part", "length", "doc_id", "piece", "start", "ids_crc32", "ids")
     return ranked.mapInArrow(run, "doc_id long, piece int, start long, ids_crc32 long, ids binary, length long, sequence_id long, offset long")
 
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("ids")
+    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), with_ids=False).drop("ids")
