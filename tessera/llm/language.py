@@ -27,7 +27,10 @@ FILTERS = 16
 WINDOW = 256
 WINDOWS_PER_LANGUAGE = 1200
 WINDOWS_PER_DOCUMENT = 3
+#: Rows that are drawn for each that is taken: some are held out or have no letter.
+SPARE = 8
 EPOCHS = 8
+LEAST_STEPS = 300
 BATCH = 128
 RATE = 0.01
 #: Windows that are scored at once.
@@ -58,7 +61,7 @@ class Network:
         weights = [t for row in self.tables for t in row] + [self.out, self.bias]
         first, second, step = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights], 0
         share = np.bincount(y, minlength=len(self.labels)) / len(y)
-        for _ in range(EPOCHS):
+        for _ in range(max(EPOCHS, -(-LEAST_STEPS * BATCH // len(x)))):
             for at in np.array_split(rng.permutation(len(x)), max(1, len(x) // BATCH)):
                 step += 1
                 for w, grad, m, v in zip(weights, self._gradients(x[at], y[at], 1 / (len(self.labels) * np.maximum(share[y[at]], 1e-9))), first, second):
@@ -120,8 +123,13 @@ def remainder(doc_id: Column) -> Column:
 def fitted(docs: DataFrame) -> Network | None:
     """A network learnt from the rows with a label that are not held out; None without such rows."""
     usable = docs.filter(F.coalesce(remainder(F.col("doc_id")) != 1, F.lit(True)) & F.col("lang").isNotNull() & F.col("text").rlike("\\p{L}"))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text")
-    chosen = usable.select("doc_id", "lang", "text").withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= WINDOWS_PER_LANGUAGE // WINDOWS_PER_DOCUMENT)
+    most = WINDOWS_PER_LANGUAGE // WINDOWS_PER_DOCUMENT
+    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
+    # by their hash a few times as many rows as are taken come together, however large the table
+    sizes = docs.filter("lang IS NOT NULL").groupBy("lang").agg(F.count("*").alias("_all"))
+    drawn = usable.select("doc_id", "lang", "text", draw.alias("_draw")).join(sizes, "lang").filter(F.col("_draw") < SPARE * most / F.col("_all"))
+    order = Window.partitionBy("lang").orderBy("_draw", "doc_id", "text")
+    chosen = drawn.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= most)
 
     def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
