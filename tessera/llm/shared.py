@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -10,7 +12,7 @@ from pyspark.sql import DataFrame
 
 from tessera.storage import fresh_dir, shared_dir, written
 
-__all__ = ["fresh_dir", "few_rows", "map_batches", "open_fs", "shared_dir", "sheltered", "slices", "text_bytes", "text_column", "written"]
+__all__ = ["fresh_dir", "few_rows", "give_back", "map_batches", "open_fs", "shared_dir", "sheltered", "slices", "text_bytes", "text_column", "written"]
 
 
 def open_fs(uri: str):
@@ -52,20 +54,27 @@ def sheltered(df: DataFrame, *used: str) -> tuple[DataFrame, Callable[[DataFrame
     return df.select(*used, *(df[c].alias(r) for c, r in rest.items())), lambda out: out.select(*(out[rest.get(c, c)].alias(c) for c in df.columns))
 
 
+def give_back() -> None:
+    """Workers live on from task to task; what one has freed should not count against the next."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def few_rows(batches: Iterator[pa.RecordBatch], most: int = 1000) -> Iterator[pa.RecordBatch]:
-    """The batches in parts, for steps that make Python objects of rows. Arrow's unused memory goes back to the system."""
+    """The batches in parts, for steps that make Python objects of rows. Unused memory goes back to the system after each."""
     for batch in batches:
         for k in range(0, batch.num_rows, most):
             yield batch.slice(k, most)
-        pa.default_memory_pool().release_unused()
+        give_back()
 
 
 def map_batches(df: DataFrame, step: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     """mapInArrow with a function of one batch; a batch for which it gives None yields nothing."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows and (out := step(batch)) is not None:
+        for batch in few_rows(batches, 2500):
+            if (out := step(batch)) is not None:
                 yield out
 
     return df.mapInArrow(run, schema)
