@@ -5,8 +5,8 @@ classes link when 9 * intersection >= 4 * (sum of sizes), which is a Jaccard ind
 
 1. Linked sets share one of the first n - ceil(0.8 n) + 1 of their shingles in any common order. In hash order,
    with common shingles last, these deal the classes into groups; shingles that one class alone has drop out.
-2. In each group shingle hashes are counted by GROUPS slots. These count vectors are the points of an R-tree; summed coordinate minima
-   bound the overlap from above. What survives is kept as a forest, not as pairs.
+2. In each group shingle hashes are counted by slots, more for longer texts. These count vectors, folded to GROUPS slots, are the points of an R-tree; summed coordinate minima
+   bound the overlap from above, and the unfolded ones bound what survives. The rest is kept as a forest, not as pairs.
 3. Connected candidates meet in blocks of bounded size with their whole sets; survivors of the bound are verified exactly
    unless a chain of links joins them already, and links are kept as a forest again.
 
@@ -31,16 +31,19 @@ from pyspark.sql import functions as F
 
 from tessera.llm.components import Forest, components
 from tessera.llm.repeats import keyed, packed
-from tessera.llm.shared import slices, text_bytes, text_column, written
+from tessera.llm.shared import few_rows, give_back, sheltered, slices, text_bytes, text_column, written
 from tessera.llm.wordhash import SLICE, windows, word_hashes, word_spans
 
 WORDS = 5
-GROUPS = 64
+GROUP_BITS = 6
+GROUPS = 1 << GROUP_BITS
+#: Shingles a slot on average, at most: with more, the vectors of long texts are all alike.
+DENSE = 8
 LEAF = 16
-#: Rows of a part of a hot group, and sets of a part of a hot block.
-PART, BLOCK = 512, 512
+#: Rows of a part of a hot group, and shingles of a part of a hot block.
+PART, BLOCK = 512, 400_000
 #: A shingle is common if some batch of documents has it so often; at most so many are told apart.
-COMMON_IN_BATCH, MOST_COMMON = 8, 200_000
+COMMON_IN_BATCH, MOST_COMMON = 4, 200_000
 
 
 def shingle_sets(raw: np.ndarray, at: np.ndarray, words: int = WORDS) -> Iterator[np.ndarray]:
@@ -73,16 +76,28 @@ def class_id(x: np.ndarray) -> int:
 
 
 def count_vector(x: np.ndarray) -> np.ndarray:
-    return np.minimum(np.bincount((x >> np.uint64(58)).astype(np.int64), minlength=GROUPS), 65535).astype("<u2")
+    """How many shingles fall in each slot of the leading bits: GROUPS slots, twice as many for each doubling beyond DENSE a slot."""
+    bits = GROUP_BITS + max(0, (len(x) - 1) // (GROUPS * DENSE)).bit_length()
+    return np.bincount((x >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype("<u4")
+
+
+def folded(vector: np.ndarray, slots: int = GROUPS) -> np.ndarray:
+    return vector.reshape(slots, -1).sum(1)
+
+
+def bounded(a: np.ndarray, b: np.ndarray, n: int) -> bool:
+    """Whether two count vectors let sets of n shingles in all link."""
+    slots = min(len(a), len(b))
+    return 9 * int(np.minimum(folded(a, slots), folded(b, slots)).sum()) >= 4 * n
 
 
 def common_shingles(docs: DataFrame) -> np.ndarray:
     """Sorted shingles that many different sets of one batch have; counted over all documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few_rows(batches, 2500):
             raw, at = text_bytes(text_column(batch))
-            distinct = {x.tobytes(): x for x in shingle_sets(raw, at)}
+            distinct = {class_id(x): x for x in shingle_sets(raw, at)}
             every = np.sort(np.concatenate(list(distinct.values()) or [np.zeros(0, np.uint64)]))
             if not len(every):
                 continue
@@ -101,7 +116,7 @@ def described(docs: DataFrame, common: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for batch in batches:
+        for batch in few_rows(batches, 2500):
             raw, at = text_bytes(text_column(batch))
             n, rid, vector, prefix = [], [], [], []
             for x in shingle_sets(raw, at):
@@ -158,7 +173,7 @@ def shared_groups(rows: DataFrame) -> DataFrame:
                     if mark not in seen:
                         seen.add(mark)
                         out.append((int.from_bytes(mark, "little", signed=True), part))
-            if len(seen) > 500_000:
+            if len(seen) > 100_000:
                 seen.clear()
             return pa.record_batch({"group": pa.array([g for g, _ in out], pa.int64()), "rids": pa.array([p for _, p in out], pa.list_(pa.int64()))}) if out else None
 
@@ -200,12 +215,10 @@ class CountTree:
         """Numbers of the points whose bound lets them link with this one."""
         vector, at = vector.astype(np.int32), None
         for maxima, least, largest in reversed(self.levels):
-            if at is None:
-                at = np.arange(len(maxima))
+            at = np.arange(len(maxima)) if at is None else at[at < len(maxima)]
             at = at[self._open(n, vector, maxima[at], least[at], largest[at])]
             at = (at[:, None] * LEAF + np.arange(LEAF)).ravel()
-        at = np.arange(len(self.n)) if at is None else at[at < len(self.n)] if not self.levels else at
-        at = at[at < len(self.n)]
+        at = np.arange(len(self.n)) if at is None else at[at < len(self.n)]
         return self.order[at[self._open(n, vector, self.points[at], self.n[at], self.n[at])]]
 
 
@@ -236,14 +249,15 @@ def candidates(groups: DataFrame, classes: DataFrame) -> DataFrame:
         out: list[tuple[int, int]] = []
         for table in runs_of(batches):
             rids, n = table.column(1).to_pylist(), np.asarray(table.column(2))
-            vectors = np.frombuffer(b"".join(table.column(3).to_pylist()), "<u2").reshape(-1, GROUPS)
+            fine = [np.frombuffer(v, "<u4") for v in table.column(3).to_pylist()]
             if len(rids) == 2:
-                if 5 * n.min() >= 4 * n.max() and 9 * int(np.minimum(vectors[0], vectors[1]).sum()) >= 4 * int(n.sum()):
+                if 5 * n.min() >= 4 * n.max() and bounded(fine[0], fine[1], int(n.sum())):
                     out.append((rids[0], rids[1]))
             else:
+                vectors = np.stack([folded(v) for v in fine])
                 tree, forest = CountTree(n, vectors), Forest()
                 for k in range(len(rids)):
-                    out += [(rids[k], rids[j]) for j in tree.near(int(n[k]), vectors[k]).tolist() if forest.join(k, j)]
+                    out += [(rids[k], rids[j]) for j in tree.near(int(n[k]), vectors[k]).tolist() if forest.root(j) != forest.root(k) and bounded(fine[k], fine[j], int(n[k] + n[j])) and forest.join(k, j)]
             if len(out) > 20_000:
                 yield links_batch(out)
                 out = []
@@ -254,33 +268,26 @@ def candidates(groups: DataFrame, classes: DataFrame) -> DataFrame:
     return rows.repartition("group").sortWithinPartitions("group", "rid").mapInArrow(run, "a long, b long")
 
 
-def sets_of(wanted: DataFrame, docs: DataFrame) -> DataFrame:
-    """root, rid, hashes (the class's whole set) of wanted: root, rid, _doc, _tag."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpacker = zstandard.ZstdDecompressor()
-        for batch in batches:
-            for k in range(0, batch.num_rows, 1000):
-                part = batch.slice(k, 1000)
-                raw, at = text_bytes(pa.array([unpacker.decompress(x.as_py()).decode() for x in part.column(2)], pa.large_string()))
-                yield pa.record_batch([part.column(0), part.column(1), pa.array([x.tobytes() for x in shingle_sets(raw, at)], pa.binary())], names=["root", "rid", "hashes"])
-
-    return packed(docs.select("doc_id", "text")).join(wanted, ["_doc", "_tag"]).select("root", "rid", "_packed").mapInArrow(run, "root long, rid long, hashes binary")
+def verified(wanted: DataFrame, docs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Forests a, b of links between the classes of each root, in blocks. wanted: root, rid, n, and _doc, _tag of a document of the class.
 
-
-def verified(members: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Forests a, b of links between the classes of each root, in blocks. members: root, rid, hashes."""
+    The compressed texts travel, which are smaller than their sets; a block's task makes the sets.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpacker = zstandard.ZstdDecompressor()
         for table in runs_of(batches):
-            rids, side = table.column(1).to_pylist(), np.asarray(table.column(2))
-            sets = [np.frombuffer(x, np.uint64) for x in table.column(3).to_pylist()]
+            every = np.asarray(table.column(1))
+            rows = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))  # rows that are the same in all come together
+            rids, side = every[rows].tolist(), np.asarray(table.column(2))[rows]
+            raw, at = text_bytes(pa.array([unpacker.decompress(x.as_py()).decode() for x in table.column(3).take(pa.array(rows))], pa.large_string()))
+            sets = list(shingle_sets(raw, at))
             n = np.array([len(x) for x in sets])
-            vectors = np.stack([count_vector(x) for x in sets])
-            flat = np.concatenate(sets)
+            vectors = np.stack([folded(count_vector(x)) for x in sets])
             begin = np.cumsum(n) - n
-            distinct, codes = np.unique(flat, return_inverse=True)
+            distinct, codes = np.unique(np.concatenate(sets), return_inverse=True)
             tree, forest, mark, out = CountTree(n, vectors), Forest(), np.zeros(len(distinct), bool), []
+            del sets, raw
             both = side.any() and not side.all()
             for k in range(len(rids)):
                 root = forest.root(k)
@@ -296,12 +303,13 @@ def verified(members: DataFrame, block: int = BLOCK) -> DataFrame:
                 mark[own] = False
             if out:
                 yield links_batch(out)
+        give_back()
 
-    sizes = members.groupBy("root").agg(F.count("*").alias("_n")).filter("_n > 1")
-    placed = members.join(sizes, "root").withColumn("_blocks", F.ceil(F.col("_n") / block).cast("int")).withColumn("_own", F.pmod(F.xxhash64("rid"), F.col("_blocks")).cast("int"))
-    paired = placed.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    keyed_rows = paired.select(F.xxhash64("root", F.least("_own", "_other"), F.greatest("_own", "_other")).alias("group"), "rid", (F.col("_own") > F.col("_other")).alias("side"), "hashes")
-    return keyed_rows.repartition("group").sortWithinPartitions("group", "rid").mapInArrow(run, "a long, b long")
+    sizes = wanted.groupBy("root").agg(F.count("*").alias("_n"), F.sum("n").alias("_all")).filter("_n > 1")
+    placed = wanted.drop("n").join(sizes, "root").withColumn("_blocks", F.ceil(F.col("_all") / block).cast("int")).withColumn("_own", F.pmod(F.xxhash64("rid"), F.col("_blocks")).cast("int"))
+    texts = packed(docs.select("doc_id", "text")).join(placed, ["_doc", "_tag"]).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    rows = texts.select(F.xxhash64("root", F.least("_own", "_other"), F.greatest("_own", "_other")).alias("group"), "rid", (F.col("_own") > F.col("_other")).alias("side"), "_packed")
+    return rows.repartition("group").sortWithinPartitions("group", "rid").mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -311,9 +319,8 @@ def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     groups = written(shared_groups(rows), "groups")
     maybe = components(candidates(groups, firsts.select("rid", "n", "vector").dropDuplicates(["rid"])))
     rooted = maybe.select(F.col("node").alias("rid"), "root").unionByName(maybe.select(F.col("root").alias("rid"), "root").distinct())
-    wanted = firsts.join(rooted, "rid").groupBy("root", "rid").agg(F.min(F.struct("_doc", "_tag")).alias("_r")).select("root", "rid", "_r.*")
-    members = written(sets_of(wanted, docs).dropDuplicates(["rid"]), "sets")
-    linked = components(verified(members, block))
+    wanted = firsts.join(rooted, "rid").groupBy("root", "rid").agg(F.min(F.struct("_doc", "_tag")).alias("_r"), F.first("n").alias("n")).select("root", "rid", "n", "_r.*")
+    linked = components(verified(written(wanted, "wanted"), docs, block))
     joined = rows.select("doc_id", "_doc", "_tag", "n", "rid").join(linked.withColumnRenamed("node", "rid"), "rid", "left").withColumn("_class", F.coalesce("root", "rid"))
     joined = written(joined.select("doc_id", "_doc", "_tag", "n", "_class"), "joined")
     least = joined.filter("_class is not null").groupBy("_class").agg(F.min("doc_id").alias("component_id"))
@@ -322,9 +329,10 @@ def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
 
 def representatives(docs: DataFrame) -> DataFrame:
     """The documents without those that another of their component stands for (the one with the least doc_id); the columns of docs."""
+    rows, restored = sheltered(docs, "doc_id", "text")
     found = near_duplicates(docs)
     kept = found.filter(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).select("_doc", "_tag").distinct()
-    return keyed(docs).join(kept, ["_doc", "_tag"], "left_semi").dropDuplicates(["_doc", "_tag"]).select(*docs.columns)
+    return restored(keyed(rows).join(kept, ["_doc", "_tag"], "left_semi").dropDuplicates(["_doc", "_tag"]))
 
 
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

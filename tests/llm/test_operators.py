@@ -422,7 +422,7 @@ def test_jaccard(spark, monkeypatch, small):
         for j in range(i):
             if a and sets[j] and 100 * len(a & sets[j]) >= 80 * len(a | sets[j]):
                 forest.join(i, j)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(documents(spark, values), block=4 if small else 512).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(documents(spark, values), block=500 if small else 400_000).collect()}
     assert got == {i: (len(s), forest.root(i)) for i, s in enumerate(sets)}
     if not small:
         kept = sorted(r.doc_id for r in jaccard.representatives(documents(spark, values)).collect())
