@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from tessera.storage import written
 
 DAMPING = 0.85
-ROUNDS_PER_TABLE = 5
 
 
 def nodes_of(edges: DataFrame) -> DataFrame:
@@ -104,19 +103,15 @@ def pagerank(edges: DataFrame, rounds: int = 100, tolerance: float | None = 1e-6
         return nodes.withColumn("rank", F.lit(0.0))
     # out-degrees are joined once: each node's share is known where its links are
     fan = links.groupBy("src").agg(F.count("*").alias("fan"))
-    ranks = written(nodes.join(fan, nodes["node"] == fan["src"], "left").select("node", "fan", F.lit(1.0 / n).alias("rank")), "ranks")
-    for k in range(1, rounds + 1):
-        dangling = ranks.filter("fan IS NULL").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("d"))
-        inflow = links.join(ranks.filter("fan IS NOT NULL").select(F.col("node").alias("src"), (F.col("rank") / F.col("fan")).alias("share")), "src").groupBy(F.col("dst").alias("node")).agg(F.sum("share").alias("inflow"))
-        new = ranks.join(inflow, "node", "left").crossJoin(dangling).select("node", "fan", ((1 - DAMPING) / n + DAMPING * F.col("d") / n + DAMPING * F.coalesce("inflow", F.lit(0.0))).alias("rank"), F.col("rank").alias("was"))
-        if tolerance is None and k % ROUNDS_PER_TABLE and k < rounds:
-            ranks = new.drop("was")
-            continue
-        new = written(new, "ranks")
-        moved = new.agg(F.sum(F.abs(F.col("rank") - F.col("was")))).first()[0] if tolerance is not None else None
-        ranks = new.drop("was")
-        if moved is not None and moved < tolerance:
+    ranks = written(nodes.join(fan, nodes["node"] == fan["src"], "left").select("node", "fan", F.lit(1.0 / n).alias("rank"), F.lit(1.0 / n).alias("was")), "ranks")
+    for _ in range(rounds):
+        # two numbers a round come to the driver: what the dangling nodes hold, and how far the ranks moved
+        dangling, moved = ranks.agg(F.coalesce(F.sum(F.when(F.col("fan").isNull(), F.col("rank"))), F.lit(0.0)), F.sum(F.abs(F.col("rank") - F.col("was")))).first()
+        if tolerance is not None and 0 < moved < tolerance:
             break
+        shares = links.join(ranks.filter("fan IS NOT NULL").select(F.col("node").alias("src"), (F.col("rank") / F.col("fan")).alias("inflow")), "src")
+        parts = shares.select(F.col("dst").alias("node"), "inflow", F.lit(None).cast("long").alias("fan"), F.lit(None).cast("double").alias("was")).unionByName(ranks.select("node", F.lit(0.0).alias("inflow"), "fan", F.col("rank").alias("was")))
+        ranks = written(parts.groupBy("node").agg(F.max("fan").alias("fan"), ((1 - DAMPING + DAMPING * dangling) / n + DAMPING * F.sum("inflow")).alias("rank"), F.max("was").alias("was")), "ranks")
     return ranks.select("node", "rank")
 
 
