@@ -41,7 +41,7 @@ GROUPS = 1 << GROUP_BITS
 DENSE = 8
 LEAF = 16
 #: Rows of a part of a hot group, and shingles of a part of a hot block.
-PART, BLOCK = 512, 400_000
+PART, BLOCK = 512, 800_000
 #: A shingle is common if some batch of documents has it so often; at most so many are told apart.
 COMMON_IN_BATCH, MOST_COMMON = 4, 200_000
 
@@ -307,7 +307,7 @@ def verified(wanted: DataFrame, docs: DataFrame, block: int = BLOCK) -> DataFram
 
     sizes = wanted.groupBy("root").agg(F.count("*").alias("_n"), F.sum("n").alias("_all")).filter("_n > 1")
     placed = wanted.drop("n").join(sizes, "root").withColumn("_blocks", F.ceil(F.col("_all") / block).cast("int")).withColumn("_own", F.pmod(F.xxhash64("rid"), F.col("_blocks")).cast("int"))
-    texts = packed(docs.select("doc_id", "text")).join(placed, ["_doc", "_tag"]).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    texts = packed(docs.select("doc_id", "text")).hint("merge").join(placed, ["_doc", "_tag"]).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
     rows = texts.select(F.xxhash64("root", F.least("_own", "_other"), F.greatest("_own", "_other")).alias("group"), "rid", (F.col("_own") > F.col("_other")).alias("side"), "_packed")
     return rows.repartition("group").sortWithinPartitions("group", "rid").mapInArrow(run, "a long, b long")
 
