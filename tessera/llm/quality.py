@@ -3,8 +3,11 @@
 Lines are normalised (lower case, digit runs to 0, blanks to one space) and hashed. For each host (the
 column source) the distinct documents with a line are counted; a line in more than MIN_DOCS documents and more than
 MAX_SHARE of the host's documents is boilerplate. Such lines are removed, and a document that keeps less than
-MIN_LEFT of its words is depleted and rejected. Groups of copies stay below such a share, so a
-document isn't rejected because it has copies.
+MIN_LEFT of its words is depleted and rejected.
+
+The query counts doc_ids, as its SQL does: there a group of copies that is over MAX_SHARE of its host is rejected whole. The
+pipeline (clean) counts bodies: documents of a host with the same set of normalised lines are one, so no document goes because it
+has copies, and the Jaccard join is left one of each group. Near copies with lines of their own are several bodies.
 
 Only hashes and counts are shuffled, never texts; a hot host or a hot line is pre-aggregated before it meets its limit.
 
@@ -90,7 +93,7 @@ def host_key(docs: DataFrame) -> Column:
 
 
 def measured(docs: DataFrame, min_words: int = MIN_WORDS, max_repeated: float = MAX_REPEATED) -> DataFrame:
-    """_doc, _host, _id (of doc, host and text), the base measures and _lines (hash, words) of each document: no texts."""
+    """_doc, _host, _id (of doc, host and text), _body (of the set of lines), the base measures and _lines (hash, words) of each document: no texts."""
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         column = text_column(batch)
@@ -98,23 +101,24 @@ def measured(docs: DataFrame, min_words: int = MIN_WORDS, max_repeated: float =
         failed = (base["n_words"] < min_words) | (base["n_repeat_words"] > max_repeated * base["n_words"])
         lines = [[{"h": line_hash(x), "n": len(BLANKS.sub(" ", x).strip(" ").split(" "))} for x in t.split("\n") if x.strip(" \t\n\v\f\r")] for t in texts]
         ids = [hashlib.blake2b(f"{d} {h} {t}".encode(), digest_size=16).digest() for d, h, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts)]
-        return pa.record_batch({"_doc": batch.column(0), "_host": batch.column(1), "_mark": pa.array([zlib.crc32(t.encode()) for t in texts], pa.int64()), "_id": pa.array(ids, pa.binary())} | {k: pa.array(v) for k, v in base.items()} | {"base_failed": pa.array(failed), "_lines": pa.array(lines, pa.list_(pa.struct([("h", pa.int64()), ("n", pa.int64())])))})
+        bodies = [hashlib.blake2b(np.unique(np.array([x["h"] for x in ls], np.int64)).tobytes(), digest_size=16).digest() for ls in lines]
+        return pa.record_batch({"_doc": batch.column(0), "_host": batch.column(1), "_mark": pa.array([zlib.crc32(t.encode()) for t in texts], pa.int64()), "_id": pa.array(ids, pa.binary()), "_body": pa.array(bodies, pa.binary())} | {k: pa.array(v) for k, v in base.items()} | {"base_failed": pa.array(failed), "_lines": pa.array(lines, pa.list_(pa.struct([("h", pa.int64()), ("n", pa.int64())])))})
 
-    return map_batches(docs.select(docs["doc_id"].cast("long").alias("_doc"), host_key(docs).alias("_host"), "text"), step, f"_doc long, _host string, _mark long, _id binary, {BASE}, _lines array<struct<h: long, n: long>>")
+    return map_batches(docs.select(docs["doc_id"].cast("long").alias("_doc"), host_key(docs).alias("_host"), "text"), step, f"_doc long, _host string, _mark long, _id binary, _body binary, {BASE}, _lines array<struct<h: long, n: long>>")
 
 
-def common_lines(rows: DataFrame, max_share: float = MAX_SHARE, min_docs: int = MIN_DOCS) -> DataFrame:
-    """_host, _h of the lines that too many documents of their host have."""
-    docs = rows.select("_host", "_doc").distinct().groupBy("_host").agg(F.count("*").alias("_docs"))
-    lines = rows.select("_host", "_doc", F.explode(F.array_distinct(F.col("_lines.h"))).alias("_h"))
+def common_lines(rows: DataFrame, max_share: float = MAX_SHARE, min_docs: int = MIN_DOCS, unit: str = "_doc") -> DataFrame:
+    """_host, _h of the lines that too many documents of their host have; unit: what is one document, _doc or _body."""
+    docs = rows.select("_host", unit).distinct().groupBy("_host").agg(F.count("*").alias("_docs"))
+    lines = rows.select("_host", unit, F.explode(F.array_distinct(F.col("_lines.h"))).alias("_h"))
     counts = lines.distinct().groupBy("_host", "_h").agg(F.count("*").alias("_n")).filter(F.col("_n") > min_docs)
     return counts.join(docs, "_host").filter(F.col("_n") > max_share * F.col("_docs")).select("_host", "_h")
 
 
-def judged(docs: DataFrame, max_share: float = MAX_SHARE, min_docs: int = MIN_DOCS, min_left: float = MIN_LEFT) -> tuple[DataFrame, DataFrame]:
+def judged(docs: DataFrame, max_share: float = MAX_SHARE, min_docs: int = MIN_DOCS, min_left: float = MIN_LEFT, unit: str = "_doc") -> tuple[DataFrame, DataFrame]:
     """(a row a document: _doc, _host, _id, the measures, n_removed_words, kept; the common lines)"""
     rows = written(measured(docs), "measures")
-    common = written(common_lines(rows, max_share, min_docs), "lines")
+    common = written(common_lines(rows, max_share, min_docs, unit), "lines")
     words = rows.select("_host", "_id", F.explode("_lines").alias("_l")).select("_host", "_id", F.col("_l.h").alias("_h"), F.col("_l.n").alias("_n"))
     removed = words.join(common, ["_host", "_h"]).groupBy("_id").agg(F.sum("_n").alias("_removed"))
     twice = rows.groupBy("_id").agg(F.count("*").alias("_rows")).filter("_rows > 1")
@@ -125,7 +129,7 @@ def judged(docs: DataFrame, max_share: float = MAX_SHARE, min_docs: int = MIN_DO
 
 def clean(docs: DataFrame) -> DataFrame:
     """The documents that are kept, with their common lines removed from the text (and n_chars set anew); the columns of docs."""
-    verdicts, common = judged(docs)
+    verdicts, common = judged(docs, unit="_body")
     rows, restored = sheltered(docs, "doc_id", "text", "source")
     hosted = rows.withColumns({"_host": host_key(rows), "_key": F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))})
     kept = verdicts.filter("kept").select(F.coalesce("_doc", F.lit(NULL_ID)).alias("_key"), "_host", "_mark").distinct()

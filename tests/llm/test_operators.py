@@ -270,6 +270,17 @@ def test_copies_stay(spark):
     assert rows.filter("kept").count() == 430
 
 
+def test_large_groups_of_copies_stay_in_the_pipeline(spark):
+    rng = random.Random(7)
+    own = lambda n: " ".join(rng.choice(WORDS) for _ in range(n))
+    footer = "the footer that all of these documents share"
+    copy = own(60) + "\n" + own(30)
+    values = [copy] * 60 + [copy + "\n" + footer] * 30 + [own(80) + "\n" + footer for _ in range(60)]
+    docs = documents(spark, values).withColumn("source", F.lit("h"))
+    left = {r.doc_id: r.text for r in quality.clean(docs).collect()}
+    assert left == {i: t.removesuffix("\n" + footer) for i, t in enumerate(values)}
+
+
 # op6, op9
 
 
