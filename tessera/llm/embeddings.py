@@ -1,9 +1,13 @@
 """Near-duplicate embeddings by sorted projection passes.
 
-In each pass the vectors are ordered by the concatenated signs of 64 random projections and every vector is compared,
-in double precision, with the next WINDOW ones of that order. The verified pairs of all passes are united into
-components. A pair that links lies in one component, so all links are then counted inside the components,
-in blocks of bounded size: a family larger than the window loses none of its pairs.
+In each pass the vectors, less their mean, are ordered by the concatenated signs of 64 random projections and every vector is
+compared with at least the next WINDOW ones of that order, also across the borders of partitions. Each chunk of that order is then
+sorted LOCAL times more, by projections less the chunk's own mean: a dense topic fills chunks of its own and is spread again.
+What reaches the bound is verified in double precision. Rounds of passes follow until one adds no more than a thousandth of the
+joins found (none, if there are fewer than a thousand), so their number grows with rows and density.
+
+The verified pairs of all passes are united into components. A pair that links lies in one component, so all links are then
+counted inside the components, in blocks of bounded size: a family larger than the window loses none of its pairs.
 
 Equal vectors are one vector with a weight. Edge cases: a vector that is null, zero, or holds a null or non-finite
 component links with nothing; so do vectors of different lengths. Each such row is a component of its own. A null
@@ -18,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,7 +32,11 @@ from tessera.llm.shared import written
 LEAST_COSINE = 0.95
 PASSES = 16
 BITS = 64
-WINDOW = 24
+WINDOW = 128
+LOCAL = 3
+CHUNK = 16_384
+CHUNK_BYTES = 32 << 20
+SETTLED = 1000
 BLOCK = 1024
 SEED = 20240229
 
@@ -58,7 +67,31 @@ def matrix(column: pa.Array, size: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(-1, size)
 
 
-def coded(reps: DataFrame, passes: int) -> DataFrame:
+def centres(reps: DataFrame) -> dict[int, np.ndarray]:
+    """The mean vector of each length that 1000 vectors or more have."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = np.array([len(x) // 8 for x in batch.column(0).to_pylist()])
+            for size in np.unique(sizes).tolist():
+                at = np.flatnonzero(sizes == size)
+                total = matrix(batch.column(0).take(pa.array(at)), size).sum(axis=0)
+                yield pa.record_batch({"size": pa.array(np.full(size, size, np.int32)), "at": pa.array(np.arange(size, dtype=np.int32)), "total": pa.array(total), "n": pa.array(np.full(size, len(at), np.int64))})
+
+    sums = reps.select("unit").mapInArrow(run, "size int, at int, total double, n long").groupBy("size", "at").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+    out: dict[int, np.ndarray] = {}
+    for row in sums.filter("n >= 1000").collect():
+        out.setdefault(row["size"], np.zeros(row["size"]))[row["at"]] = row["total"] / row["n"]
+    return out
+
+
+def sign_codes(units: np.ndarray, seed: int | list[int], centre: np.ndarray | None = None) -> np.ndarray:
+    """The signs of BITS random projections, as one unsigned number a vector."""
+    towards = np.random.default_rng(seed).standard_normal((units.shape[1], BITS))
+    return np.packbits(units @ towards >= (0 if centre is None else centre @ towards), axis=1).view(">u8")[:, 0].astype(np.uint64)
+
+
+def coded(reps: DataFrame, passes: range, means: dict[int, np.ndarray]) -> DataFrame:
     """A row for each vector and pass: pass, size, code (its place in the pass's order), rep, unit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -68,38 +101,87 @@ def coded(reps: DataFrame, passes: int) -> DataFrame:
                 at = np.flatnonzero(sizes == size)
                 part = batch.take(pa.array(at))
                 units = matrix(part.column(1), int(size))
-                for k in range(passes):
-                    signs = units @ np.random.default_rng(SEED + k).standard_normal((int(size), BITS)) >= 0
-                    code = np.packbits(signs, axis=1).view(">u8")[:, 0].astype(np.uint64) ^ np.uint64(1 << 63)
+                for k in passes:
+                    code = sign_codes(units, SEED + k, means.get(int(size))) ^ np.uint64(1 << 63)
                     yield pa.record_batch({"pass": pa.array(np.full(len(at), k, np.int32)), "size": pa.array(np.full(len(at), size, np.int32)), "code": pa.array(code.view(np.int64)), "rep": part.column(0), "unit": part.column(1)})
 
     return reps.select("rep", "unit").mapInArrow(run, "pass int, size int, code long, rep long, unit binary")
 
 
-def neighbours(rows: DataFrame, window: int, least: float) -> DataFrame:
-    """Links a, b found in windows of the order: of each partition a spanning forest of its verified pairs."""
+def window_links(units: np.ndarray, reps: np.ndarray, window: int, least: float, forest: Forest, local: int = 0, seed: int = 0) -> list[tuple[int, int]]:
+    """Verified pairs that join sets of the forest: of vectors within the window in the given order and in `local` orders of their own."""
+    out: list[tuple[int, int]] = []
+    short = units.astype(np.float32)
+    label = np.array([forest.root(x) for x in reps.tolist()], np.int64)
+    for k in range(local + 1 if len(reps) > 2 * window else 1):
+        order = np.argsort(sign_codes(units, [seed, k], units.mean(axis=0)), kind="stable") if k else np.arange(len(reps))
+        for first in range(0, len(order), window):
+            rows, columns = order[first : first + window], order[first : first + 2 * window]
+            a, b = np.nonzero(short[rows] @ short[columns].T >= least - 1e-4)
+            a, b = rows[a[a < b]], columns[b[a < b]]
+            apart = label[a] != label[b]
+            if not apart.any():
+                continue
+            a, b = a[apart], b[apart]
+            near = np.einsum("ij,ij->i", units[a], units[b]) >= least
+            a, b = a[near], b[near]
+            while len(a):
+                some = np.unique(b, return_index=True)[1]
+                for x, y in zip(reps[a[some]].tolist(), reps[b[some]].tolist()):
+                    if forest.join(x, y):
+                        out.append((x, y))
+                met = np.unique(np.concatenate([a, b]))
+                label[met] = [forest.root(x) for x in reps[met].tolist()]
+                apart = label[a] != label[b]
+                a, b = a[apart], b[apart]
+    return out
+
+
+def neighbours(rows: DataFrame, window: int, least: float, parts: int) -> DataFrame:
+    """Links a, b found in windows of the order: of each partition, and of each border of two, a spanning forest of its verified pairs."""
+
+    def links(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+        a, b = (pa.array(x, pa.int64()) for x in zip(*pairs))
+        empty = pa.nulls(len(a), pa.int32())
+        return pa.record_batch({"a": a, "b": b, "border": empty, "pass": empty, "size": empty, "code": pa.nulls(len(a), pa.int64()), "unit": pa.nulls(len(a), pa.binary())})
+
+    def edge(part: pa.Table, border: int) -> Iterator[pa.RecordBatch]:
+        n = part.num_rows
+        yield from pa.table({"a": part["rep"], "b": pa.nulls(n, pa.int64()), "border": pa.array(np.full(n, border, np.int32)), "pass": part["pass"], "size": part["size"], "code": part["code"], "unit": part["unit"]}).to_batches()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forest, out, tail = Forest(), [], None
+        forest, held, fresh, here = Forest(), None, 0, TaskContext.get().partitionId()
         for batch in batches:
-            part = pa.Table.from_batches([batch] if tail is None else [tail, batch]).combine_chunks().to_batches()[0]
-            group = part.column(0).to_numpy().astype(np.int64) << 32 | part.column(1).to_numpy()
-            reps, old = part.column(3).to_numpy(), part.num_rows - batch.num_rows
-            for g in np.unique(group):
-                at = np.flatnonzero(group == g)
-                units = matrix(part.column(4).take(pa.array(at)), int(g & 0xFFFFFFFF))
-                for k in range(1, min(window, len(at) - 1) + 1):
-                    near = np.flatnonzero(np.einsum("ij,ij->i", units[:-k], units[k:]) >= least)
-                    for a, b in zip(reps[at[near]].tolist(), reps[at[near + k]].tolist()):
-                        if forest.join(a, b):
-                            out.append((a, b))
-            tail = part.slice(max(0, part.num_rows - window))
-            if out:
-                yield pa.record_batch([pa.array(x, pa.int64()) for x in zip(*out)], names=["a", "b"])
-                out = []
-            assert old <= window
-
-    return rows.repartitionByRange("pass", "size", "code").sortWithinPartitions("pass", "size", "code", "rep").mapInArrow(run, "a long, b long")
+            if not batch.num_rows:
+                continue
+            if held is None:
+                yield from edge(pa.Table.from_batches([batch.slice(0, window)]), here - 1)
+            held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            fresh += batch.num_rows
+            if fresh >= CHUNK or held.nbytes >= CHUNK_BYTES:
+                if out := compared(held, forest, LOCAL):
+                    yield links(out)
+                held, fresh = held.slice(held.num_rows - min(window, held.num_rows)).combine_chunks(), 0
+        if held is not None:
+            if fresh and (out := compared(held, forest, LOCAL)):
+                yield links(out)
+            yield from edge(held.slice(held.num_rows - min(window, held.num_rows)), here)
+
+    def compared(part: pa.Table, forest: Forest, local: int) -> list[tuple[int, int]]:
+        out: list[tuple[int, int]] = []
+        group = part["pass"].to_numpy().astype(np.int64) << 32 | part["size"].to_numpy()
+        for g in np.unique(group).tolist():
+            at = pa.array(np.flatnonzero(group == g))
+            out += window_links(matrix(part["unit"].take(at), g & 0xFFFFFFFF), part["rep"].take(at).to_numpy(), window, least, forest, local, SEED + (g >> 32))
+        return out
+
+    def across(part: pa.Table) -> pa.Table:
+        out = compared(part.rename_columns({"a": "rep"}).sort_by([("code", "ascending"), ("rep", "ascending")]), Forest(), 0)
+        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([x for _, x in out], pa.int64())})
+
+    ordered = rows.repartitionByRange(parts, "pass", "size", "code").sortWithinPartitions("pass", "size", "code", "rep")
+    found = written(ordered.mapInArrow(run, "a long, b long, border int, pass int, size int, code long, unit binary"), "neighbours")
+    return found.filter("b is not null").select("a", "b").unionByName(found.filter("b is null").groupBy("border").applyInArrow(across, "a long, b long"))
 
 
 def counted(members: DataFrame, least: float, block: int) -> DataFrame:
@@ -144,11 +226,28 @@ def counted(members: DataFrame, least: float, block: int) -> DataFrame:
     return counts.groupBy("rep").agg(F.sum("links").alias("links"))
 
 
+def joined(reps: DataFrame, passes: int, window: int, least: float) -> DataFrame:
+    """node, root of all links that rounds of passes find, until a round adds next to none."""
+    means, n = centres(reps), reps.count()
+    most = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    done, before, known = 0, 0, None
+    while True:
+        more = range(done, done + (max(1, passes // 2) if done else passes))
+        total = n * len(more)
+        # partitions of several windows at least, so that a border has no third one in its reach
+        links = neighbours(coded(reps, more, means), window, least, max(1, min(total // (64 * window), max(most, total // 500_000))))
+        known = components(links if known is None else links.unionByName(known.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+        now = known.count()  # a join each
+        if n <= window or done and now - before <= now // SETTLED:
+            return known
+        done, before = more.stop, now
+
+
 def near_duplicates(rows: DataFrame, least: float = LEAST_COSINE, passes: int = PASSES, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row."""
     vectors = written(unit_vectors(rows), "vectors")
     reps = written(vectors.filter("key is not null").groupBy("key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"), F.first("unit").alias("unit")), "reps")
-    roots = components(neighbours(coded(reps, passes), window, least))
+    roots = joined(reps, passes, window, least)
     rooted = written(reps.join(roots, reps["rep"] == roots["node"], "left").select("key", "rep", "weight", "unit", F.coalesce("root", "rep").alias("root")), "rooted")
     large = rooted.groupBy("root").agg(F.count("*").alias("_n")).filter("_n > 1").select("root")
     links = counted(rooted.join(large, "root").select("root", "rep", "weight", "unit"), least, block)

@@ -132,6 +132,29 @@ def test_embeddings(spark):
     assert embeddings.near_duplicates(frame.limit(0)).count() == 0
 
 
+def test_pairs_in_a_dense_topic_are_found(spark):
+    rng = np.random.default_rng(8)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    n, planted = 20_000, 500
+    x = unit(np.sqrt(0.8) * unit(rng.normal(size=(1, 64))) + np.sqrt(0.2) * unit(rng.normal(size=(n, 64))))
+    a = np.arange(planted) * 2
+    aside = rng.normal(size=(planted, 64))
+    aside = unit(aside - (aside * x[a]).sum(1, keepdims=True) * x[a])
+    x[a + 1] = 0.955 * x[a] + np.sqrt(1 - 0.955**2) * aside
+    frame = spark.createDataFrame(pa.table({"vec_id": pa.array(np.arange(n)), "embedding": pa.array(list(x), pa.list_(pa.float64()))})).repartition(4)
+    got = {r.vec_id: r.component_id for r in embeddings.near_duplicates(frame).filter(f"vec_id < {2 * planted}").collect()}
+    assert sum(got[i] == got[i + 1] for i in a.tolist()) >= 0.99 * planted
+
+
+def test_windows_cross_borders(spark):
+    x = np.random.default_rng(9).normal(size=(400, 8))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rows = [(0, 8, i, i, x[i // 2].tobytes()) for i in range(800)]
+    frame = spark.createDataFrame(rows, "pass int, size int, code long, rep long, unit binary")
+    links = embeddings.neighbours(frame, 8, 0.999, 7).collect()
+    assert {(min(r), max(r)) for r in links} == {(i, i + 1) for i in range(0, 800, 2)}
+
+
 # op3
 
 
