@@ -7,7 +7,8 @@ MIN_LEFT of its words is depleted and rejected.
 
 The query counts doc_ids, as its SQL does: there a group of copies that is over MAX_SHARE of its host is rejected whole. The
 pipeline (clean) counts bodies: documents of a host with the same set of normalised lines are one, so no document goes because it
-has copies, and the Jaccard join is left one of each group. Near copies with lines of their own are several bodies.
+has copies, and the Jaccard join is left one of each group. Near copies with lines of their own are several bodies. There the
+limit is the square root of the host's bodies where that is less than MAX_SHARE of them, so it doesn't rise with the host.
 
 Only hashes and counts are shuffled, never texts; a hot host or a hot line is pre-aggregated before it meets its limit.
 
@@ -19,7 +20,6 @@ no rows. The operator's own columns are prefixed, so names can't clash.
 from __future__ import annotations
 
 import hashlib
-import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -102,9 +102,9 @@ def measured(docs: DataFrame, min_words: int = MIN_WORDS, max_repeated: float =
         lines = [[{"h": line_hash(x), "n": len(BLANKS.sub(" ", x).strip(" ").split(" "))} for x in t.split("\n") if x.strip(" \t\n\v\f\r")] for t in texts]
         ids = [hashlib.blake2b(f"{d} {h} {t}".encode(), digest_size=16).digest() for d, h, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts)]
         bodies = [hashlib.blake2b(np.unique(np.array([x["h"] for x in ls], np.int64)).tobytes(), digest_size=16).digest() for ls in lines]
-        return pa.record_batch({"_doc": batch.column(0), "_host": batch.column(1), "_mark": pa.array([zlib.crc32(t.encode()) for t in texts], pa.int64()), "_id": pa.array(ids, pa.binary()), "_body": pa.array(bodies, pa.binary())} | {k: pa.array(v) for k, v in base.items()} | {"base_failed": pa.array(failed), "_lines": pa.array(lines, pa.list_(pa.struct([("h", pa.int64()), ("n", pa.int64())])))})
+        return pa.record_batch({"_doc": batch.column(0), "_host": batch.column(1), "_mark": pa.array([hashlib.md5(t.encode()).digest() for t in texts], pa.binary()), "_id": pa.array(ids, pa.binary()), "_body": pa.array(bodies, pa.binary())} | {k: pa.array(v) for k, v in base.items()} | {"base_failed": pa.array(failed), "_lines": pa.array(lines, pa.list_(pa.struct([("h", pa.int64()), ("n", pa.int64())])))})
 
-    return map_batches(docs.select(docs["doc_id"].cast("long").alias("_doc"), host_key(docs).alias("_host"), "text"), step, f"_doc long, _host string, _mark long, _id binary, _body binary, {BASE}, _lines array<struct<h: long, n: long>>")
+    return map_batches(docs.select(docs["doc_id"].cast("long").alias("_doc"), host_key(docs).alias("_host"), "text"), step, f"_doc long, _host string, _mark binary, _id binary, _body binary, {BASE}, _lines array<struct<h: long, n: long>>")
 
 
 def common_lines(rows: DataFrame, max_share: float = MAX_SHARE, min_docs: int = MIN_DOCS, unit: str = "_doc") -> DataFrame:
@@ -112,7 +112,10 @@ def common_lines(rows: DataFrame, max_share: float = MAX_SHARE, min_docs: int =
     docs = rows.select("_host", unit).distinct().groupBy("_host").agg(F.count("*").alias("_docs"))
     lines = rows.select("_host", unit, F.explode(F.array_distinct(F.col("_lines.h"))).alias("_h"))
     counts = lines.distinct().groupBy("_host", "_h").agg(F.count("*").alias("_n")).filter(F.col("_n") > min_docs)
-    return counts.join(docs, "_host").filter(F.col("_n") > max_share * F.col("_docs")).select("_host", "_h")
+    limit = max_share * F.col("_docs")
+    if unit == "_body":
+        limit = F.least(limit, F.sqrt("_docs"))
+    return counts.join(docs, "_host").filter(F.col("_n") > limit).select("_host", "_h")
 
 
 def judged(docs: DataFrame, max_share: float = MAX_SHARE, min_docs: int = MIN_DOCS, min_left: float = MIN_LEFT, unit: str = "_doc") -> tuple[DataFrame, DataFrame]:
@@ -120,7 +123,7 @@ def judged(docs: DataFrame, max_share: float = MAX_SHARE, min_docs: int = MIN_DO
     rows = written(measured(docs), "measures")
     common = written(common_lines(rows, max_share, min_docs, unit), "lines")
     words = rows.select("_host", "_id", F.explode("_lines").alias("_l")).select("_host", "_id", F.col("_l.h").alias("_h"), F.col("_l.n").alias("_n"))
-    removed = words.join(common, ["_host", "_h"]).groupBy("_id").agg(F.sum("_n").alias("_removed"))
+    removed = words.join(common, ["_host", "_h"]).groupBy("_id").agg(F.sum("_n").alias("_removed"), F.collect_set("_h").alias("_gone"))
     twice = rows.groupBy("_id").agg(F.count("*").alias("_rows")).filter("_rows > 1")
     out = rows.drop("_lines").join(removed, "_id", "left").join(twice, "_id", "left")
     out = out.withColumn("n_removed_words", F.floor(F.coalesce("_removed", F.lit(0)) / F.coalesce("_rows", F.lit(1))).cast("long")).drop("_removed", "_rows")
@@ -129,13 +132,12 @@ def judged(docs: DataFrame, max_share: float = MAX_SHARE, min_docs: int = MIN_DO
 
 def clean(docs: DataFrame) -> DataFrame:
     """The documents that are kept, with their common lines removed from the text (and n_chars set anew); the columns of docs."""
-    verdicts, common = judged(docs, unit="_body")
+    verdicts, _ = judged(docs, unit="_body")
     rows, restored = sheltered(docs, "doc_id", "text", "source")
     hosted = rows.withColumns({"_host": host_key(rows), "_key": F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))})
-    kept = verdicts.filter("kept").select(F.coalesce("_doc", F.lit(NULL_ID)).alias("_key"), "_host", "_mark").distinct()
-    by_host = common.groupBy("_host").agg(F.collect_set("_h").alias("_common"))  # a host has few: each is on a share of its documents
-    marked = hosted.withColumn("_mark", F.crc32(F.coalesce("text", F.lit("")).cast("binary")))
-    wide = marked.join(kept, ["_key", "_host", "_mark"], "left_semi").join(by_host, "_host", "left").drop("_key", "_host", "_mark")
+    kept = verdicts.filter("kept").select(F.coalesce("_doc", F.lit(NULL_ID)).alias("_key"), "_host", "_mark", F.col("_gone").alias("_common")).dropDuplicates(["_key", "_host", "_mark"])
+    marked = hosted.withColumn("_mark", F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))))
+    wide = marked.join(kept, ["_key", "_host", "_mark"]).drop("_key", "_host", "_mark")
     schema = T.StructType([f for f in wide.schema if f.name != "_common"])
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:

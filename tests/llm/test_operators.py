@@ -304,6 +304,16 @@ def test_large_groups_of_copies_stay_in_the_pipeline(spark):
     assert left == {i: t.removesuffix("\n" + footer) for i, t in enumerate(values)}
 
 
+def test_the_limit_of_a_large_host_is_no_share_in_the_pipeline(spark):
+    rng = random.Random(8)
+    own = lambda n: " ".join(rng.choice(WORDS) for _ in range(n))
+    footer, rare = "a footer of one document in fifteen", "a line of one document in a hundred"
+    values = [own(60) + ("\n" + footer if i % 15 == 0 else "\n" + rare if i % 100 == 1 else "") for i in range(1500)] + [own(20) + "\n" + "\n".join([footer] * 20)]
+    docs = documents(spark, values).withColumn("source", F.lit("h"))
+    left = {r.doc_id: r.text for r in quality.clean(docs).collect()}
+    assert 1500 not in left and left == {i: t.removesuffix("\n" + footer) for i, t in enumerate(values[:1500])}
+
+
 # op6, op9
 
 
