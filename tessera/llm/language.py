@@ -6,7 +6,9 @@ chosen by hash over all labelled rows (that bound is the only sample). A text is
 its first byte to its last, the last padded with blanks; a text's scores are its windows' probabilities,
 weighted by their bytes.
 
-Edge cases: a null text, and one without a letter, is `und` with score 0. Without any labelled row all are `und`. Ties go to the
+Texts never move: the training windows are cut and the predictions made where a text is read.
+
+Edge cases: a null text, and one without a letter, is `und` with score 0; a very long one is scored over all its windows. Without any labelled row all are `und`. Ties go to the
 label that is first by code point. A null doc_id is not held out. Other columns are ignored, whatever their names.
 """
 
@@ -27,7 +29,7 @@ FILTERS = 16
 WINDOW = 256
 WINDOWS_PER_LANGUAGE = 1200
 WINDOWS_PER_DOCUMENT = 3
-#: Rows that are drawn for each that is taken: some are held out or have no letter.
+#: Rows that are drawn for each that is taken: draws scatter, and some texts have no letter.
 SPARE = 8
 EPOCHS = 8
 LEAST_STEPS = 300
@@ -120,35 +122,42 @@ def remainder(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 3
 
 
-def fitted(docs: DataFrame) -> Network | None:
-    """A network learnt from the rows with a label that are not held out; None without such rows."""
-    usable = docs.filter(F.coalesce(remainder(F.col("doc_id")) != 1, F.lit(True)) & F.col("lang").isNotNull() & F.col("text").rlike("\\p{L}"))
+def drawn_windows(docs: DataFrame) -> DataFrame:
+    """lang, windows (joined) of the rows that the network learns from, at most `most` a label: where a text lies its windows are cut, so no text moves.
+
+    Rows are drawn by a hash of doc_id and text against a threshold for their label. The thresholds come from the labels' counts, one
+    row a label, as many as the network has outputs. Rows with the same doc_id and text are drawn once.
+    """
     most = WINDOWS_PER_LANGUAGE // WINDOWS_PER_DOCUMENT
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    # by their hash a few times as many rows as are taken come together, however large the table
-    sizes = docs.filter("lang IS NOT NULL").groupBy("lang").agg(F.count("*").alias("_all"))
-    drawn = usable.select("doc_id", "lang", "text", draw.alias("_draw")).join(sizes, "lang").filter(F.col("_draw") < SPARE * most / F.col("_all"))
-    order = Window.partitionBy("lang").orderBy("_draw", "doc_id", "text")
-    chosen = drawn.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= most)
+    usable = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text").filter(F.coalesce(remainder(F.col("doc_id")) != 1, F.lit(True)) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    share = {r.lang: SPARE * most / r.n for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    threshold = F.create_map(*(F.lit(x) for pair in share.items() for x in pair))[F.col("lang")] if share else F.lit(0.0)
+    draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
+    drawn = usable.withColumn("_draw", draw).filter((F.col("_draw") < threshold) & F.col("text").rlike("\\p{L}"))
 
     def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs, out, to = batch.column(0).to_pylist(), [], []
             raw, at = text_bytes(text_column(batch))
-            for row, lang in enumerate(langs):
+            out = []
+            for row in range(batch.num_rows):
                 x = cut(raw[at[row] : at[row + 1]])
-                for k in np.unique(np.linspace(0, len(x) - 1, WINDOWS_PER_DOCUMENT).astype(int)):
-                    out.append(x[k].tobytes())
-                    to.append(lang)
-            if out:
-                yield pa.record_batch({"lang": pa.array(to), "window": pa.array(out, pa.binary())})
+                out.append(x[np.unique(np.linspace(0, len(x) - 1, WINDOWS_PER_DOCUMENT).astype(int))].tobytes())
+            yield pa.record_batch([*batch.columns[:3], pa.array(out, pa.binary())], names=["lang", "doc_id", "draw", "windows"])
 
-    rows = sorted((r.lang, bytes(r.window)) for r in chosen.select("lang", "text").mapInArrow(some, "lang string, window binary").collect())
+    cuts = drawn.select("lang", "doc_id", F.col("_draw").alias("draw"), "text").mapInArrow(some, "lang string, doc_id long, draw double, windows binary").distinct()
+    order = Window.partitionBy("lang").orderBy("draw", "doc_id", "windows")
+    return cuts.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= most).select("lang", "windows")
+
+
+def fitted(docs: DataFrame) -> Network | None:
+    """A network learnt from the rows with a label that are not held out; None without such rows."""
+    rows = sorted((r.lang, bytes(r.windows)) for r in drawn_windows(docs).collect())
     if not rows:
         return None
     labels = sorted({x for x, _ in rows})
     net = Network(labels)
-    net.train(np.frombuffer(b"".join(w for _, w in rows), np.uint8).reshape(-1, WINDOW), np.array([labels.index(x) for x, _ in rows]))
+    x = np.frombuffer(b"".join(w for _, w in rows), np.uint8).reshape(-1, WINDOW)
+    net.train(x, np.repeat([labels.index(lang) for lang, _ in rows], [len(w) // WINDOW for _, w in rows]))
     return net
 
 
@@ -161,9 +170,8 @@ def predicted(docs: DataFrame, net: Network | None) -> DataFrame:
             net.prepare()
         for batch in batches:
             column = text_column(batch, "text")
-            texts = column.to_pylist()
-            letters = np.array([any(map(str.isalpha, t)) for t in texts], bool)
-            total = np.zeros((len(texts), max(1, len(labels))))
+            letters = np.array(batch.column(3).to_pylist(), bool)
+            total = np.zeros((len(letters), max(1, len(labels))))
             raw, at = text_bytes(column)
             for first, end in slices(at, AT_ONCE * WINDOW) if net else []:
                 windows = [cut(raw[at[r] : at[r + 1]]) for r in range(first, end)]
@@ -178,9 +186,9 @@ def predicted(docs: DataFrame, net: Network | None) -> DataFrame:
             total /= np.maximum(1, np.diff(at))[:, None]
             best = total.argmax(1)
             known = letters & bool(labels)
-            yield pa.record_batch({"doc_id": batch.column(0), "held_out": batch.column(1), "lang_pred": pa.array([labels[b] if k else UNDETERMINED for b, k in zip(best.tolist(), known.tolist())], pa.string()), "score": pa.array(np.where(known, np.clip(total[np.arange(len(texts)), best], 0, 1), 0.0))})
+            yield pa.record_batch({"doc_id": batch.column(0), "held_out": batch.column(1), "lang_pred": pa.array([labels[b] if k else UNDETERMINED for b, k in zip(best.tolist(), known.tolist())], pa.string()), "score": pa.array(np.where(known, np.clip(total[np.arange(len(letters)), best], 0, 1), 0.0))})
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(remainder(F.col("doc_id")) == 1, F.lit(False)).alias("held_out"), "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(remainder(F.col("doc_id")) == 1, F.lit(False)).alias("held_out"), "text", F.coalesce(F.col("text").rlike("\\p{L}"), F.lit(False)).alias("letters"))
     return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
