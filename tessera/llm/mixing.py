@@ -2,7 +2,7 @@
 
 Document rates r = exp(l * size / mean size of the source), at most MAX_RATE, are the rates nearest to 1
 in relative entropy whose words sum to the source's target. The dual is convex and falls apart by source:
-one l each, found by Newton steps on the logarithm of the words. The steps run on the counts of (source,
+one l each, found by Newton steps on the logarithm of the words, repeated until every source has settled. The steps run on the counts of (source,
 size), so a hot source costs as many rows as it has sizes. Rates become copies: the whole part,
 and one more where the fraction beats the document's draw (a hash) by more than a threshold, which two
 passes over histograms of these margins set so that the source's words come nearest to the target.
@@ -10,6 +10,8 @@ passes over histograms of these margins set so that the source's words come near
 Targets: sources in code-point order, null last, weigh 1, 2, 3, 1, ...; they share all words by weight,
 none above MAX_RATE times its own; the excess goes to the others by weight.
 
+Copies hang on (doc_id, source, size) alone: ties in draws go the same way, and no text moves for them.
+
 Edge cases: a null text has size 0; a document of size 0 has one copy of no words. A null source is a source.
 Repeated rows share their draw. An empty table gives no rows. The input's columns keep their names;
 the operator's own are prefixed, so that names can't clash.
@@ -20,12 +22,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import sheltered, written
+from tessera.llm.shared import discard, sheltered, written
 
 WORD = "[^\\x20\\x09-\\x0D]+"
 MAX_RATE = 3
-NEWTON_STEPS = 12
+#: Steps between two looks at how far the sources are from their targets; bisection alone needs some 60 in all.
 STEPS_PER_TABLE = 4
+MOST_STEPS = 120
+MOST_TILT = 1e6
+#: A source has settled when its words are so near to its target, relatively.
+SETTLED = 1e-9
 BINS = 4096
 
 
@@ -61,8 +67,11 @@ def newton_step(counts: DataFrame, state: DataFrame) -> DataFrame:
     bracket = sums.withColumns({"_lo": low, "_hi": high, "_next": F.col("_tilt") - F.log(F.try_divide("_words", "_target")) * F.try_divide("_words", "_slope")})
     inside = F.col("_next").isNotNull() & ~F.isnan("_next") & (F.col("_next") > F.col("_lo")) & (F.col("_next") < F.col("_hi"))
     middle = (F.col("_lo") + F.col("_hi")) / 2
-    settled = F.col("_words") == F.col("_target")
-    return bracket.select("_key", "_source_size", "_mean", "_target", "_full", F.when(settled, F.col("_tilt")).when(inside, F.col("_next")).otherwise(middle).alias("_tilt"), "_lo", "_hi")
+    # none left either where the bracket has closed: no tilt brings the words nearer
+    closed = F.col("_hi") - F.col("_lo") <= 1e-12 * F.greatest(F.lit(1.0), F.abs("_tilt"))
+    gap = F.when(closed, F.lit(0.0)).otherwise(F.coalesce(F.abs(F.log(F.try_divide("_words", "_target"))), F.lit(0.0)))
+    tilt = F.when(gap < SETTLED, F.col("_tilt")).when(inside, F.col("_next")).otherwise(middle)
+    return bracket.select("_key", "_source_size", "_mean", "_target", "_full", tilt.alias("_tilt"), "_lo", "_hi", gap.alias("_gap"))
 
 
 def balanced(rows: DataFrame) -> DataFrame:
@@ -70,12 +79,18 @@ def balanced(rows: DataFrame) -> DataFrame:
     counts = written(rows.groupBy("_key", "_size").agg(F.count("*").alias("_n")), "sizes")
     by_source = counts.groupBy("_key").agg(F.sum(F.col("_n") * F.col("_size")).alias("_source_size"), F.sum("_n").alias("_docs"))
     by_source = by_source.select("_key", "_source_size", F.greatest(F.lit(1.0), F.col("_source_size") / F.col("_docs")).alias("_mean"))
-    state = targets(by_source).withColumns({"_full": F.col("_target") >= MAX_RATE * F.col("_source_size") * (1 - 1e-12), "_tilt": F.lit(0.0), "_lo": F.lit(-1e4), "_hi": F.lit(1e4)})
-    for step in range(NEWTON_STEPS):
-        if step % STEPS_PER_TABLE == 0:
-            state = written(state, "tilts")
-        state = newton_step(counts, state)
-    return written(state.drop("_lo", "_hi"), "tilts")
+    state = targets(by_source).withColumns({"_full": F.col("_target") >= MAX_RATE * F.col("_source_size") * (1 - 1e-12), "_tilt": F.lit(0.0), "_lo": F.lit(-MOST_TILT), "_hi": F.lit(MOST_TILT)})
+    state = written(state, "tilts")
+    for _ in range(0, MOST_STEPS, STEPS_PER_TABLE):
+        before = state
+        for _ in range(STEPS_PER_TABLE):
+            state = newton_step(counts, state)
+        state = written(state, "tilts")
+        discard(before)
+        if (state.agg(F.max("_gap")).first()[0] or 0.0) < SETTLED:
+            discard(counts)
+            return state.drop("_lo", "_hi", "_gap")
+    raise RuntimeError("a source did not settle at its target")
 
 
 def with_margin(rows: DataFrame, state: DataFrame) -> DataFrame:
@@ -110,6 +125,7 @@ def mix(docs: DataFrame, columns: tuple[str, ...] | None = None) -> DataFrame:
     second = crossing(inner, first.select("_key", "_bin_at", "_done", "_need"), "_sub", "_done")
     last = second.select("_key", "_sub_at", (F.col("_need") - F.col("_done") > F.col("_done") + F.col("_there") - F.col("_need")).alias("_with_last"))
     limits = state.join(need.select("_key", "_need"), "_key").join(first.select("_key", "_bin_at"), "_key", "left").join(last, "_key", "left")
+    limits = written(limits, "limits")  # a row a source, of known size: Spark broadcasts it if it is small, so that no text moves
     marked = with_margin(rows, limits)
     beyond = F.col("_need") > 0  # no crossing: all that are open, or none
     extra = F.when(F.col("_bin_at").isNull(), beyond).when(F.col("_bin") != F.col("_bin_at"), F.col("_bin") < F.col("_bin_at")).when(F.col("_sub") != F.col("_sub_at"), F.col("_sub") < F.col("_sub_at")).otherwise(F.col("_with_last"))

@@ -10,9 +10,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tessera.storage import fresh_dir, shared_dir, written
+from tessera.storage import discard, fresh_dir, shared_dir, written
 
-__all__ = ["fresh_dir", "few_rows", "give_back", "map_batches", "open_fs", "shared_dir", "sheltered", "slices", "text_bytes", "text_column", "written"]
+__all__ = ["discard", "fresh_dir", "few_rows", "give_back", "map_batches", "open_fs", "shared_dir", "sheltered", "slices", "text_bytes", "text_column", "written"]
 
 
 def open_fs(uri: str):
