@@ -3,17 +3,19 @@
 A byte goes if a string of LENGTH bytes that covers it starts anywhere else too, in the same document or
 another. Strings are dealt by anchors (see anchors()): equal strings have the same anchor hash, so
 1. anchor hashes that occur once drop out after a partial aggregate of their counts;
-2. where all runs of an anchor are equal in context, all their strings repeat;
-3. the different contexts of the other anchors, each once, go to buckets of bounded size. In each bucket a run-compressed
-   Burrows-Wheeler transform is built with the suffixes at both ends of its runs sampled; from these samples the longest match of
-   every place with another place is streamed through the text, and starts with LENGTH or more are marked.
-   An anchor with more contexts than a bucket takes is settled by the digests of its single strings, counted.
-Hot passages and groups of copies are one row a context from the first map-side aggregate on.
+2. the runs of strings of the other anchors become contexts: each different one once (by a 128-bit hash), with its number as weight;
+3. contexts go by anchor to buckets of bounded size. A bucket's run-compressed Burrows-Wheeler transform is that of all copies: copies
+   only lengthen its runs, so they enter as weights. The suffixes at both ends of its runs are sampled; from these samples the
+   longest match of every place with another place is streamed through the text, and starts with LENGTH or more are marked.
+An anchor with more contexts than a bucket takes is split until it fits: the strings by how far they reach to the left of the
+anchor, in halves of halves; those of one part share more bytes, which are the part's key. Parts of one string each
+share all bytes, so any anchor ends in buckets. Hot passages and groups of copies are one row a context from the first map-side
+aggregate on, and no join has a hot key on a side that can't be split.
 
 Edge cases: a null text is an empty one. Texts under LENGTH bytes keep all. Copies of a document remove each other
 whole, repeated rows (same doc_id and text) too. Null doc_ids stay. Removal is by bytes for the digest; the text that
-deduplicated() returns keeps characters whole: one that is cut by a span's end stays. An empty table gives no
-rows. The operator's own columns are prefixed, so names can't clash.
+deduplicated() returns keeps characters whole: one that is cut by a span's end stays. A text of any length is taken whole, in
+overlapping parts. An empty table gives no rows. The operator's own columns are prefixed, so names can't clash.
 """
 
 from __future__ import annotations
@@ -42,7 +44,10 @@ SYMBOL_BITS = 9
 FIRST = 4
 #: A document's bytes that one call of anchors() takes; longer ones are taken in overlapping parts.
 PART = 1 << 23
-ANCHOR = "_doc long, _tag long, _start long, _count int, _seed long, _context long"
+ANCHOR = "_doc long, _tag long, _start long, _count int, _left int, _seed long, _context long, _check long"
+CONTEXT = ["_seed", "_context", "_check"]
+#: A part of a split anchor has the strings whose reach to the left lies in one block of so many bytes, halved from split to split.
+WIDEST = 128
 
 
 def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
@@ -54,8 +59,8 @@ def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (width - done)], x[width - done :]) if done < width else x
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray, length: int, seed: int) -> tuple[np.ndarray, ...]:
-    """For all strings of `length` bytes inside documents: (row, first start, number of starts, seed hash, context hash) of each run of them with one anchor.
+def anchors(data: np.ndarray, offsets: np.ndarray, length: int, seed: int, seeds_only: bool = False) -> tuple[np.ndarray, ...]:
+    """For all strings of `length` bytes inside documents, of each run of them with one anchor: its seed hash, then (unless seeds_only) row, first start, number of starts, how far the first start lies before the anchor, and the context's two hashes.
 
     A string's anchor is the place in it of the least hash of `seed` bytes, the leftmost of equals. It depends on the
     string alone, so equal strings have equal anchor hashes at equal distances, and only runs with the same seed hash
@@ -63,28 +68,32 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int, seed: int) -> tu
     """
     none = np.zeros(0, np.int64)
     if len(data) < length:
-        return none, none, none, none, none
+        return (none,) * (1 if seeds_only else 7)
     sums = prefix(data)
     at = np.arange(len(data) - seed + 1)
     hashes = span_hashes(sums, at, at + seed)
     low = np.uint64((1 << PLACE_BITS) - 1)
     least = sliding_least((hashes & ~low) | at.astype(np.uint64), length - seed + 1)
     place = (least & low).astype(np.int64)
+    del least
     sizes = np.diff(offsets)
     row = np.repeat(np.arange(len(sizes)), sizes)[: len(place)]
     valid = np.arange(len(place)) + length <= np.repeat(offsets[1:], sizes)[: len(place)]
     first = valid.copy()
     first[1:] &= ~(valid[:-1] & (place[1:] == place[:-1]) & (row[1:] == row[:-1]))
     starts = np.flatnonzero(first)
-    count = np.add.reduceat(valid, starts) if len(starts) else none
     anchor = place[starts]
-    context = span_hashes(sums, starts, starts + count - 1 + length)
-    context = mixed(context ^ ((anchor - starts) * 1024 + count).astype(np.uint64))
-    return row[starts], starts - offsets[row[starts]], count, hashes[anchor].view(np.int64), context.view(np.int64)
+    if seeds_only:
+        return (hashes[anchor].view(np.int64),)
+    count = np.add.reduceat(valid, starts) if len(starts) else none
+    left, ends = anchor - starts, starts + count - 1 + length
+    shape = (left * 1024 + count).astype(np.uint64)
+    context, check = (mixed(span_hashes(prefix(data, k) if k else sums, starts, ends, k) ^ shape).view(np.int64) for k in (0, 1))
+    return hashes[anchor].view(np.int64), row[starts], starts - offsets[row[starts]], count, left, context, check
 
 
-def anchor_rows(docs: DataFrame, length: int, seed: int) -> DataFrame:
-    """The anchors of all texts. docs: _doc, _tag, text."""
+def anchor_rows(docs: DataFrame, length: int, seed: int, seeds_only: bool = False) -> DataFrame:
+    """The anchors of all texts, or their seed hashes alone. docs: _doc, _tag, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -93,31 +102,36 @@ def anchor_rows(docs: DataFrame, length: int, seed: int) -> DataFrame:
             for first, end in slices(at, CHUNK):
                 for part in range(int(at[first]), max(int(at[end]) - length + 1, int(at[first]) + 1), PART):
                     if end - first > 1 or part + PART + length - 1 >= at[end] and part == at[first]:
-                        found = anchors(raw[at[first] : at[end]], at[first : end + 1] - at[first], length, seed)
+                        found = anchors(raw[at[first] : at[end]], at[first : end + 1] - at[first], length, seed, seeds_only)
                     else:
                         data = raw[part : min(int(at[end]), part + PART + length - 1)]
-                        found = anchors(data, np.array([0, len(data)]), length, seed)
-                    row, start, count, hashes, context = found
-                    if len(row):
+                        found = anchors(data, np.array([0, len(data)]), length, seed, seeds_only)
+                    if len(found[0]) and seeds_only:
+                        yield pa.record_batch([pa.array(found[0])], names=["_seed"])
+                    elif len(found[0]):
+                        hashes, row, start, count, left, context, check = found
                         where = pa.array(first + row)
-                        yield pa.record_batch([ids.take(where), tags.take(where), pa.array(start + (part - int(at[first]) if end - first == 1 else 0)), pa.array(count.astype(np.int32)), pa.array(hashes), pa.array(context)], names=["_doc", "_tag", "_start", "_count", "_seed", "_context"])
+                        start = start + (part - int(at[first]) if end - first == 1 else 0)
+                        yield pa.record_batch([ids.take(where), tags.take(where), pa.array(start), pa.array(count.astype(np.int32)), pa.array(left.astype(np.int32)), pa.array(hashes), pa.array(context), pa.array(check)], names=["_doc", "_tag", "_start", "_count", "_left", *CONTEXT])
                     if end - first > 1:
                         break
 
-    return docs.select("_doc", "_tag", "text").mapInArrow(run, ANCHOR)
+    return docs.select("_doc", "_tag", "text").mapInArrow(run, "_seed long" if seeds_only else ANCHOR)
 
 
 class RunIndex:
     """The run-compressed transform of a text of symbols, with the suffixes at its runs' heads and tails.
 
+    weights: how many copies of the text's parts there are, a number for each place; a run's length counts its suffixes so often.
     heads, tails: places in the text of the first and last suffix of each run; head_match, tail_match: how long the
     head's match with the suffix before it is, and the tail's with the one after it. Inside a run, the suffix one place on has
-    a match shorter by one, so these samples hold the longest match of every place.
+    a match shorter by one, so these samples hold the longest match of every place. A part with copies begins a run of its own
+    kind (nothing precedes it), and its first place matches the copy's to the part's end: `copied` has these.
     """
 
-    def __init__(self, symbols: np.ndarray):
+    def __init__(self, symbols: np.ndarray, weights: np.ndarray | None = None, copied: dict[str, np.ndarray] | None = None):
         n = self.n = len(symbols)
-        self.symbols = symbols
+        self.symbols, self.copied = symbols, copied
         places = np.arange(n, dtype=np.uint64)
         bits, mask = np.uint64(INDEX_BITS), np.uint64((1 << INDEX_BITS) - 1)
         padded = np.zeros(n + FIRST, np.uint64)
@@ -125,28 +139,34 @@ class RunIndex:
         key = np.zeros(n, np.uint64)
         for k in range(FIRST):
             key = key << np.uint64(SYMBOL_BITS) | padded[k : n + k]
-        self.ranks, self.depths, depth = [], [], FIRST
+        # a suffix's rank is the slot of the first of its group of equals; only groups of several are sorted again
+        order, rank, slots = np.zeros(n, np.int64), np.zeros(n, np.int32), np.arange(n)
+        self.ranks, self.depths, depth, active = [], [], FIRST, places
         while True:
-            ordered = np.sort(key << bits | places)
-            order, kept = (ordered & mask).astype(np.int64), ordered >> bits
-            rank = np.empty(n, np.int32)
-            steps = np.zeros(n, np.int32)
-            steps[1:] = kept[1:] != kept[:-1]
-            rank[order] = np.cumsum(steps, dtype=np.int32)
+            ordered = np.sort(key << bits | active)
+            found, kept = (ordered & mask).astype(np.int64), ordered >> bits
+            fresh = np.ones(len(slots), bool)
+            fresh[1:] = kept[1:] != kept[:-1]
+            order[slots] = found
+            rank = rank.copy()
+            rank[found] = slots[np.maximum.accumulate(np.where(fresh, np.arange(len(slots)), 0))]
             self.ranks.append(rank)
             self.depths.append(depth)
-            if not n or rank[order[-1]] == n - 1:
+            several = ~fresh
+            several[:-1] |= ~fresh[1:]
+            if not several.any():
                 break
-            follow = np.zeros(n, np.uint64)
-            follow[: max(0, n - depth)] = rank[depth:].astype(np.uint64) + np.uint64(1)
-            key = rank.astype(np.uint64) << bits | follow
+            slots, at = slots[several], found[several]
+            follow = np.where(at + depth < n, rank[np.minimum(at + depth, n - 1)] + 1, 0)
+            key, active = rank[at].astype(np.uint64) << bits | follow.astype(np.uint64), at.astype(np.uint64)
             depth *= 2
         before = np.full(n, -1, np.int32)  # what precedes each suffix; nothing precedes the text
         before[order > 0] = symbols[order[order > 0] - 1]
         change = np.ones(n + 1, bool)
-        change[1:n] = (before[1:] != before[:-1])
+        change[1:n] = before[1:] != before[:-1]
         heads, tails = np.flatnonzero(change[:n]), np.flatnonzero(change[1:])
-        self.run_symbols, self.run_lengths = before[heads], tails - heads + 1
+        self.run_symbols = before[heads]
+        self.run_lengths = tails - heads + 1 if weights is None else np.add.reduceat(weights[order], heads) if n else heads
         self.heads, self.tails = order[heads], order[tails]
         self.head_match = np.where(heads > 0, self._match(self.heads, order[np.maximum(heads - 1, 0)]), 0)
         self.tail_match = np.where(tails < n - 1, self._match(self.tails, order[np.minimum(tails + 1, n - 1)]), 0)
@@ -173,9 +193,12 @@ class RunIndex:
         return out
 
     def matching_statistics(self) -> np.ndarray:
-        """For each place the length of its longest match with any other place, from the sampled run ends alone."""
+        """For each place the length of its longest match with any other place or copy, from the sampled run ends alone."""
         out = np.zeros(self.n, np.int64)
-        for places, match in ((self.heads, self.head_match), (self.tails, self.tail_match)):
+        samples = [(self.heads, self.head_match), (self.tails, self.tail_match)]
+        if self.copied is not None:
+            samples.append((self.copied["places"], self.copied["match"]))
+        for places, match in samples:
             known = np.full(self.n, -1, np.int64)
             known[places] = match
             last = np.maximum.accumulate(np.where(known >= 0, np.arange(self.n), -1))
@@ -183,16 +206,17 @@ class RunIndex:
         return out
 
 
-def repeated_starts(contexts: list[bytes], length: int) -> list[np.ndarray]:
-    """Of each context, whether the string of `length` bytes at each start occurs at another place of the contexts."""
-    sizes = np.array([len(c) for c in contexts])
+def repeated_starts(contexts: list[bytes], weights: list[int], length: int) -> list[np.ndarray]:
+    """Of each context, whether the string of `length` bytes at each start occurs at another place of the contexts or in a copy."""
+    sizes, copies = np.array([len(c) for c in contexts]), np.array(weights)
     symbols = np.zeros(int(sizes.sum()) + len(contexts), np.int32)
     begin = np.cumsum(sizes + 1) - sizes - 1
     raw = np.frombuffer(b"".join(contexts), np.uint8)
     inside = np.ones(len(symbols), bool)
     inside[begin + sizes] = False
     symbols[inside] = raw.astype(np.int32) + 1
-    match = RunIndex(symbols).matching_statistics()
+    index = RunIndex(symbols, np.repeat(copies, sizes + 1), {"places": begin, "match": np.where(copies > 1, sizes, 0)})
+    match = index.matching_statistics()
     return [match[b : b + s - length + 1] >= length for b, s in zip(begin.tolist(), sizes.tolist())]
 
 
@@ -202,15 +226,17 @@ def spans_of(flags: np.ndarray) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(edge[::2].tolist(), edge[1::2].tolist())]
 
 
-MARKS = "_seed long, _context long, _from int, _n int"
+MARKS = "_seed long, _context long, _check long, _from int, _n int"
+PART_ROW = "_seed long, _context long, _check long, _weight long, _left int, _bytes binary, _parent_seed long, _parent_context long, _parent_check long, _offset int"
 
 
 def bucket_marks(contexts: DataFrame, length: int, bucket: int) -> DataFrame:
-    """Repeated starts of the contexts of each anchor, relative to the context. contexts: _seed, _context, _bytes."""
+    """Repeated starts of the contexts of each anchor, relative to the context. contexts: CONTEXT, _weight, _bytes; of no anchor more than a bucket takes."""
 
     def settle(held: list[tuple]) -> pa.RecordBatch | None:
-        out = [(seed, context, a, n) for (seed, context, _), flags in zip(held, repeated_starts([h[2] for h in held], length)) for a, n in spans_of(flags)]
-        return pa.record_batch([pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=["_seed", "_context", "_from", "_n"]) if out else None
+        flagged = repeated_starts([h[4] for h in held], [h[3] for h in held], length)
+        out = [(*h[:3], a, n) for h, flags in zip(held, flagged) for a, n in spans_of(flags)]
+        return pa.record_batch([pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=[*CONTEXT, "_from", "_n"]) if out else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -219,32 +245,52 @@ def bucket_marks(contexts: DataFrame, length: int, bucket: int) -> DataFrame:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
                 if not held or held[-1][0] != row[0]:
                     own = len(held)
-                if size + len(row[2]) + 1 > bucket and own:
+                if size + len(row[4]) + 1 > bucket and own:
                     if (out := settle(held[:own])) is not None:
                         yield out
                     held = held[own:]
-                    size, own = sum(len(h[2]) + 1 for h in held), 0
+                    size, own = sum(len(h[4]) + 1 for h in held), 0
                 held.append(row)
-                size += len(row[2]) + 1
+                size += len(row[4]) + 1
         if held and (out := settle(held)) is not None:
             yield out
 
-    return contexts.select("_seed", "_context", "_bytes").repartition("_seed").sortWithinPartitions("_seed", "_context").mapInArrow(run, MARKS)
+    return contexts.select(*CONTEXT, "_weight", "_bytes").repartition("_seed").sortWithinPartitions(*CONTEXT).mapInArrow(run, MARKS)
 
 
-def digest_marks(contexts: DataFrame, length: int) -> DataFrame:
-    """The same for anchors with too many contexts for a bucket: digests of their single strings, counted."""
+def parts_of(contexts: DataFrame, length: int, width: int) -> DataFrame:
+    """The contexts cut into the parts of their strings that reach to the left by blocks of `width` bytes: PART_ROW, keyed by the bytes that all strings of a block share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
-                rows = [(s, c, j, hashlib.blake2b(x[j : j + length], digest_size=16).digest()) for s, c, x in zip(*(c.to_pylist() for c in part.columns)) for j in range(len(x) - length + 1)]
-                yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int32(), pa.binary()))], names=["_seed", "_context", "_from", "_digest"])
-
-    strings = contexts.select("_seed", "_context", "_bytes").mapInArrow(run, "_seed long, _context long, _from int, _digest binary")
-    again = strings.groupBy("_seed", "_digest").agg(F.count("*").alias("_c")).filter("_c > 1").select("_seed", "_digest")
-    return strings.join(again, ["_seed", "_digest"]).select("_seed", "_context", "_from", F.lit(1).alias("_n"))
+        for batch in few_rows(batches):
+            out = []
+            for seed, context, check, weight, left, raw in zip(*(c.to_pylist() for c in batch.columns)):
+                least = left - (len(raw) - length)  # of the last start
+                for block in range(least // width, left // width + 1):
+                    high, low = min(left, (block + 1) * width - 1), max(least, block * width)
+                    own = raw[left - high : left - low + length]
+                    # what any string of the block covers: from block * width bytes before the anchor on
+                    shared = raw[left - block * width :][: length - width + 1] if block * width <= left else b""
+                    key, name = (hashlib.blake2b(x, digest_size=n).digest() for x, n in ((b"%d %d " % (block, seed) + shared, 8), (b"%d " % high + own, 16)))
+                    out.append((int.from_bytes(key, "little", signed=True), int.from_bytes(name[:8], "little", signed=True), int.from_bytes(name[8:], "little", signed=True), weight, high, own, seed, context, check, left - high))
+            if out:
+                yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*out), (*[pa.int64()] * 4, pa.int32(), pa.binary(), *[pa.int64()] * 3, pa.int32()))], names=[*CONTEXT, "_weight", "_left", "_bytes", "_parent_seed", "_parent_context", "_parent_check", "_offset"])
+
+    return contexts.select(*CONTEXT, "_weight", "_left", "_bytes").mapInArrow(run, PART_ROW)
+
+
+def context_marks(contexts: DataFrame, length: int, bucket: int, width: int = WIDEST) -> DataFrame:
+    """bucket_marks() of all contexts, the anchors that no bucket takes split first (see the module)."""
+    sizes = contexts.groupBy("_seed").agg(F.sum(F.octet_length("_bytes") + 1).alias("_size")).filter(F.col("_size") > bucket)
+    hot = written(sizes.select("_seed"), "hot")
+    if hot.isEmpty() or width < 1:
+        return bucket_marks(contexts, length, bucket)
+    parts = written(parts_of(contexts.join(hot, "_seed", "left_semi"), length, width), "parts")
+    merged = parts.groupBy(*CONTEXT).agg(F.sum("_weight").alias("_weight"), F.first("_left").alias("_left"), F.first("_bytes").alias("_bytes"))
+    inner = written(context_marks(written(merged, "contexts"), length, bucket, width // 2), "marks")
+    parents = parts.select(*CONTEXT, "_parent_seed", "_parent_context", "_parent_check", "_offset").join(inner, CONTEXT)
+    up = parents.select(F.col("_parent_seed").alias("_seed"), F.col("_parent_context").alias("_context"), F.col("_parent_check").alias("_check"), (F.col("_offset") + F.col("_from")).alias("_from"), "_n")
+    return bucket_marks(contexts.join(hot, "_seed", "left_anti"), length, bucket).unionByName(up)
 
 
 def packed(docs: DataFrame) -> DataFrame:
@@ -262,47 +308,41 @@ def packed(docs: DataFrame) -> DataFrame:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """With _doc (null as the lowest number) and _tag, a checksum of the text, so that rows which share a doc_id are told apart."""
-    return docs.withColumns({"_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "_tag": F.crc32(F.coalesce("text", F.lit("")).cast("binary"))})
+    """With _doc (null as the lowest number) and _tag, a 64-bit hash of the text, so that rows which share a doc_id are told apart."""
+    return docs.withColumns({"_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "_tag": F.xxhash64(F.col("doc_id").isNull(), F.coalesce("text", F.lit("")))})
 
 
 def context_bytes(wanted: DataFrame, docs: DataFrame, length: int) -> DataFrame:
-    """_seed, _context, _bytes. wanted: _doc, _tag, _list of the contexts to take from a document."""
+    """CONTEXT, _weight, _left, _bytes. wanted: _doc, _tag, _list of the contexts to take from a document."""
+    schema = "_seed long, _context long, _check long, _weight long, _left int, _bytes binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpacker = zstandard.ZstdDecompressor()
-        for batch in few_rows(batches):
-            seeds, contexts, cuts = [], [], []
+        for batch in few_rows(batches, 200):
+            out = []
             for text, wants in zip(batch.column(0), batch.column(1).to_pylist()):
                 raw = unpacker.decompress(text.as_py())
-                for want in wants:
-                    seeds.append(want["_seed"])
-                    contexts.append(want["_context"])
-                    cuts.append(raw[want["_start"] : want["_start"] + want["_count"] - 1 + length])
-            yield pa.record_batch({"_seed": pa.array(seeds, pa.int64()), "_context": pa.array(contexts, pa.int64()), "_bytes": pa.array(cuts, pa.binary())})
+                out += [(w["_seed"], w["_context"], w["_check"], w["_weight"], w["_left"], raw[w["_start"] : w["_start"] + w["_count"] - 1 + length]) for w in wants]
+            for k in range(0, len(out), 20_000):
+                yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*out[k : k + 20_000]), (*[pa.int64()] * 4, pa.int32(), pa.binary()))], names=[*CONTEXT, "_weight", "_left", "_bytes"])
 
-    return packed(docs.select("doc_id", "text")).join(wanted, ["_doc", "_tag"]).select("_packed", "_list").mapInArrow(run, "_seed long, _context long, _bytes binary")
+    # a row that repeats is one of each task after the partial aggregate
+    texts = packed(docs.select("doc_id", "text")).groupBy("_doc", "_tag").agg(F.first("_packed").alias("_packed"))
+    return texts.join(wanted, ["_doc", "_tag"]).select("_packed", "_list").mapInArrow(run, schema)
 
 
 def marked(docs: DataFrame, length: int = LENGTH, seed: int = SEED, bucket: int = BUCKET) -> DataFrame:
     """_doc, _tag, _marks: runs (start, count) of starts of repeated strings, for the documents that have any."""
-    rows = anchor_rows(keyed(docs.select("doc_id", "text")), length, seed)
-    repeated = rows.groupBy("_seed").agg(F.count("*").alias("_c"), F.min("_context").alias("_lo"), F.max("_context").alias("_hi")).filter("_c > 1")
-    repeated = written(repeated.select("_seed", (F.col("_lo") != F.col("_hi")).alias("_mixed")), "seeds")
-    found = written(rows.join(repeated, "_seed"), "anchors")
-    classes = found.filter("_mixed").groupBy("_seed", "_context").agg(F.count("*").alias("_c"), F.min(F.struct("_doc", "_tag", "_start", "_count")).alias("_r"))
-    classes = written(classes.select("_seed", "_context", "_c", "_r.*"), "contexts")
-    # a hot anchor has more contexts than a bucket surely holds
-    hot = classes.groupBy("_seed").agg(F.sum(F.col("_count") + length).alias("_size")).filter(F.col("_size") > bucket).select("_seed", F.lit(True).alias("_hot"))
-    wanted = classes.groupBy("_doc", "_tag").agg(F.collect_list(F.struct("_seed", "_context", "_start", "_count")).alias("_list"))
-    contexts = written(context_bytes(wanted, docs, length).join(hot, "_seed", "left"), "bytes")
-    single = bucket_marks(contexts.filter("_hot is null"), length, bucket).unionByName(digest_marks(contexts.filter("_hot"), length))
-    known = classes.filter("_c > 1").select("_seed", "_context", F.lit(0).alias("_from"), F.col("_count").alias("_n"))
-    alone = classes.filter("_c = 1").select("_seed", "_context")
-    marks = known.unionByName(single.join(alone, ["_seed", "_context"]).select("_seed", "_context", "_from", "_n"))
-    by_context = found.filter("_mixed").join(marks, ["_seed", "_context"]).select("_doc", "_tag", (F.col("_start") + F.col("_from")).alias("s"), F.col("_n").cast("int").alias("n"))
-    every = found.filter("not _mixed").select("_doc", "_tag", F.col("_start").alias("s"), F.col("_count").alias("n")).unionByName(by_context)
-    return every.groupBy("_doc", "_tag").agg(F.collect_list(F.struct("s", "n")).alias("_marks"))
+    rows = keyed(docs.select("doc_id", "text"))
+    repeated = anchor_rows(rows, length, seed, seeds_only=True).groupBy("_seed").agg(F.count("*").alias("_c")).filter("_c > 1")
+    repeated = written(repeated.select("_seed"), "seeds")
+    found = written(anchor_rows(rows, length, seed).join(repeated, "_seed"), "anchors")
+    classes = found.groupBy(*CONTEXT).agg(F.count("*").alias("_weight"), F.min(F.struct("_doc", "_tag", "_start", "_count", "_left")).alias("_r"))
+    wanted = classes.groupBy("_r._doc", "_r._tag").agg(F.collect_list(F.struct(*CONTEXT, "_weight", "_r._left", "_r._start", "_r._count")).alias("_list"))
+    contexts = written(context_bytes(wanted, docs, length), "bytes")
+    marks = written(context_marks(contexts, length, bucket), "marks")
+    every = found.select(*CONTEXT, "_doc", "_tag", "_start").join(marks, CONTEXT).select("_doc", "_tag", F.struct((F.col("_start") + F.col("_from")).alias("s"), F.col("_n").alias("n")).alias("_m"))
+    return written(every.groupBy("_doc", "_tag").agg(F.collect_list("_m").alias("_marks")), "marks")
 
 
 def removed_spans(marks: list[dict] | None, length: int) -> list[tuple[int, int]]:

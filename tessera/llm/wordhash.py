@@ -8,8 +8,9 @@ from __future__ import annotations
 
 import numpy as np
 
-BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
+#: Two independent ones: a span's two hashes are a 128-bit one together.
+BASES = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F))
+INVERSES = tuple(np.uint64(pow(int(x), -1, 1 << 64)) for x in BASES)
 MIX_1, MIX_2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 JOIN = np.uint64(0xD6E8FEB86659FD93)
 #: Bytes that are hashed at once; a longer text is taken whole.
@@ -20,21 +21,21 @@ BLANK[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
-_powers: dict[str, np.ndarray] = {}
+_powers: dict[tuple[str, int], np.ndarray] = {}
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """BASE**i and BASE**-i for i up to n."""
-    if len(_powers.get("up", ())) <= n:
+    up, down = ("up", which), ("down", which)
+    if len(_powers.get(up, ())) <= n:
         size = max(n + 1, SLICE + 1)
-        for name, base in (("up", BASE), ("down", INVERSE)):
+        for name, base in ((up, BASES[which]), (down, INVERSES[which])):
             step = np.full(size, base, np.uint64)
             step[0] = 1
             _powers[name] = np.multiply.accumulate(step)
         if n > 16 * SLICE:  # not kept for one very long text
-            up, down = _powers.pop("up"), _powers.pop("down")
-            return up, down
-    return _powers["up"], _powers["down"]
+            return _powers.pop(up), _powers.pop(down)
+    return _powers[up], _powers[down]
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -45,17 +46,17 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def prefix(data: np.ndarray) -> np.ndarray:
+def prefix(data: np.ndarray, which: int = 0) -> np.ndarray:
     """p with p[j] - p[i] = sum of (data[k] + 1) * BASE**k for k from i to j - 1."""
-    up, _ = powers(len(data))
+    up, _ = powers(len(data), which)
     out = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=out[1:])
     return out
 
 
-def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
     """The mixed hash of each span of the bytes that prefix() summed: equal for equal bytes."""
-    _, down = powers(len(sums))
+    _, down = powers(len(sums), which)
     return mixed((sums[ends] - sums[starts]) * down[starts])
 
 

@@ -175,14 +175,55 @@ def brute_repeats(values, length):
     return out
 
 
-@pytest.mark.parametrize("more", [{}, {"bucket": 2000}])
+@pytest.mark.parametrize("more", [{}, {"bucket": 2000}, {"bucket": 450}])
 def test_repeats(spark, more):
-    values = [t for t in texts(1) if t is None or len(t) < 20_000]
+    rng = random.Random(11)
+    # an anchor with many different surroundings: a passage that is shorter than a string
+    passage = " ".join(rng.choice(WORDS) for _ in range(45))
+    around = ["".join(rng.choice("abcdef ") for _ in range(150)) for _ in range(12)]
+    values = [t for t in texts(1) if t is None or len(t) < 20_000] + [a + passage + b for a in around[:6] for b in around[6:]]
     want = brute_repeats(values, 200)
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.cut(documents(spark, values).select("doc_id", "text"), with_text=False, **more).collect()}
     assert [got[i] for i in range(len(values))] == want
 
 
+def test_all_marks_come_from_the_index(spark, monkeypatch):
+    """Copies, shared passages and repeated strings alike: without the index nothing is marked."""
+    values = [t for t in texts(1) if t is None or len(t) < 20_000]
+    docs = documents(spark, values).select("doc_id", "text")
+    assert sum(r.n_removed for r in repeats.cut(docs, with_text=False).collect()) == sum(n for _, n, _, _ in brute_repeats(values, 200)) > 0
+    monkeypatch.setattr(repeats, "bucket_marks", lambda contexts, length, bucket: spark.createDataFrame([], repeats.MARKS))
+    assert {r.n_removed for r in repeats.cut(docs, with_text=False).collect()} == {0}
+
+
+def test_weights_are_copies():
+    """The transform of contexts with weights is that of all copies: run lengths and matches."""
+    parts, weights = [b"banana", b"bandana", b"nabab"], [1, 3, 1]
+    flags = repeats.repeated_starts(parts, weights, 3)
+    every = [p for p, n in zip(parts, weights) for _ in range(n)]
+    for p, got in zip(parts, flags):
+        assert got.tolist() == [sum(q[j : j + 3] == p[i : i + 3] for q in every for j in range(len(q) - 2)) > 1 for i in range(len(p) - 2)]
+    symbols = np.frombuffer(b"\0".join(parts) + b"\0", np.uint8).astype(np.int32)
+    index = repeats.RunIndex(symbols, np.repeat(weights, [7, 8, 6]))
+    assert index.run_lengths.sum() == sum((len(p) + 1) * n for p, n in zip(parts, weights))
+
+
+def test_a_very_long_text(spark):
+    """Longer than one call of anchors() takes."""
+    rng = np.random.default_rng(3)
+    long = bytes(rng.integers(97, 123, repeats.PART + 700_000).astype(np.uint8)).decode()
+    cut = [(5_000, 5_300), (repeats.PART - 150, repeats.PART + 250), (len(long) - 200, len(long))]
+    docs = spark.createDataFrame([(0, long), *((1 + i, "ä" * 50 + long[a:b] + "ö") for i, (a, b) in enumerate(cut)), (9, None)], "doc_id long, text string")
+    got = {r.doc_id: (r.n_removed, r.n_spans) for r in repeats.cut(docs, with_text=False).collect()}
+    assert got == {0: (900, 3), 1: (300, 1), 2: (400, 1), 3: (200, 1), 9: (0, 0)}
+
+
+def test_repeated_rows_and_null_ids(spark):
+    text = " ".join(WORDS[:100])
+    docs = documents(spark, [text] * 40 + ["z" * 100], [None] * 20 + [3] * 20 + [4])
+    assert sorted((r.doc_id or 0, r.n_removed) for r in repeats.cut(docs.select("doc_id", "text"), with_text=False).collect()) == [(0, len(text))] * 20 + [(3, len(text))] * 20 + [(4, 0)]
+
+
 def test_repeats_with_text_and_shared_ids(spark):
     values = ["é" * 250 + "a", "é" * 250 + "b", "x" * 199, None, "q" * 200 + "r"]
     docs = documents(spark, values, [7, 7, 7, None, 7])
@@ -201,7 +242,7 @@ def test_run_index(seed):
     for p in parts:
         for i in range(len(p) - length + 1):
             count[p[i : i + length]] = count.get(p[i : i + length], 0) + 1
-    for p, flags in zip(parts, repeats.repeated_starts(parts, length)):
+    for p, flags in zip(parts, repeats.repeated_starts(parts, [1] * len(parts), length)):
         assert flags.tolist() == [count[p[i : i + length]] > 1 for i in range(len(p) - length + 1)]
     index = repeats.RunIndex(np.frombuffer(b"\0".join(parts), np.uint8).astype(np.int32))
     assert index.run_lengths.sum() == index.n and len(index.heads) == len(index.run_symbols)
@@ -214,7 +255,7 @@ def test_anchors_of_long_texts_in_parts(spark, monkeypatch):
     long = "".join(rng.choice("abcdef ") for _ in range(12_000))
     values = [long, long[4000:7000], "".join(rng.choice("abc") for _ in range(500))]
     data = np.frombuffer(long.encode(), np.uint8)
-    row, start, count, *_ = repeats.anchors(data, np.array([0, len(data)]), 200, 32)
+    _, row, start, count, *_ = repeats.anchors(data, np.array([0, len(data)]), 200, 32)
     assert count.sum() == len(data) - 199 and start[0] == 0
     got = {r.doc_id: r.n_removed for r in repeats.cut(documents(spark, values).select("doc_id", "text"), with_text=False).collect()}
     assert got == {0: 3000, 1: 3000, 2: 0}
