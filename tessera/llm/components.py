@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import written
+from tessera.llm.shared import discard, written
 
 MOST_ROUNDS = 60
 
@@ -54,18 +54,21 @@ def contracted(links: DataFrame) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """node, root (the least node reachable) for every node of a link (long a, b) that isn't its own root.
 
-    Rounds of large-star (a node's larger neighbours move to its least neighbour) and small-star (the others do). Every round is a
-    written table. A hot node is one key of a partial aggregate and of a join that Spark can split.
+    Rounds of large-star (a node's larger neighbours move to its least neighbour) and small-star (the others do). What a round makes
+    is written, each node's least neighbour too: a hot node is one key of a partial aggregate, and of a join of two tables, which Spark splits.
     """
     edges = written(contracted(links.filter("a <> b")), "links")
     before = None
     for _ in range(MOST_ROUNDS):
         both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min(F.least("a", "b")).alias("m"))
-        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-        edges = written(small.distinct(), "links")
+        least = written(both.groupBy("a").agg(F.min(F.least("a", "b")).alias("m")), "least")
+        large = written(both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct(), "large")
+        lower = written(large.groupBy("a").agg(F.min("b").alias("m")), "least")
+        small = large.join(lower, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(lower.select("a", F.col("m").alias("b")))
+        after = written(small.distinct(), "links")
+        for table in (edges, least, large, lower):
+            discard(table)
+        edges = after
         now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
         if now == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -7,11 +7,14 @@ classes link when 9 * intersection >= 4 * (sum of sizes), which is a Jaccard ind
    with common shingles last, these deal the classes into groups; shingles that one class alone has drop out.
 2. In each group shingle hashes are counted by slots, more for longer texts. These count vectors, folded to GROUPS slots, are the points of an R-tree; summed coordinate minima
    bound the overlap from above, and the unfolded ones bound what survives. The rest is kept as a forest, not as pairs.
-3. Connected candidates meet in blocks of bounded size with their whole sets; survivors of the bound are verified exactly
+3. Connected candidates meet in blocks with their whole sets; survivors of the bound are verified exactly
    unless a chain of links joins them already, and links are kept as a forest again.
 
-Copies send one row a task. Common shingles are found by a count over all documents; they only set the order, so their table
-has a fixed bound. Hot groups and blocks are split by size and hash, and every pair of parts meets.
+Hot groups, and candidates that fill several blocks, are dealt to parts by hash, and a few pivots go to all parts: a family of near
+copies is one component after each part has been settled by itself. Only what is not of a group's largest component then
+visits the other parts, in parts of its own, so every pair that a chain doesn't join yet still meets, and a family costs no pairs of parts.
+Copies send one row a task. Common shingles are those of a share of all sets, so their number is bounded by the sets' mean
+size whatever the corpus's; they only set the order.
 
 Edge cases: a null text and one without words have the empty set, link with nothing and are their own component. Rows with one
 doc_id stay rows; their component is that of their own text. A null doc_id has the least id of its component, or null.
@@ -26,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.components import Forest, components
@@ -40,10 +43,11 @@ GROUPS = 1 << GROUP_BITS
 #: Shingles a slot on average, at most: with more, the vectors of long texts are all alike.
 DENSE = 8
 LEAF = 16
-#: Rows of a part of a hot group, and shingles of a part of a hot block.
+#: Rows of a part of a hot group (one of more than twice as many), and shingles of a block.
 PART, BLOCK = 512, 800_000
-#: A shingle is common if some batch of documents has it so often; at most so many are told apart.
-COMMON_IN_BATCH, MOST_COMMON = 4, 200_000
+#: A shingle is common if this share of all different sets has it, counted in the batches that have it so often.
+COMMON_IN_BATCH, COMMON_SHARE = 4, 0.002
+PIVOTS = 8
 
 
 def shingle_sets(raw: np.ndarray, at: np.ndarray, words: int = WORDS) -> Iterator[np.ndarray]:
@@ -92,22 +96,25 @@ def bounded(a: np.ndarray, b: np.ndarray, n: int) -> bool:
 
 
 def common_shingles(docs: DataFrame) -> np.ndarray:
-    """Sorted shingles that many different sets of one batch have; counted over all documents."""
+    """Sorted shingles that COMMON_SHARE of the batches' different sets have; counted over all documents. No more than mean set size / COMMON_SHARE."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in few_rows(batches, 2500):
             raw, at = text_bytes(text_column(batch))
-            distinct = {class_id(x): x for x in shingle_sets(raw, at)}
+            distinct = {class_id(x): x for x in shingle_sets(raw, at) if len(x)}
             every = np.sort(np.concatenate(list(distinct.values()) or [np.zeros(0, np.uint64)]))
             if not len(every):
                 continue
             cut = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
             n = np.diff(np.append(cut, len(every)))
             often = n >= COMMON_IN_BATCH
-            yield pa.record_batch({"h": pa.array(every[cut[often]].view(np.int64)), "n": pa.array(n[often])})
+            h = pa.array(every[cut[often]].view(np.int64))
+            yield pa.record_batch({"h": pa.concat_arrays([h, pa.nulls(1, pa.int64())]), "n": pa.array(np.append(n[often], len(distinct)))})
 
-    found = docs.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    rows = found.orderBy(F.desc("n"), "h").limit(MOST_COMMON).select("h").collect()  # an order for the rest, not a choice of rows
+    # the row of a null holds the number of sets
+    found = written(docs.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "common")
+    sets = found.filter("h is null").first()
+    rows = found.filter("h is not null").filter(F.col("n") >= COMMON_SHARE * sets.n).select("h").collect() if sets else []
     return np.sort(np.array([r.h for r in rows], np.int64).view(np.uint64))
 
 
@@ -132,63 +139,89 @@ def described(docs: DataFrame, common: np.ndarray) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, _doc long, _tag long, n long, rid long, vector binary, prefix binary")
 
 
-def shared_groups(rows: DataFrame) -> DataFrame:
-    """group, rids: the classes that share a prefix shingle, the same list of classes once."""
+def prefix_tokens(rows: DataFrame) -> DataFrame:
+    """token, rid of each class's prefix shingles."""
 
-    def exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 2000):
                 part = batch.slice(k, 2000)
-                size = np.array([len(x) // 8 for x in part.column(2).to_pylist()])
-                tokens = np.frombuffer(b"".join(part.column(2).to_pylist()), np.int64)
-                yield pa.record_batch({"token": pa.array(tokens), "n": pa.array(np.repeat(part.column(1).to_numpy(), size)), "rid": pa.array(np.repeat(part.column(0).to_numpy(), size))})
-
-    def parts(rids: np.ndarray, n: np.ndarray) -> Iterator[np.ndarray]:
-        """By rising size: all if few, else each two parts that hold sizes within the bound of each other."""
-        if len(rids) <= 2 * PART:
-            yield rids
-            return
-        for a in range(0, len(rids), PART):
-            for b in range(a, len(rids), PART):
-                if 4 * n[b] > 5 * n[min(a + PART, len(n)) - 1]:
-                    break
-                if b > a or a + PART >= len(rids):
-                    yield rids[a : a + PART] if a == b else np.concatenate([rids[a : a + PART], rids[b : b + PART]])
-                elif b + PART < len(rids) and 4 * n[b + PART] > 5 * n[min(a + PART, len(n)) - 1]:
-                    yield rids[a : a + PART]
-
-    def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = [np.zeros(0, np.int64)] * 3
+                size = np.array([len(x) // 8 for x in part.column(1).to_pylist()])
+                tokens = np.frombuffer(b"".join(part.column(1).to_pylist()), np.int64)
+                yield pa.record_batch({"token": pa.array(tokens), "rid": pa.array(np.repeat(part.column(0).to_numpy(), size))})
+
+    return rows.select("rid", "prefix").mapInArrow(run, "token long, rid long")
+
+
+def group_lists(members: DataFrame) -> DataFrame:
+    """group, visitors, rids: for each key the classes to compare, the same list of classes once. members: key, visits, rid.
+
+    Of rids the first `visitors` are compared with all, the others only with these.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = [np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, np.int64)]
         seen: set[bytes] = set()
 
-        def settle(token: np.ndarray, n: np.ndarray, rid: np.ndarray) -> pa.RecordBatch | None:
-            other = np.ones(len(token), bool)
-            other[1:] = (token[1:] != token[:-1]) | (rid[1:] != rid[:-1])
-            token, n, rid = token[other], n[other], rid[other]
-            cut = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1], [True]]))
+        def settle(key: np.ndarray, home: np.ndarray, rid: np.ndarray) -> pa.RecordBatch | None:
+            other = np.ones(len(key), bool)
+            other[1:] = (key[1:] != key[:-1]) | (home[1:] != home[:-1]) | (rid[1:] != rid[:-1])
+            key, home, rid = key[other], home[other], rid[other]
+            cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
             out = []
             for k in np.flatnonzero(np.diff(cut) > 1).tolist():
-                for part in parts(rid[cut[k] : cut[k + 1]], n[cut[k] : cut[k + 1]]):
-                    mark = hashlib.blake2b(part.tobytes(), digest_size=8).digest()
-                    if mark not in seen:
-                        seen.add(mark)
-                        out.append((int.from_bytes(mark, "little", signed=True), part))
+                part, visitors = rid[cut[k] : cut[k + 1]], int(np.count_nonzero(~home[cut[k] : cut[k + 1]]))
+                mark = hashlib.blake2b(part.tobytes() + b"%d" % visitors, digest_size=8).digest()
+                if visitors and mark not in seen:
+                    seen.add(mark)
+                    out.append((int.from_bytes(mark, "little", signed=True), visitors, part))
             if len(seen) > 100_000:
                 seen.clear()
-            return pa.record_batch({"group": pa.array([g for g, _ in out], pa.int64()), "rids": pa.array([p for _, p in out], pa.list_(pa.int64()))}) if out else None
+            return pa.record_batch({"group": pa.array([g for g, _, _ in out], pa.int64()), "visitors": pa.array([v for _, v, _ in out], pa.int32()), "rids": pa.array([p for _, _, p in out], pa.list_(pa.int64()))}) if out else None
 
         for batch in batches:
-            arrays = [np.concatenate([h, batch.column(i).to_numpy()]) for i, h in enumerate(held)]
-            last = np.searchsorted(arrays[0], arrays[0][-1])
+            arrays = [np.concatenate([h, batch.column(i).to_numpy(zero_copy_only=False)]) for i, h in enumerate(held)]
+            last = np.searchsorted(arrays[0], arrays[0][-1]) if len(arrays[0]) else 0
             held = [a[last:] for a in arrays]
             if last and (out := settle(*(a[:last] for a in arrays))) is not None:
                 yield out
         if len(held[0]) and (out := settle(*held)) is not None:
             yield out
 
-    tokens = rows.filter("prefix is not null").select("rid", "n", "prefix").mapInArrow(exploded, "token long, n long, rid long")
-    groups = tokens.repartition("token").sortWithinPartitions("token", "n", "rid").mapInArrow(grouped, "group long, rids array<long>")
-    return groups.dropDuplicates(["group"])
+    rows = members.select("key", (~F.col("visits")).alias("home"), "rid")
+    return rows.repartition("key").sortWithinPartitions("key", "home", "rid").mapInArrow(run, "group long, visitors int, rids array<long>").dropDuplicates(["group"])
+
+
+def part_of(rid: str, parts: str) -> Column:
+    return F.pmod(F.xxhash64(rid), F.col(parts)).cast("int")
+
+
+def every_part(parts: str) -> Column:
+    return F.sequence(F.lit(0), F.col(parts) - 1)
+
+
+def to_parts(rows: DataFrame, of: str, members: str, parts: str) -> DataFrame:
+    """rows with _part: each in its own part of its `of`, pivots in all. members, parts: how many `of` has."""
+    pivot = F.pmod(F.xxhash64("rid", F.lit(7)), F.ceil(F.col(members) / PIVOTS)) == 0
+    return rows.withColumn("_part", F.explode(F.when(pivot & (F.col(parts) > 1), every_part(parts)).otherwise(F.array(part_of("rid", parts)))))
+
+
+def visits(rows: DataFrame, of: str, weight: Column, most: int) -> DataFrame | None:
+    """The pairs of parts that are still to meet after each part was settled by itself, or None. rows: `of`, rid, _parts, _root (of the components so far) and what else is to be kept.
+
+    Who is not of the largest component of its `of` is a visitor, in parts of at most `most` by weight; a key is a part at home and one of
+    visitors: key, visits, and the columns of rows.
+    """
+    sizes = rows.groupBy(of, "_root").agg(F.count("*").alias("_c"))
+    largest = written(sizes.groupBy(of).agg(F.max_by("_root", F.struct("_c", "_root")).alias("_main"), F.count("*").alias("_roots")).filter("_roots > 1").drop("_roots"), "largest")
+    if largest.isEmpty():
+        return None
+    split = rows.join(largest, of)
+    guests = written(split.filter("_root <> _main").groupBy(of).agg(F.ceil(F.sum(weight) / most).cast("int").alias("_guests")), "guests")
+    split = written(split.join(guests, of), "split")
+    coming = split.filter("_root <> _main").withColumns({"_there": part_of("rid", "_guests"), "_part": F.explode(every_part("_parts")), "visits": F.lit(True)})
+    home = split.withColumns({"_part": part_of("rid", "_parts"), "_there": F.explode(every_part("_guests")), "visits": F.lit(False)})
+    return coming.unionByName(home).withColumn("key", F.xxhash64(of, "_part", "_there")).drop("_part", "_there", "_main", "_guests")
 
 
 class CountTree:
@@ -242,21 +275,32 @@ def links_batch(links: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.record_batch([pa.array(x, pa.int64()) for x in zip(*links)], names=["a", "b"])
 
 
+def joined_by(roots: list, forest: Forest) -> None:
+    """Unites the rows (numbers in a list) that have one root."""
+    first: dict = {}
+    for k, root in enumerate(roots):
+        if first.setdefault(root, k) != k:
+            forest.join(first[root], k)
+
+
 def candidates(groups: DataFrame, classes: DataFrame) -> DataFrame:
     """Forests a, b of the classes that the R-tree's bound lets link in a group. classes: rid, n, vector."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple[int, int]] = []
         for table in runs_of(batches):
-            rids, n = table.column(1).to_pylist(), np.asarray(table.column(2))
-            fine = [np.frombuffer(v, "<u4") for v in table.column(3).to_pylist()]
+            home, rids, n = table.column(1).to_pylist(), table.column(2).to_pylist(), np.asarray(table.column(3))
+            fine = [np.frombuffer(v, "<u4") for v in table.column(4).to_pylist()]
             if len(rids) == 2:
                 if 5 * n.min() >= 4 * n.max() and bounded(fine[0], fine[1], int(n.sum())):
                     out.append((rids[0], rids[1]))
             else:
                 vectors = np.stack([folded(v) for v in fine])
                 tree, forest = CountTree(n, vectors), Forest()
+                joined_by(rids, forest)  # who visits his own part is there twice
                 for k in range(len(rids)):
+                    if home[k]:
+                        continue
                     out += [(rids[k], rids[j]) for j in tree.near(int(n[k]), vectors[k]).tolist() if forest.root(j) != forest.root(k) and bounded(fine[k], fine[j], int(n[k] + n[j])) and forest.join(k, j)]
             if len(out) > 20_000:
                 yield links_batch(out)
@@ -264,34 +308,60 @@ def candidates(groups: DataFrame, classes: DataFrame) -> DataFrame:
         if out:
             yield links_batch(out)
 
-    rows = groups.select("group", F.explode("rids").alias("rid")).join(classes, "rid").select("group", "rid", "n", "vector")
-    return rows.repartition("group").sortWithinPartitions("group", "rid").mapInArrow(run, "a long, b long")
+    rows = groups.select("group", "visitors", F.posexplode("rids").alias("_at", "rid")).join(classes, "rid").select("group", (F.col("_at") >= F.col("visitors")).alias("home"), "rid", "n", "vector")
+    return rows.repartition("group").sortWithinPartitions("group", "home", "rid").mapInArrow(run, "a long, b long")
+
+
+def as_links(roots: DataFrame) -> DataFrame:
+    return roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+
+
+def with_roots(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """rows with _root, their rid's root so far."""
+    return rows.join(roots.select(F.col("node").alias("rid"), F.col("root").alias("_r")), "rid", "left").withColumn("_root", F.coalesce("_r", "rid")).drop("_r")
 
 
-def verified(wanted: DataFrame, docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Forests a, b of links between the classes of each root, in blocks. wanted: root, rid, n, and _doc, _tag of a document of the class.
+def candidate_roots(firsts: DataFrame) -> DataFrame:
+    """node, root of the classes that chains of the R-tree's bound connect. firsts: rid, n, vector, prefix, a row a class."""
+    tokens, classes = prefix_tokens(firsts), firsts.select("rid", "n", "vector")
+    counts = tokens.groupBy("token").agg(F.count("*").alias("_c")).filter(F.col("_c") > 2 * PART)
+    hot = written(counts.select("token", "_c", F.ceil(F.col("_c") / PART).cast("int").alias("_parts")), "hot")
+    if hot.isEmpty():
+        groups = group_lists(tokens.select(F.col("token").alias("key"), F.lit(True).alias("visits"), "rid"))
+        return components(candidates(groups, classes))
+    split = tokens.join(hot, "token", "left").withColumns({"_c": F.coalesce("_c", F.lit(1)), "_parts": F.coalesce("_parts", F.lit(1))})
+    keyed_by_part = to_parts(split, "token", "_c", "_parts").select(F.when(F.col("_parts") == 1, F.col("token")).otherwise(F.xxhash64("token", "_part")).alias("key"), F.lit(True).alias("visits"), "rid")
+    roots = components(candidates(group_lists(keyed_by_part), classes))
+    more = visits(with_roots(tokens.join(hot.drop("_c"), "token"), roots), "token", F.lit(1), PART)
+    return roots if more is None else components(candidates(group_lists(more), classes).unionByName(as_links(roots)))
 
-    The compressed texts travel, which are smaller than their sets; a block's task makes the sets.
+
+def verified(members: DataFrame) -> DataFrame:
+    """Forests a, b of links between the classes that meet under a key. members: key, visits, rid, _root (of the links so far), _packed (a text of the class).
+
+    The compressed texts travel, which are smaller than their sets; a key's task makes the sets.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpacker = zstandard.ZstdDecompressor()
         for table in runs_of(batches):
-            every = np.asarray(table.column(1))
-            rows = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))  # rows that are the same in all come together
-            rids, side = every[rows].tolist(), np.asarray(table.column(2))[rows]
-            raw, at = text_bytes(pa.array([unpacker.decompress(x.as_py()).decode() for x in table.column(3).take(pa.array(rows))], pa.large_string()))
+            home, every = table.column(1).to_pylist(), np.asarray(table.column(2))
+            rows = np.flatnonzero(np.concatenate([[True], (every[1:] != every[:-1]) | (np.diff(home) != 0)]))  # rows that are the same in all come together
+            rids, home, roots = every[rows].tolist(), [home[r] for r in rows.tolist()], np.asarray(table.column(3))[rows].tolist()
+            raw, at = text_bytes(pa.array([unpacker.decompress(x.as_py()).decode() for x in table.column(4).take(pa.array(rows))], pa.large_string()))
             sets = list(shingle_sets(raw, at))
             n = np.array([len(x) for x in sets])
             vectors = np.stack([folded(count_vector(x)) for x in sets])
             begin = np.cumsum(n) - n
             distinct, codes = np.unique(np.concatenate(sets), return_inverse=True)
             tree, forest, mark, out = CountTree(n, vectors), Forest(), np.zeros(len(distinct), bool), []
+            joined_by(roots, forest)
             del sets, raw
-            both = side.any() and not side.all()
             for k in range(len(rids)):
+                if home[k]:
+                    continue
                 root = forest.root(k)
-                near = [j for j in tree.near(int(n[k]), vectors[k]).tolist() if j != k and (not both or side[j] != side[k]) and forest.root(j) != root]
+                near = [j for j in tree.near(int(n[k]), vectors[k]).tolist() if forest.root(j) != root]
                 if not near:
                     continue
                 own = codes[begin[k] : begin[k] + n[k]]
@@ -305,25 +375,38 @@ def verified(wanted: DataFrame, docs: DataFrame, block: int = BLOCK) -> DataFram
                 yield links_batch(out)
         give_back()
 
-    sizes = wanted.groupBy("root").agg(F.count("*").alias("_n"), F.sum("n").alias("_all")).filter("_n > 1")
-    placed = wanted.drop("n").join(sizes, "root").withColumn("_blocks", F.ceil(F.col("_all") / block).cast("int")).withColumn("_own", F.pmod(F.xxhash64("rid"), F.col("_blocks")).cast("int"))
-    texts = packed(docs.select("doc_id", "text")).hint("merge").join(placed, ["_doc", "_tag"]).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    rows = texts.select(F.xxhash64("root", F.least("_own", "_other"), F.greatest("_own", "_other")).alias("group"), "rid", (F.col("_own") > F.col("_other")).alias("side"), "_packed")
-    return rows.repartition("group").sortWithinPartitions("group", "rid").mapInArrow(run, "a long, b long")
+    rows = members.select("key", (~F.col("visits")).alias("home"), "rid", "_root", "_packed")
+    return rows.repartition("key").sortWithinPartitions("key", "home", "rid").mapInArrow(run, "a long, b long")
+
+
+def linked_roots(wanted: DataFrame, docs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """node, root of the classes that chains of links connect. wanted: root (of the candidates), rid, n, and _doc, _tag of a document of the class."""
+    sizes = written(wanted.groupBy("root").agg(F.count("*").alias("_n"), F.ceil(F.sum("n") / block).cast("int").alias("_parts")).filter("_n > 1"), "sizes")
+    placed = wanted.join(sizes, "root")
+    texts = packed(docs.select("doc_id", "text")).groupBy("_doc", "_tag").agg(F.first("_packed").alias("_packed"))
+
+    def meet(members: DataFrame) -> DataFrame:
+        return verified(members.join(texts, ["_doc", "_tag"]).select("key", "visits", "rid", "_root", "_packed"))
+
+    first = to_parts(placed, "root", "_n", "_parts").select(F.xxhash64("root", "_part").alias("key"), F.lit(True).alias("visits"), "rid", F.col("rid").alias("_root"), "_doc", "_tag")
+    roots = components(meet(first))
+    large = placed.filter("_parts > 1")
+    if sizes.filter("_parts > 1").isEmpty():
+        return roots
+    more = visits(with_roots(large, roots), "root", F.col("n"), block)
+    return roots if more is None else components(meet(more).unionByName(as_links(roots)))
 
 
 def near_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, component_id of every row, and _doc, _tag (its key)."""
     rows = written(described(docs, common_shingles(docs)), "classes")
-    firsts = rows.filter("vector is not null")
-    groups = written(shared_groups(rows), "groups")
-    maybe = components(candidates(groups, firsts.select("rid", "n", "vector").dropDuplicates(["rid"])))
+    firsts = written(rows.filter("vector is not null").select("rid", "n", "vector", "prefix", "_doc", "_tag").dropDuplicates(["rid"]), "firsts")
+    maybe = candidate_roots(firsts)
     rooted = maybe.select(F.col("node").alias("rid"), "root").unionByName(maybe.select(F.col("root").alias("rid"), "root").distinct())
-    wanted = firsts.join(rooted, "rid").groupBy("root", "rid").agg(F.min(F.struct("_doc", "_tag")).alias("_r"), F.first("n").alias("n")).select("root", "rid", "n", "_r.*")
-    linked = components(verified(written(wanted, "wanted"), docs, block))
+    linked = linked_roots(written(firsts.select("rid", "n", "_doc", "_tag").join(rooted, "rid"), "wanted"), docs, block)
     joined = rows.select("doc_id", "_doc", "_tag", "n", "rid").join(linked.withColumnRenamed("node", "rid"), "rid", "left").withColumn("_class", F.coalesce("root", "rid"))
     joined = written(joined.select("doc_id", "_doc", "_tag", "n", "_class"), "joined")
-    least = joined.filter("_class is not null").groupBy("_class").agg(F.min("doc_id").alias("component_id"))
+    least = written(joined.filter("_class is not null").groupBy("_class").agg(F.min("doc_id").alias("component_id")), "least")
     return joined.join(least, "_class", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "_doc", "_tag")
 
 

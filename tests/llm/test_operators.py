@@ -492,6 +492,7 @@ def brute_sets(values):
 def test_jaccard(spark, monkeypatch, small):
     if small:
         monkeypatch.setattr(jaccard, "PART", 3)
+        monkeypatch.setattr(jaccard, "PIVOTS", 1)
         monkeypatch.setattr(jaccard, "COMMON_IN_BATCH", 2)
     rng = random.Random(9)
     family = [rng.choice(WORDS) for _ in range(150)]
