@@ -120,36 +120,38 @@ def anchor_rows(docs: DataFrame, length: int, seed: int, seeds_only: bool = Fals
 
 
 class RunIndex:
-    """The run-compressed transform of a text of symbols, with the suffixes at its runs' heads and tails.
+    """The run-compressed transform of a text of symbols, with the suffixes at its runs' heads and tails. Symbol 0 ends a part; no two ends are equal, so none share a run.
 
     weights: how many copies of the text's parts there are, a number for each place; a run's length counts its suffixes so often.
     heads, tails: places in the text of the first and last suffix of each run; head_match, tail_match: how long the
-    head's match with the suffix before it is, and the tail's with the one after it. Inside a run, the suffix one place on has
+    head's match with the suffix before it is, and the tail's with the one after it, if it may be `least` or more. Inside a run, the suffix one place on has
     a match shorter by one, so these samples hold the longest match of every place. A part with copies begins a run of its own
     kind (nothing precedes it), and its first place matches the copy's to the part's end: `copied` has these.
     """
 
-    def __init__(self, symbols: np.ndarray, weights: np.ndarray | None = None, copied: dict[str, np.ndarray] | None = None):
+    def __init__(self, symbols: np.ndarray, weights: np.ndarray | None = None, copied: dict[str, np.ndarray] | None = None, least: int = 1):
         n = self.n = len(symbols)
         self.symbols, self.copied = symbols, copied
-        places = np.arange(n, dtype=np.uint64)
         bits, mask = np.uint64(INDEX_BITS), np.uint64((1 << INDEX_BITS) - 1)
         padded = np.zeros(n + FIRST, np.uint64)
         padded[:n] = symbols
-        key = np.zeros(n, np.uint64)
+        key, ends = np.zeros(n, np.uint64), np.zeros(n, bool)
         for k in range(FIRST):
-            key = key << np.uint64(SYMBOL_BITS) | padded[k : n + k]
-        # a suffix's rank is the slot of the first of its group of equals; only groups of several are sorted again
-        order, rank, slots = np.zeros(n, np.int64), np.zeros(n, np.int32), np.arange(n)
-        self.ranks, self.depths, depth, active = [], [], FIRST, places
+            ends |= padded[k : n + k] == 0
+            key = key << np.uint64(SYMBOL_BITS) | np.where(ends, 0, padded[k : n + k]).astype(np.uint64)  # ends differ, in the order of their places
+        # a suffix's rank is the slot of the first of its group of equals, and one more; only groups of several are sorted again
+        order, rank, slots = np.zeros(n, np.int64), np.zeros(n + 1, np.int32), np.arange(n)
+        self.ranks, self.depths, depth, active = [], [], FIRST, np.arange(n, dtype=np.uint64)
         while True:
             ordered = np.sort(key << bits | active)
             found, kept = (ordered & mask).astype(np.int64), ordered >> bits
             fresh = np.ones(len(slots), bool)
             fresh[1:] = kept[1:] != kept[:-1]
+            if depth == FIRST:
+                fresh |= ends[found]
             order[slots] = found
             rank = rank.copy()
-            rank[found] = slots[np.maximum.accumulate(np.where(fresh, np.arange(len(slots)), 0))]
+            rank[found] = np.maximum.accumulate(np.where(fresh, slots, 0)) + 1
             self.ranks.append(rank)
             self.depths.append(depth)
             several = ~fresh
@@ -157,39 +159,37 @@ class RunIndex:
             if not several.any():
                 break
             slots, at = slots[several], found[several]
-            follow = np.where(at + depth < n, rank[np.minimum(at + depth, n - 1)] + 1, 0)
-            key, active = rank[at].astype(np.uint64) << bits | follow.astype(np.uint64), at.astype(np.uint64)
+            # beyond the end: rank 0
+            key, active = rank[at].astype(np.uint64) << bits | rank.take(at + depth, mode="clip").astype(np.uint64), at.astype(np.uint64)
             depth *= 2
         before = np.full(n, -1, np.int32)  # what precedes each suffix; nothing precedes the text
         before[order > 0] = symbols[order[order > 0] - 1]
         change = np.ones(n + 1, bool)
-        change[1:n] = before[1:] != before[:-1]
+        change[1:n] = (before[1:] != before[:-1]) | (before[1:] <= 0)
         heads, tails = np.flatnonzero(change[:n]), np.flatnonzero(change[1:])
         self.run_symbols = before[heads]
         self.run_lengths = tails - heads + 1 if weights is None else np.add.reduceat(weights[order], heads) if n else heads
         self.heads, self.tails = order[heads], order[tails]
-        self.head_match = np.where(heads > 0, self._match(self.heads, order[np.maximum(heads - 1, 0)]), 0)
-        self.tail_match = np.where(tails < n - 1, self._match(self.tails, order[np.minimum(tails + 1, n - 1)]), 0)
+        self.head_match = self._match(self.heads, order[np.maximum(heads - 1, 0)], heads > 0, least)
+        self.tail_match = self._match(self.tails, order[np.minimum(tails + 1, n - 1)], tails < n - 1, least)
         del self.ranks, self.symbols
 
-    def _match(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """How many symbols the suffixes at a and b share (distinct places, so at most the ranks' depths can tell)."""
-        a, b, out = a.copy(), b.copy(), np.zeros(len(a), np.int64)
+    def _match(self, a: np.ndarray, b: np.ndarray, there: np.ndarray, least: int) -> np.ndarray:
+        """How many symbols the suffixes at a and b share (distinct places, so the ranks' depths can tell); 0 where it is known to be under `least`."""
+        out = np.zeros(len(a), np.int64)
+        far = np.searchsorted(self.depths, least, side="right") - 1
+        at = np.flatnonzero(there & (self.ranks[far][a] == self.ranks[far][b]) if far >= 0 else there)
+        a, b, length = a[at], b[at], np.zeros(len(at), np.int64)
         for rank, depth in zip(self.ranks[::-1], self.depths[::-1]):
-            there = (a < self.n) & (b < self.n)
-            same = np.zeros(len(a), bool)
-            same[there] = rank[a[there]] == rank[b[there]]
-            # ranks also agree on suffixes that end early only if they are one, so a shared rank is a shared prefix
-            out[same] += depth
-            a[same] += depth
-            b[same] += depth
+            same = (a < self.n) & (b < self.n) & (rank.take(a, mode="clip") == rank.take(b, mode="clip"))
+            step = same * depth
+            length, a, b = length + step, a + step, b + step
         open_ = np.ones(len(a), bool)
         for _ in range(FIRST - 1):
             open_ &= (a < self.n) & (b < self.n)
-            open_[open_] = self.symbols[a[open_]] == self.symbols[b[open_]]
-            out[open_] += 1
-            a[open_] += 1
-            b[open_] += 1
+            open_[open_] = (self.symbols[a[open_]] == self.symbols[b[open_]]) & (self.symbols[a[open_]] != 0)
+            length, a, b = length + open_, a + open_, b + open_
+        out[at] = length
         return out
 
     def matching_statistics(self) -> np.ndarray:
@@ -215,7 +215,7 @@ def repeated_starts(contexts: list[bytes], weights: list[int], length: int) -> l
     inside = np.ones(len(symbols), bool)
     inside[begin + sizes] = False
     symbols[inside] = raw.astype(np.int32) + 1
-    index = RunIndex(symbols, np.repeat(copies, sizes + 1), {"places": begin, "match": np.where(copies > 1, sizes, 0)})
+    index = RunIndex(symbols, np.repeat(copies, sizes + 1), {"places": begin, "match": np.where(copies > 1, sizes, 0)}, length)
     match = index.matching_statistics()
     return [match[b : b + s - length + 1] >= length for b, s in zip(begin.tolist(), sizes.tolist())]
 

@@ -233,11 +233,14 @@ def test_repeats_with_text_and_shared_ids(spark):
     assert repeats.deduplicated(empty(spark)).count() == 0
 
 
-@pytest.mark.parametrize("seed", range(5))
+@pytest.mark.parametrize("seed", range(60))
 def test_run_index(seed):
     rng = np.random.default_rng(seed)
-    length = int(rng.integers(3, 9))
-    parts = [bytes(rng.integers(97, 100, int(rng.integers(length, 40))).astype(np.uint8)) for _ in range(6)]
+    length = int(rng.integers(3, 30))
+    parts = [bytes(rng.integers(97, 100, int(rng.integers(length, 60))).astype(np.uint8)) for _ in range(6)]
+    # pieces of others in surroundings of their own, and parts that begin and end alike
+    parts += [parts[k][a:] + parts[k + 1][: length // 2] + parts[k][:a] for k, a in enumerate(rng.integers(0, length, 5).tolist())]
+    parts = list(dict.fromkeys(p for p in parts if len(p) >= length))
     count = {}
     for p in parts:
         for i in range(len(p) - length + 1):
