@@ -1,17 +1,20 @@
 """Best-fit packing: pattern packing by non-negative least squares.
 
-Only the histogram of piece lengths (at most `window` rows) comes to the driver. There, patterns of
-one to three pieces that fill a sequence exactly are enumerated, repeat counts x >= 0 are fitted so
-that the patterns' lengths reproduce the histogram (least squares, projected gradient steps), and
-rounded down. What they leave is packed by best fit decreasing, also on counts: a pattern is built
-greedily and repeated as often as the counts allow. Every pattern maps a range of ranks within each
+Only the histogram of piece lengths (at most `window` rows) comes to the driver. There, the patterns
+that fill a sequence exactly are enumerated: all of one to three pieces, and all of two lengths, each any number of times; the
+window alone bounds how many there are. Repeat counts x >= 0 are fitted so that the patterns' lengths reproduce the
+histogram (least squares, accelerated projected gradient steps to a tolerance). They are rounded: whole parts first, then one
+more by falling fraction, weighed by the longest piece (long ones are hard to place later), never more than the histogram holds. What that leaves is packed by best fit
+decreasing, also on counts: a pattern is built greedily and repeated as often as the counts allow. Of a few shares of the tokens at which
+rounding up stops, the one with the fewest sequences is taken, of equals the one that leaves least to best fit. Every pattern maps a range of ranks within each
 of its lengths to sequence numbers, so each piece finds its place by itself, where it lies.
 
 Ranks: pieces are numbered within (partition, length) as they are written; the partitions' offsets come
 from a window over the counts, not over the pieces.
 
-Edge cases: a null text is an empty one (just the end id). Repeated rows are packed each. Null ids
-stay. An empty table gives no rows. Other columns are ignored, whatever their names.
+Edge cases: a null text is an empty one (just the end id). A text of any length is cut into pieces; a piece of a whole window is a
+sequence. Repeated rows are packed each; pieces of one length are alike, and their ranks say which goes where. Null ids stay. An empty
+table gives no rows. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,8 +33,10 @@ from tessera.llm.shared import few_rows, fresh_dir, open_fs, text_column, writte
 from tessera.llm.tokens import default_path, encoder
 
 WINDOW = 2048
-TRIPLES_PER_LENGTH = 12
-STEPS = 400
+#: The fit ends when a step moves no more than this share of all repeats, and at the latest after MOST_STEPS.
+SETTLED, MOST_STEPS = 1e-4, 3000
+#: Shares of the tokens at which rounding up stops: so much is left to best fit.
+LEFT = (0.0, 0.03, 0.1, 0.15, 0.25, 0.5, 1.0)
 PIECE = "part long, rank_in_part long, doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
 
 
@@ -55,76 +60,134 @@ def pieces(docs: DataFrame, path: str, window: int, end_id: int, with_ids: bool)
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PIECE)
 
 
-def patterns(counts: np.ndarray, window: int) -> np.ndarray:
-    """Rows of three lengths (0: none) that fill a sequence: one, two or three pieces, of lengths that occur."""
+def patterns(counts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """(lengths, times): rows of three lengths (0: none) and how often each comes, that fill a sequence with what the counts hold."""
     has = counts > 0
     has[0] = False
-    out = [(window, 0, 0)] if has[window] else []
-    present = np.flatnonzero(has[:window])
-    for a in present[::-1].tolist():
-        b = window - a
-        if b <= a and b > 0 and has[b]:
-            out.append((a, b, 0))
-        gap = window - a
-        lower = present[(present <= a) & (present >= -(-gap // 2)) & (present < gap)]
-        lower = lower[has[gap - lower]]
-        lower = lower[np.argsort(-np.minimum(counts[lower], counts[gap - lower]), kind="stable")[:TRIPLES_PER_LENGTH]]
-        out += [(a, int(b), int(gap - b)) for b in lower]
-    return np.array(out, np.int64).reshape(-1, 3)
-
-
-def fit(counts: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """x >= 0 that brings the patterns' summed lengths near the counts: projected gradient with each pattern's own step."""
-    used = rows > 0
-    size = len(counts)
-    degree = np.bincount(rows[used], minlength=size)
-    step = np.maximum(1, (degree[rows] * used).sum(1))
-    x = np.zeros(len(rows))
-    for _ in range(STEPS):
-        left = counts - np.bincount(rows[used], weights=np.broadcast_to(x[:, None], rows.shape)[used], minlength=size)
-        x = np.maximum(0, x + (left[rows] * used).sum(1) / step)
+    present = np.flatnonzero(has)
+    lengths, times = [], []
+
+    def add(a: np.ndarray, i: np.ndarray, b: np.ndarray, j: np.ndarray, c: np.ndarray, k: np.ndarray) -> None:
+        held = (counts[a] >= i) & (counts[b] >= j) & (counts[c] >= k)
+        lengths.append(np.stack([a, b, c], 1)[held])
+        times.append(np.stack([i, j, k], 1)[held])
+
+    zero = np.zeros(1, np.int64)
+    for a in present.tolist():
+        most = min(int(counts[a]), window // a)
+        i = np.arange(1, most + 1)
+        whole = i[i * a == window]
+        if len(whole):
+            add(whole * 0 + a, whole, whole * 0, whole * 0, whole * 0, whole * 0)
+        # two lengths, each any number of times: b < a divides what i times a leaves
+        b = present[present < a]
+        if len(b):
+            gap = window - i * a
+            row, at = np.nonzero((gap[:, None] > 0) & (gap[:, None] % b == 0))
+            none = np.zeros(len(row), np.int64)
+            add(none + a, i[row], b[at], gap[row] // b[at], none, none)
+        # three different lengths a > b > c
+        b = b[(2 * b > window - a) & (b < window - a)]
+        b = b[has[window - a - b]]
+        one = np.ones(len(b), np.int64)
+        add(one * a, one, b, one, window - a - b, one)
+    if not lengths:
+        return np.zeros((0, 3), np.int64), np.zeros((0, 3), np.int64)
+    return np.concatenate(lengths), np.concatenate(times)
+
+
+def fit(counts: np.ndarray, lengths: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """x >= 0 for which the patterns' summed lengths come nearest to the counts: accelerated projected gradient, each pattern with a step of its own."""
+    flat, size = lengths.ravel(), len(counts)
+    weight = np.where(lengths > 0, times, 0).astype(float)
+    # a diagonal that bounds the quadratic form from above, so that no step overshoots
+    row_sums = np.bincount(flat, weights=weight.ravel(), minlength=size)
+    # a pattern that holds a length often gets a shorter step by itself
+    step = 1 / np.maximum(1e-9, (weight * row_sums[lengths]).sum(1))
+    x = y = np.zeros(len(lengths))
+    momentum = 1.0
+    for _ in range(MOST_STEPS):
+        left = counts - np.bincount(flat, weights=(weight * y[:, None]).ravel(), minlength=size)
+        new = np.maximum(0, y + (weight * left[lengths]).sum(1) * step)
+        moved = new - x
+        if float(moved @ (y - new)) > 0:  # the momentum points the wrong way
+            momentum = 1.0
+        following = (1 + np.sqrt(1 + 4 * momentum * momentum)) / 2
+        y = new + (momentum - 1) / following * moved
+        x, momentum = new, following
+        if np.abs(moved).sum() <= SETTLED * x.sum():
+            break
     return x
 
 
-def plan(counts: np.ndarray, window: int = WINDOW) -> list[tuple[dict[int, int], int]]:
-    """[(pattern as {length: pieces}, repeats)] that uses every count exactly once. counts[n]: pieces of length n."""
-    left, out = counts.astype(np.int64).copy(), []
-
-    def take(pattern: dict[int, int], most: int) -> int:
-        n = min([most, *(int(left[k]) // v for k, v in pattern.items())])
-        if n > 0:
-            for k, v in pattern.items():
-                left[k] -= n * v
-            out.append((pattern, n))
-        return n
-
-    rows = patterns(left, window)
-    if len(rows):
-        x = np.floor(fit(left, rows) + 1e-9).astype(np.int64)
-        for j in np.argsort(-x, kind="stable"):
-            if not x[j]:
-                break
-            lengths, n = np.unique(rows[j][rows[j] > 0], return_counts=True)
-            take(dict(zip(lengths.tolist(), n.tolist())), int(x[j]))
+def rounded(counts: np.ndarray, lengths: np.ndarray, times: np.ndarray, x: np.ndarray, share: float) -> tuple[np.ndarray, list[tuple[dict[int, int], int]]]:
+    """What is left of the counts, and the patterns with their repeats: whole parts, then one more by falling weighed fraction until `share` of the tokens is left."""
+    left, out = counts.astype(np.int64).tolist(), {}
+    whole = np.floor(x + 1e-9).astype(np.int64)
+    fraction = np.maximum(0, x - whole)
+    first = np.flatnonzero(whole > 0)
+    first = first[np.argsort(-x[first], kind="stable")]
+    more = np.flatnonzero(fraction > 1e-6)
+    more = more[np.argsort(-fraction[more] * lengths[more].max(1), kind="stable")]
+    tokens = int((np.arange(len(counts)) * counts).sum())
+    least, window = int(share * tokens), int((lengths * times).sum(1).max())
+    for rows, wanted in ((first, whole), (more, None)):
+        if wanted is None:
+            tokens -= window * sum(out.values())
+        for row, (a, b, c), (i, j, k) in zip(rows.tolist(), lengths[rows].tolist(), times[rows].tolist()):
+            n = min(left[a] // i if a else 1 << 60, left[b] // j if b else 1 << 60, left[c] // k if c else 1 << 60)
+            n = min(n, 1 if wanted is None else int(wanted[row]))
+            if wanted is None and n > 0:
+                if tokens <= least:
+                    break
+                tokens -= window
+            if n > 0:
+                left[a] -= n * i
+                left[b] -= n * j
+                left[c] -= n * k
+                out[row] = out.get(row, 0) + n
+    left[0] = 0
+    found = [({int(length): int(t) for length, t in zip(lengths[row], times[row]) if length}, n) for row, n in out.items()]
+    return np.array(left, np.int64), found
+
+
+def best_fit(counts: np.ndarray, window: int) -> list[tuple[dict[int, int], int]]:
+    """Best fit decreasing on counts."""
+    left, out = counts.copy(), []
     while left.any():
-        gap, pattern = window, {}
-        while gap > 0:
-            open_ = np.flatnonzero(left[: gap + 1] > np.array([pattern.get(k, 0) for k in range(gap + 1)])) if gap <= 64 else None
-            if open_ is None:
-                trial = left[: gap + 1].copy()
-                for k, v in pattern.items():
-                    if k <= gap:
-                        trial[k] -= v
-                open_ = np.flatnonzero(trial > 0)
-            if not len(open_):
-                break
+        gap, pattern, trial = window, {}, left.copy()
+        while gap > 0 and len(open_ := np.flatnonzero(trial[: gap + 1])):
             best = int(open_[-1])
-            pattern[best] = pattern.get(best, 0) + 1
-            gap -= best
-        take(pattern, int(left.max()))
+            n = min(gap // best, int(trial[best]))
+            pattern[best] = pattern.get(best, 0) + n
+            trial[best] -= n
+            gap -= n * best
+        n = min(int(left[k]) // v for k, v in pattern.items())
+        for k, v in pattern.items():
+            left[k] -= n * v
+        out.append((pattern, n))
     return out
 
 
+def plan(counts: np.ndarray, window: int = WINDOW) -> list[tuple[dict[int, int], int]]:
+    """[(pattern as {length: pieces}, repeats)] that uses every count exactly once. counts[n]: pieces of length n."""
+    return fitted_plan(counts, window)[0]
+
+
+def fitted_plan(counts: np.ndarray, window: int = WINDOW) -> tuple[list[tuple[dict[int, int], int]], int]:
+    """plan(), and how many of its first entries are patterns of the fit."""
+    lengths, times = patterns(counts, window)
+    x = fit(counts, lengths, times) if len(lengths) else np.zeros(0)
+    best = None
+    for share in LEFT if len(lengths) else ():
+        left, found = rounded(counts, lengths, times, x, share)
+        rest = best_fit(left, window)
+        cost = (sum(n for _, n in found) + sum(n for _, n in rest), sum(n for _, n in rest))
+        if best is None or cost < best[0]:
+            best = cost, found + rest, len(found)
+    return (best[1], best[2]) if best else (best_fit(counts, window), 0)
+
+
 def places(found: list[tuple[dict[int, int], int]], window: int) -> dict[str, np.ndarray]:
     """Where rank r of length n goes: the first row with the key n * 2**44 + r or less; sequence = base + r - first rank."""
     keys, base, offset = [], [], []

@@ -461,6 +461,62 @@ def test_plan_uses_every_piece_once(seed):
     assert used.tolist() == counts.tolist()
 
 
+def histogram(n, seed, window):
+    return np.bincount(np.clip(np.random.default_rng(seed).lognormal(np.log(window) - 2, 0.9, n), 1, window).astype(int), minlength=window + 1)
+
+
+@pytest.mark.parametrize("n", [300, 1200, 12_000])
+def test_most_sequences_are_patterns_of_the_fit(n):
+    counts = histogram(n, n, 512)
+    found, fitted = packing.fitted_plan(counts, 512)
+    bound, full = -(-int((np.arange(513) * counts).sum()) // 512), int(counts[512])
+    by_fit, all_ = sum(t for _, t in found[:fitted]), sum(t for _, t in found)
+    assert all_ <= bound + 1 and by_fit - full > 0.5 * (all_ - full)
+    assert all(sum(k * v for k, v in pattern.items()) == 512 for pattern, _ in found[:fitted])
+
+
+def test_the_fit_settles_at_the_histogram():
+    counts = histogram(5000, 1, 256)
+    lengths, times = packing.patterns(counts, 256)
+    x = packing.fit(counts, lengths, times)
+    summed = np.bincount(lengths.ravel(), weights=(np.where(lengths > 0, times, 0) * x[:, None]).ravel(), minlength=257)
+    assert x.min() >= 0 and np.abs(summed - counts)[1:].sum() < 0.02 * counts.sum()
+    used = np.arange(257) @ counts / 256
+    assert abs(x.sum() - used) < 0.02 * used  # no more sequences asked for than there are tokens
+
+
+def test_patterns_are_all_that_fill_a_sequence():
+    counts = np.zeros(25, np.int64)
+    counts[[2, 3, 5, 7, 8, 12, 17, 24]] = [9, 2, 1, 3, 3, 2, 1, 4]
+    lengths, times = packing.patterns(counts, 24)
+    got = {tuple(sorted((a, t) for a, t in zip(x, n) if a)) for x, n in zip(lengths.tolist(), times.tolist())}
+    want = set()
+    present = np.flatnonzero(counts).tolist()
+    for a in present:
+        for i in range(1, int(counts[a]) + 1):
+            if i * a == 24:
+                want.add(((a, i),))
+            for b in present:
+                for j in range(1, int(counts[b]) + 1):
+                    if b < a and i * a + j * b == 24:
+                        want.add(((b, j), (a, i)))
+                    for c in present:
+                        if i == j == 1 and c < b < a and a + b + c == 24:
+                            want.add(((c, 1), (b, 1), (a, 1)))
+    assert got == want and len(got) == len(lengths)
+
+
+def test_packing_of_one_hot_length_and_null_ids(spark):
+    values = ["same text " * 3] * 500 + [None, "", "other words " * 40]
+    rows = packing.pack(documents(spark, values, [None] * 250 + list(range(253)))).collect()
+    assert len(rows) == 503 and sum(r.doc_id is None for r in rows) == 250
+    assert len({(r.sequence_id, r.offset) for r in rows}) == 503
+    used = {}
+    for r in rows:
+        used[r.sequence_id] = used.get(r.sequence_id, 0) + r.length
+    assert max(used.values()) <= 2048 and len(used) == -(-sum(used.values()) // 2048)
+
+
 # op7
 
 
