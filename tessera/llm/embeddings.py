@@ -7,12 +7,14 @@ What reaches the bound is verified in double precision. Rounds of passes follow
 joins found (none, if there are fewer than a thousand), so their number grows with rows and density.
 
 The verified pairs of all passes are united into components. A pair that links lies in one component, so all links are then
-counted inside the components, in blocks of bounded size: a family larger than the window loses none of its pairs.
-
-Equal vectors are one vector with a weight. Edge cases: a vector that is null, zero, or holds a null or non-finite
-component links with nothing; so do vectors of different lengths. Each such row is a component of its own. A null
-vec_id links with nothing, its component is null. Rows that repeat a vec_id are copies of it: each counts as
-another vector. An empty table gives no rows. Other columns are ignored, whatever their names.
+counted inside the components, in blocks of bounded size: a family larger than the window loses none of its pairs. Vectors travel as
+they are stored (single or double precision) and are brought to unit length, in double precision, where they are compared.
+
+Equal vectors are one vector with a weight and an id of its own. Edge cases: a vector that is null, zero, or holds a null or non-finite
+component links with nothing; so do vectors of different lengths. Each such row is a component of its own. Rows with a null
+vec_id link as others do, but a component is named after the least non-null vec_id (null where there is none), and only such a row is
+kept whose vec_id is its component's. Rows that repeat a vec_id, with equal or other vectors, each count as another vector. An empty
+table gives no rows. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.llm.components import Forest, components
 from tessera.llm.shared import written
@@ -37,48 +40,68 @@ LOCAL = 3
 CHUNK = 16_384
 CHUNK_BYTES = 32 << 20
 SETTLED = 1000
-BLOCK = 1024
+#: Vectors of a block, and the bytes that a block of long vectors has at most; blocks are compared in tiles.
+BLOCK, BLOCK_BYTES = 16_384, 16 << 20
+TILE = 1024
 SEED = 20240229
 
 
+def kind_of(rows: DataFrame) -> str:
+    """How the components of the column embedding are stored."""
+    return "<f4" if isinstance(rows.schema["embedding"].dataType.elementType, T.FloatType) else "<f8"
+
+
+def units_of(raw: np.ndarray) -> np.ndarray:
+    """Rows of unit length in double precision, safe from overflow."""
+    x = raw.astype(np.float64)
+    x /= np.abs(x).max(axis=1, keepdims=True)
+    return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+
+
 def unit_vectors(rows: DataFrame) -> DataFrame:
-    """vec_id, key (of equal vectors; null if the row can't link), unit (doubles)."""
+    """vec_id, key (of equal unit vectors; null if the row can't link), raw (its components' bytes)."""
+    kind = kind_of(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, units = [], []
-            for vec_id, values in zip(batch.column(0).to_pylist(), batch.column(1)):
-                x = np.array([np.nan if v is None else v for v in values.as_py()], np.float64) if values.is_valid and values.values.null_count else values.values.to_numpy(zero_copy_only=False).astype(np.float64) if values.is_valid else np.zeros(0)
+            keys, raws = [], []
+            for values in batch.column(1):
+                x = np.zeros(0)
+                if values.is_valid and not values.values.null_count:
+                    x = values.values.to_numpy(zero_copy_only=False).astype(kind)
                 scale = float(np.abs(x).max()) if len(x) else 0.0
-                if vec_id is None or not np.isfinite(scale) or scale == 0:
+                if not np.isfinite(scale) or scale == 0:
                     keys.append(None)
-                    units.append(None)
+                    raws.append(None)
                     continue
-                x = x / scale
-                x = x / np.sqrt(x @ x)
-                units.append(x.tobytes())
-                keys.append(hashlib.blake2b(units[-1], digest_size=16).digest())
-            yield pa.record_batch({"vec_id": batch.column(0), "key": pa.array(keys, pa.binary()), "unit": pa.array(units, pa.binary())})
+                raws.append(x.tobytes())
+                keys.append(hashlib.blake2b(units_of(x[None, :]).tobytes(), digest_size=16).digest())
+            yield pa.record_batch({"vec_id": batch.column(0), "key": pa.array(keys, pa.binary()), "raw": pa.array(raws, pa.binary())})
+
+    stored = "array<float>" if kind == "<f4" else "array<double>"
+    return rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(stored)).mapInArrow(run, "vec_id long, key binary, raw binary")
+
 
-    return rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>")).mapInArrow(run, "vec_id long, key binary, unit binary")
+def sizes_of(column: pa.Array, kind: str) -> np.ndarray:
+    return np.array([len(x) for x in column.to_pylist()], np.int64) // np.dtype(kind).itemsize
 
 
-def matrix(column: pa.Array, size: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(-1, size)
+def matrix(column: pa.Array, size: int, kind: str) -> np.ndarray:
+    return units_of(np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, size))
 
 
-def centres(reps: DataFrame) -> dict[int, np.ndarray]:
+def centres(reps: DataFrame, kind: str) -> dict[int, np.ndarray]:
     """The mean vector of each length that 1000 vectors or more have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes = np.array([len(x) // 8 for x in batch.column(0).to_pylist()])
+            sizes = sizes_of(batch.column(0), kind)
             for size in np.unique(sizes).tolist():
                 at = np.flatnonzero(sizes == size)
-                total = matrix(batch.column(0).take(pa.array(at)), size).sum(axis=0)
+                total = matrix(batch.column(0).take(pa.array(at)), size, kind).sum(axis=0)
                 yield pa.record_batch({"size": pa.array(np.full(size, size, np.int32)), "at": pa.array(np.arange(size, dtype=np.int32)), "total": pa.array(total), "n": pa.array(np.full(size, len(at), np.int64))})
 
-    sums = reps.select("unit").mapInArrow(run, "size int, at int, total double, n long").groupBy("size", "at").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+    sums = reps.select("raw").mapInArrow(run, "size int, at int, total double, n long").groupBy("size", "at").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
     out: dict[int, np.ndarray] = {}
     for row in sums.filter("n >= 1000").collect():
         out.setdefault(row["size"], np.zeros(row["size"]))[row["at"]] = row["total"] / row["n"]
@@ -91,21 +114,21 @@ def sign_codes(units: np.ndarray, seed: int | list[int], centre: np.ndarray | No
     return np.packbits(units @ towards >= (0 if centre is None else centre @ towards), axis=1).view(">u8")[:, 0].astype(np.uint64)
 
 
-def coded(reps: DataFrame, passes: range, means: dict[int, np.ndarray]) -> DataFrame:
-    """A row for each vector and pass: pass, size, code (its place in the pass's order), rep, unit."""
+def coded(reps: DataFrame, passes: range, means: dict[int, np.ndarray], kind: str) -> DataFrame:
+    """A row for each vector and pass: pass, size, code (its place in the pass's order), rep, raw."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes = np.array([len(x) // 8 for x in batch.column(1).to_pylist()])
+            sizes = sizes_of(batch.column(1), kind)
             for size in np.unique(sizes):
                 at = np.flatnonzero(sizes == size)
                 part = batch.take(pa.array(at))
-                units = matrix(part.column(1), int(size))
+                units = matrix(part.column(1), int(size), kind)
                 for k in passes:
                     code = sign_codes(units, SEED + k, means.get(int(size))) ^ np.uint64(1 << 63)
-                    yield pa.record_batch({"pass": pa.array(np.full(len(at), k, np.int32)), "size": pa.array(np.full(len(at), size, np.int32)), "code": pa.array(code.view(np.int64)), "rep": part.column(0), "unit": part.column(1)})
+                    yield pa.record_batch({"pass": pa.array(np.full(len(at), k, np.int32)), "size": pa.array(np.full(len(at), size, np.int32)), "code": pa.array(code.view(np.int64)), "rep": part.column(0), "raw": part.column(1)})
 
-    return reps.select("rep", "unit").mapInArrow(run, "pass int, size int, code long, rep long, unit binary")
+    return reps.select("rep", "raw").mapInArrow(run, "pass int, size int, code long, rep long, raw binary")
 
 
 def window_links(units: np.ndarray, reps: np.ndarray, window: int, least: float, forest: Forest, local: int = 0, seed: int = 0) -> list[tuple[int, int]]:
@@ -137,17 +160,17 @@ def window_links(units: np.ndarray, reps: np.ndarray, window: int, least: float,
     return out
 
 
-def neighbours(rows: DataFrame, window: int, least: float, parts: int) -> DataFrame:
+def neighbours(rows: DataFrame, window: int, least: float, parts: int, kind: str = "<f8") -> DataFrame:
     """Links a, b found in windows of the order: of each partition, and of each border of two, a spanning forest of its verified pairs."""
 
     def links(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
         a, b = (pa.array(x, pa.int64()) for x in zip(*pairs))
         empty = pa.nulls(len(a), pa.int32())
-        return pa.record_batch({"a": a, "b": b, "border": empty, "pass": empty, "size": empty, "code": pa.nulls(len(a), pa.int64()), "unit": pa.nulls(len(a), pa.binary())})
+        return pa.record_batch({"a": a, "b": b, "border": empty, "pass": empty, "size": empty, "code": pa.nulls(len(a), pa.int64()), "raw": pa.nulls(len(a), pa.binary())})
 
     def edge(part: pa.Table, border: int) -> Iterator[pa.RecordBatch]:
         n = part.num_rows
-        yield from pa.table({"a": part["rep"], "b": pa.nulls(n, pa.int64()), "border": pa.array(np.full(n, border, np.int32)), "pass": part["pass"], "size": part["size"], "code": part["code"], "unit": part["unit"]}).to_batches()
+        yield from pa.table({"a": part["rep"], "b": pa.nulls(n, pa.int64()), "border": pa.array(np.full(n, border, np.int32)), "pass": part["pass"], "size": part["size"], "code": part["code"], "raw": part["raw"]}).to_batches()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest, held, fresh, here = Forest(), None, 0, TaskContext.get().partitionId()
@@ -172,39 +195,42 @@ def neighbours(rows: DataFrame, window: int, least: float, parts: int) -> DataFr
         group = part["pass"].to_numpy().astype(np.int64) << 32 | part["size"].to_numpy()
         for g in np.unique(group).tolist():
             at = pa.array(np.flatnonzero(group == g))
-            out += window_links(matrix(part["unit"].take(at), g & 0xFFFFFFFF), part["rep"].take(at).to_numpy(), window, least, forest, local, SEED + (g >> 32))
+            out += window_links(matrix(part["raw"].take(at), g & 0xFFFFFFFF, kind), part["rep"].take(at).to_numpy(), window, least, forest, local, SEED + (g >> 32))
         return out
 
     def across(part: pa.Table) -> pa.Table:
         out = compared(part.rename_columns({"a": "rep"}).sort_by([("code", "ascending"), ("rep", "ascending")]), Forest(), 0)
         return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([x for _, x in out], pa.int64())})
 
-    ordered = rows.repartitionByRange(parts, "pass", "size", "code").sortWithinPartitions("pass", "size", "code", "rep")
-    found = written(ordered.mapInArrow(run, "a long, b long, border int, pass int, size int, code long, unit binary"), "neighbours")
+    ordered = rows.repartitionByRange(parts, "pass", "size", "code", "rep").sortWithinPartitions("pass", "size", "code", "rep")
+    found = written(ordered.mapInArrow(run, "a long, b long, border int, pass int, size int, code long, raw binary"), "neighbours")
     return found.filter("b is not null").select("a", "b").unionByName(found.filter("b is null").groupBy("border").applyInArrow(across, "a long, b long"))
 
 
-def counted(members: DataFrame, least: float, block: int) -> DataFrame:
-    """rep, links (weighted vectors of the same component within the bound, itself not counted). members: root, rep, weight, unit."""
-    sizes = members.groupBy("root").agg(F.count("*").alias("_n"))
-    placed = members.join(sizes, "root").withColumn("_blocks", F.ceil(F.col("_n") / block).cast("int")).withColumn("_own", F.pmod(F.xxhash64("rep"), F.col("_blocks")).cast("int"))
+def counted(members: DataFrame, least: float, block: int, kind: str) -> DataFrame:
+    """rep, links (weighted vectors of the same component within the bound, itself not counted). members: root, _n (vectors of the root), rep, weight, raw."""
+    most = F.greatest(F.lit(1), F.least(F.lit(block), F.floor(BLOCK_BYTES / F.octet_length("raw"))))
+    # of one length within a root, for others don't link
+    placed = members.withColumn("_blocks", F.ceil(F.col("_n") / most).cast("int")).withColumn("_own", F.pmod(F.xxhash64("rep"), F.col("_blocks")).cast("int"))
     paired = placed.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    keyed = paired.select(F.xxhash64("root", F.least("_own", "_other"), F.greatest("_own", "_other")).alias("group"), (F.col("_own") > F.col("_other")).alias("second"), (F.col("_own") == F.col("_other")).alias("alone"), "rep", "weight", "unit")
+    keyed = paired.select(F.xxhash64("root", F.least("_own", "_other"), F.greatest("_own", "_other")).alias("group"), (F.col("_own") > F.col("_other")).alias("second"), (F.col("_own") == F.col("_other")).alias("alone"), "rep", "weight", "raw")
 
-    def one(rows: pa.Table) -> pa.RecordBatch | None:
-        reps, weight, second = rows.column(3).to_numpy(), rows.column(4).to_numpy(), rows.column(2 - 1).to_numpy(zero_copy_only=False)
-        units = rows.column(5).to_pylist()
-        size = np.array([len(x) for x in units])
+    def one(rows: pa.Table) -> pa.RecordBatch:
+        reps, weight, second = rows.column(3).to_numpy(), rows.column(4).to_numpy(), rows.column(1).to_numpy(zero_copy_only=False)
+        alone = rows.column(2)[0].as_py()
+        size = sizes_of(rows.column(5), kind)
         links = np.zeros(len(reps), np.int64)
-        for n in np.unique(size):
+        for n in np.unique(size).tolist():
             at = np.flatnonzero(size == n)
-            u = np.frombuffer(b"".join(units[i] for i in at), np.float64).reshape(len(at), -1)
-            near = u @ u.T >= least
-            if not rows.column(2)[0].as_py():
-                near &= second[at][:, None] != second[at][None, :]
-            else:
-                np.fill_diagonal(near, False)
-            links[at] += near @ weight[at]
+            u, side = matrix(rows.column(5).take(pa.array(at)), n, kind), second[at]
+            for first in range(0, len(at), TILE):
+                tile = slice(first, first + TILE)
+                near = u[tile] @ u.T >= least
+                if alone:
+                    near[np.arange(len(near)), np.arange(first, first + len(near))] = False
+                else:
+                    near &= side[tile][:, None] != side[None, :]
+                links[at[tile]] += near @ weight[at]
         return pa.record_batch({"rep": pa.array(reps), "links": pa.array(links)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,16 +252,16 @@ def counted(members: DataFrame, least: float, block: int) -> DataFrame:
     return counts.groupBy("rep").agg(F.sum("links").alias("links"))
 
 
-def joined(reps: DataFrame, passes: int, window: int, least: float) -> DataFrame:
+def joined(reps: DataFrame, passes: int, window: int, least: float, kind: str) -> DataFrame:
     """node, root of all links that rounds of passes find, until a round adds next to none."""
-    means, n = centres(reps), reps.count()
+    means, n = centres(reps, kind), reps.count()
     most = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     done, before, known = 0, 0, None
     while True:
         more = range(done, done + (max(1, passes // 2) if done else passes))
         total = n * len(more)
         # partitions of several windows at least, so that a border has no third one in its reach
-        links = neighbours(coded(reps, more, means), window, least, max(1, min(total // (64 * window), max(most, total // 500_000))))
+        links = neighbours(coded(reps, more, means, kind), window, least, max(1, min(total // (64 * window), max(most, total // 500_000))), kind)
         known = components(links if known is None else links.unionByName(known.select(F.col("node").alias("a"), F.col("root").alias("b"))))
         now = known.count()  # a join each
         if n <= window or done and now - before <= now // SETTLED:
@@ -245,16 +271,19 @@ def joined(reps: DataFrame, passes: int, window: int, least: float) -> DataFrame
 
 def near_duplicates(rows: DataFrame, least: float = LEAST_COSINE, passes: int = PASSES, window: int = WINDOW, block: int = BLOCK) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row."""
+    kind = kind_of(rows)
     vectors = written(unit_vectors(rows), "vectors")
-    reps = written(vectors.filter("key is not null").groupBy("key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"), F.first("unit").alias("unit")), "reps")
-    roots = joined(reps, passes, window, least)
-    rooted = written(reps.join(roots, reps["rep"] == roots["node"], "left").select("key", "rep", "weight", "unit", F.coalesce("root", "rep").alias("root")), "rooted")
-    large = rooted.groupBy("root").agg(F.count("*").alias("_n")).filter("_n > 1").select("root")
-    links = counted(rooted.join(large, "root").select("root", "rep", "weight", "unit"), least, block)
-    known = rooted.join(links, "rep", "left").select("key", F.col("root").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n"))
-    out = vectors.select("vec_id", "key").join(known, "key", "left")
-    component = F.coalesce("component", "vec_id")
-    return out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
+    distinct = vectors.filter("key is not null").groupBy("key").agg(F.min("vec_id").alias("least"), F.count("*").alias("weight"), F.first("raw").alias("raw"))
+    # an id for each different vector: vec_ids may repeat. The table is written once, so the ids stay
+    reps = written(distinct.withColumn("rep", F.monotonically_increasing_id()), "reps")
+    roots = joined(reps, passes, window, least, kind)
+    rooted = written(reps.join(roots, reps["rep"] == roots["node"], "left").select("key", "rep", "least", "weight", "raw", F.coalesce("root", "rep").alias("root")), "rooted")
+    named = written(rooted.groupBy("root").agg(F.min("least").alias("component"), F.count("*").alias("_n")), "roots")
+    links = counted(rooted.join(named.filter("_n > 1"), "root").select("root", "_n", "rep", "weight", "raw"), least, block, kind)
+    known = rooted.drop("raw").join(named, "root").join(links, "rep", "left").select("key", F.lit(True).alias("usable"), "component", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n"))
+    out = vectors.select("vec_id", "key").join(written(known, "known"), "key", "left")
+    component = F.when(F.col("usable"), F.col("component")).otherwise(F.col("vec_id"))
+    return out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))
 
 
 def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -101,37 +101,56 @@ def test_scores_by_pairs_equal_plain_filters():
 # op2
 
 
-def test_embeddings(spark):
+def brute_links(rows):
+    """Of each row: its links and the least id of its component, by all pairs of rows."""
+    units = []
+    for _, v in rows:
+        x = np.array([np.nan if y is None else y for y in v or []])
+        good = len(x) and np.isfinite(x).all() and np.abs(x).max() > 0
+        x = x / np.abs(x).max() if good else x
+        units.append(x / np.linalg.norm(x) if good else None)
+    forest, links = Forest(), []
+    for i, u in enumerate(units):
+        links.append([j for j, w in enumerate(units) if j != i and u is not None and w is not None and len(u) == len(w) and u @ w >= 0.95])
+        for j in links[i]:
+            forest.join(i, j)
+    least = {}
+    for i, (vec_id, _) in enumerate(rows):
+        if vec_id is not None:
+            least[forest.root(i)] = min(vec_id, least.get(forest.root(i), vec_id))
+    return [(vec_id, len(links[i]), least.get(forest.root(i)) if units[i] is not None else vec_id) for i, (vec_id, _) in enumerate(rows)]
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_embeddings(spark, kind, monkeypatch):
+    monkeypatch.setattr(embeddings, "TILE", 8)
     rng = np.random.default_rng(5)
     rows, n = [], 0
     for size in (1, 1, 1, 2, 3, 40, 150):
         center = rng.normal(size=16)
         for _ in range(size):
-            rows.append((n, (center + rng.normal(size=16) * 0.12).tolist()))
+            rows.append((n, (center + rng.normal(size=16) * 0.12).astype("f4").astype(float).tolist()))
             n += 1
-    rows += [(n, rows[5][1]), (n + 1, rows[5][1]), (n + 2, None), (n + 3, [0.0] * 16), (n + 4, [float("nan")] * 16), (n + 5, [None] * 16), (n + 6, []), (n + 7, [1.0, 2.0]), (n + 8, [1e300] * 16), (n + 9, [2e-300] * 16), (None, [1.0] * 16), (n + 10, [float("inf")] + [0.0] * 15)]
-    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
-    got = {r.vec_id: r for r in embeddings.near_duplicates(frame, block=32).collect()}
-    units, links, forest = {}, {}, Forest()
-    for i, v in rows:
-        x = np.array([np.nan if y is None else y for y in v or []])
-        if i is not None and len(x) and np.isfinite(x).all() and np.abs(x).max() > 0:
-            x = x / np.abs(x).max()
-            units[i] = x / np.linalg.norm(x)
-    for i in units:
-        links[i] = [j for j in units if j != i and len(units[i]) == len(units[j]) and units[i] @ units[j] >= 0.95]
-        for j in links[i]:
-            forest.join(i, j)
-    true, found = sum(map(len, links.values())), sum(r.n_links for r in got.values())
-    assert len(got) == len(rows) and 0.9 * true <= found <= true
-    for i, r in got.items():
-        assert r.n_links <= len(links.get(i, []))
-        assert r.kept == (r.vec_id == r.component_id or i is None)
-    assert got[n + 9].n_links == 1 and got[n + 8].component_id == n + 8 and got[None].n_links == 0
-    assert found == true and all(got[i].component_id == forest.root(i) for i in units)
+    rows += [(n, rows[5][1]), (n + 1, rows[5][1]), (n + 2, None), (n + 3, [0.0] * 16), (n + 4, [float("nan")] * 16), (n + 5, [None] * 16), (n + 6, []), (n + 7, [1.0, 2.0]), (n + 8, [1e30] * 16), (n + 9, [2e-30] * 16), (n + 10, [float("inf")] + [0.0] * 15)]
+    # ids that repeat with other vectors, and null ids: linked with others, among themselves, and alone
+    rows += [(0, rows[50][1]), (0, rows[100][1]), (0, rows[0][1]), (7, [1.0, 2.0]), (None, rows[60][1]), (None, [0.0, 3.0, 4.0]), (None, [0.0, 3.0, 4.0]), (None, None)]
+    # columns whose names clash with the operator's own
+    frame = spark.createDataFrame([(*r, "x", 1, 2.0) for r in rows], f"vec_id long, embedding array<{kind}>, key string, rep int, unit double").repartition(4)
+    got = sorted(((r.vec_id, r.n_links, r.component_id) for r in embeddings.near_duplicates(frame, block=32).collect()), key=repr)
+    want = brute_links(rows)
+    assert sum(n for _, n, _ in want) > 20_000 and got == sorted(want, key=repr)
+    assert all(r.kept == (r.vec_id == r.component_id) for r in embeddings.near_duplicates(frame, block=32).collect())
     assert embeddings.near_duplicates(frame.limit(0)).count() == 0
 
 
+def test_one_vector_a_partition(spark):
+    x = np.random.default_rng(2).normal(size=(12, 8))
+    rows = [(i, (x[i // 2] + 0.001 * i).tolist()) for i in range(24)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(24, "vec_id")
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in embeddings.near_duplicates(frame).collect())
+    assert got == sorted(brute_links(rows))
+
+
 def test_pairs_in_a_dense_topic_are_found(spark):
     rng = np.random.default_rng(8)
     unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
@@ -150,7 +169,7 @@ def test_windows_cross_borders(spark):
     x = np.random.default_rng(9).normal(size=(400, 8))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     rows = [(0, 8, i, i, x[i // 2].tobytes()) for i in range(800)]
-    frame = spark.createDataFrame(rows, "pass int, size int, code long, rep long, unit binary")
+    frame = spark.createDataFrame(rows, "pass int, size int, code long, rep long, raw binary")
     links = embeddings.neighbours(frame, 8, 0.999, 7).collect()
     assert {(min(r), max(r)) for r in links} == {(i, i + 1) for i in range(0, 800, 2)}
 
