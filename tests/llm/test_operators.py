@@ -290,13 +290,40 @@ def test_warc(spark):
     rows = [(1, "http://B.example:80/x?q=1#f", "<p>same"), (2, "https://a.example/ü y", "<p>same"), (3, None, None), (4, "http://c.example", ""), (5, "http://c.example", "é" * 5000), (5, "http://c.example", "é" * 5000), (6, "not a url", "a\r\n\r\nb"), (None, "http://d.example/", "<p>same")]
     frame = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"digest": F.lit(1), "payload": F.lit("z")})
     directory = warc.write_index(warc.write_archives(frame))
-    got = sorted(((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc.read_all(directory).collect()), key=repr)
+    assert directory.columns == ["key", "last", "folder", "file"]  # no table of blocks: these are at the index files' ends
+    read = lambda files, pages: warc.search(files, warc.with_keys(pages))
+    got = sorted(((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in read(directory, frame).collect()), key=repr)
     assert got == sorted([(1, 7, "revisit", 2), (2, 7, "response", None), (3, 0, "revisit", 4), (4, 0, "response", None), (5, 10_000, "response", None), (5, 10_000, "response", None), (6, 6, "response", None), (None, 7, "revisit", 2)], key=repr)
     found = warc.lookup(directory, spark.createDataFrame([("http://b.example/x?q=1",), ("http://c.example/",), ("http://none.example/",), ("not a url",)], "url string")).collect()
     assert sorted((r._searched, r.page_id) for r in found) == [("http://b.example/x?q=1", 1), ("http://c.example/", 4), ("http://c.example/", 5), ("http://c.example/", 5), ("not a url", 6)]
     assert next(r for r in found if r.page_id == 6).payload == b"a\r\n\r\nb"
-    assert warc.read_all(warc.write_index(warc.write_archives(frame.limit(0)))).count() == 0
-    assert {r.record_type for r in warc.read_all(warc.write_index(warc.write_archives(frame.limit(2), 8))).collect()} == {"response"}
+    assert read(warc.write_index(warc.write_archives(frame.limit(0))), frame).count() == 0
+    assert {r.record_type for r in read(warc.write_index(warc.write_archives(frame.limit(2), 8)), frame).collect()} == {"response"}
+
+
+def test_records_have_ids_of_their_own(spark):
+    frame = spark.createDataFrame([(5, "http://c.example", "x")] * 3 + [(4, None, "x")] * 2, "page_id long, url string, html string")
+    found = []
+    for row in warc.write_archives(frame).collect():
+        fs, top = warc.open_fs(row.folder)
+        with fs.open_input_file(f"{top}/{row.file}") as file:
+            found.append(warc.parse(warc.zlib.decompress(file.read_at(row.length, row.offset), 31)))
+    assert len({x["record_id"] for x in found}) == 5 and sorted((x["page_id"], x["record_type"]) for x in found) == [(4, "revisit")] * 2 + [(5, "response")] * 3
+
+
+def test_a_hot_key_and_long_keys(spark, monkeypatch):
+    """A key with many captures goes over several index files and blocks; all others are found beside it."""
+    monkeypatch.setattr(warc, "BLOCK_LINES", 4)
+    urls = [None] * 120 + [f"http://a{i}.example/" for i in range(30)] + ["http://z.example/" + "x" * 100_000] * 2
+    frame = spark.createDataFrame([(i, u, str(i)) for i, u in enumerate(urls)], "page_id long, url string, html string").repartition(5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        files = warc.write_index(warc.write_archives(frame))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert files.count() > 2 and files.filter("key = ''").count() > 1
+    assert sorted(r.page_id for r in warc.search(files, warc.with_keys(frame)).collect()) == list(range(152))
+    assert sorted(r.page_id for r in warc.lookup(files, frame.filter("page_id in (3, 125, 150)").select("url")).collect()) == [*range(120), 125, 150, 151]
 
 
 def test_index_of_many_captures(spark, monkeypatch):
