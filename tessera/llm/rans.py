@@ -149,7 +149,8 @@ def tokenised(docs: DataFrame, path: str, end_id: int) -> DataFrame:
             start += int(n.sum())
             yield pa.record_batch({"part": pa.array(np.full(len(n), part, np.int64)), "doc_id": batch.column(0), "local_start": pa.array(before), "n_tokens": pa.array(n), "ids": pa.array([np.frombuffer(x, "<u4").astype("<u2").tobytes() if worker.size <= 65536 else x for x in ids], pa.binary())})
 
-    ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = docs.select(F.col("doc_id").cast("long"), "text").withColumn("_hash", F.xxhash64("text"))
+    ordered = ordered.repartitionByRange("doc_id", "_hash").sortWithinPartitions("doc_id", "_hash", "text").drop("_hash")
     return ordered.mapInArrow(run, "part long, doc_id long, local_start long, n_tokens long, ids binary")
 
 
