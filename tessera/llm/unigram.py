@@ -8,7 +8,8 @@ stand as an unknown piece at the lowest score less 10, and unknown pieces in a r
 Words are split as by its Metaspace step (blank to U+2581, one put before the text), so that a text's count is the
 sum over its words, each distinct word computed once per worker generation of the cache.
 
-Edge cases: a null or empty text has no tokens. Repeated rows count each. Other columns are ignored, whatever their names.
+Edge cases: a null or empty text has no tokens. A text of any length is counted whole, also one without a blank: memory hangs on the
+longest piece. An empty table gives no rows. Repeated rows count each. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -58,24 +59,35 @@ class Counter:
         self.automaton.make_automaton()
         self.unknown = min((s for _, s in vocabulary), default=0.0) - UNKNOWN_PENALTY
         self.words = Kept()
+        #: Places that are held, half of which are more than the longest piece has.
+        self.reach = 2 * max((len(piece) for piece, _ in vocabulary), default=0) + 2000
 
     def word(self, word: str) -> tuple[int, int, float]:
-        n = len(word)
-        by_start: list[list[tuple[int, float]]] = [[] for _ in range(n)]
-        for end, (length, score) in self.automaton.iter(word):
-            by_start[end - length + 1].append((length, score))
-        best: list = [None] * (n + 1)  # score, pieces, unknown pieces, whether the last is unknown
-        best[0] = (0.0, 0, 0, False)
-        for start in range(n):
-            score, pieces, unknown, open_ = best[start]
-            single = False
-            for length, own in sorted(by_start[start]):
+        """One place after the other; no more of them are held than the longest piece reaches back, however long the word is."""
+        scores, pieces, unknowns, opens, gone = [0.0], [0], [0], [False], 0
+        matches = self.automaton.iter(word)  # by end, of one end the longest first
+        match = next(matches, None)
+        for end in range(len(word)):
+            best, single = None, False
+            while match is not None and match[0] == end:
+                length, own = match[1]
+                k = end + 1 - length - gone
+                if best is None or scores[k] + own > best:
+                    best, n, unknown, open_ = scores[k] + own, pieces[k] + 1, unknowns[k], False
                 single |= length == 1
-                if best[start + length] is None or score + own > best[start + length][0]:
-                    best[start + length] = (score + own, pieces + 1, unknown, False)
-            if not single and (best[start + 1] is None or score + self.unknown > best[start + 1][0]):
-                best[start + 1] = (score + self.unknown, pieces + (not open_), unknown + (not open_), True)
-        return best[n][1], best[n][2], best[n][0]
+                match = next(matches, None)
+            if not single and (best is None or scores[-1] + self.unknown > best):
+                best, n, unknown, open_ = scores[-1] + self.unknown, pieces[-1] + (not opens[-1]), unknowns[-1] + (not opens[-1]), True
+            scores.append(best)
+            pieces.append(n)
+            unknowns.append(unknown)
+            opens.append(open_)
+            if len(scores) > self.reach:
+                cut = len(scores) // 2
+                gone += cut
+                for x in (scores, pieces, unknowns, opens):
+                    del x[:cut]
+        return pieces[-1], unknowns[-1], scores[-1]
 
     @staticmethod
     def split(text: str) -> list[str]:

@@ -445,6 +445,15 @@ def test_archive_of_shared_and_null_ids(spark):
     assert [r.doc_id for r in rows] == [None, 5, 5] and [r.start for r in rows] == [0, 1, 3]
 
 
+def test_archive_of_a_huge_text_and_a_hot_id(spark):
+    values = ["word and word " * 150_000, *["a b c"] * 300]
+    manifest, freq = rans.write_archive(documents(spark, values, [2, *[1] * 300]))
+    rows = sorted(rans.read_archive(manifest, freq).collect(), key=lambda r: r.start)
+    small, large = ids_of(["a b c", values[0]], 1)
+    assert [(r.doc_id, r.start, r.n_tokens) for r in rows] == [*((1, i * len(small), len(small)) for i in range(300)), (2, 300 * len(small), len(large))]
+    assert bytes(rows[-1].ids) == large.tobytes()
+
+
 @pytest.mark.parametrize("n", [0, 1, rans.LANES - 1, rans.LANES, 5 * rans.LANES + 3, 600 * rans.LANES + 1])
 def test_coder(n):
     rng = np.random.default_rng(n)
@@ -580,6 +589,30 @@ def test_unigram_counts_equal_the_library(spark):
     assert [r.n_tokens for r in rows][:2] == [0, 0] and rows[2].n_tokens > 0
 
 
+def test_unigram_scores_and_long_words():
+    """Scores of the best of all ways to cut short words; a word far longer than what is held, cut at places where the best way must part."""
+    import itertools
+
+    vocabulary = {"\u2581": -2.0, "\u2581a": -2.5, "a": -3.0, "b": -3.25, "ab": -6.0, "ba": -5.0, "bab": -8.0, "aab": -7.5}
+    worker = unigram.Counter(list(vocabulary.items()))
+    low = min(vocabulary.values()) - unigram.UNKNOWN_PENALTY
+    for n in range(1, 8):
+        for word in map("".join, itertools.product("ab?", repeat=n)):
+            cuts = ([word[i:j] for i, j in zip((0, *c), (*c, n))] for k in range(n) for c in itertools.combinations(range(1, n), k))
+            best = max(sum(vocabulary.get(p, low) for p in c) for c in cuts if all(p in vocabulary or len(p) == 1 for p in c))
+            assert worker.word(word)[2] == pytest.approx(best)
+    # "?" is no part of a piece: what is between two of them is cut by itself
+    parts = ["abab", "baab", "bb"]
+    pieces, unknown, score = (sum(x) for x in zip(*(worker.word(p) for p in parts)))
+    assert worker.word("?".join(parts * 4000)) == (pytest.approx(4000 * pieces + 11_999), 11_999, pytest.approx(4000 * score + 11_999 * low))
+
+
+def test_unigram_of_long_texts_and_an_empty_table(spark):
+    rows = unigram.token_counts(documents(spark, ["x" * 300_000, "a b " * 50_000, None])).orderBy("doc_id").collect()
+    assert [r.doc_id for r in rows] == [0, 1, 2] and rows[0].n_tokens > 1000 and rows[1].n_tokens >= 100_000 and rows[2].score == 0
+    assert unigram.token_counts(empty(spark)).count() == 0
+
+
 # op8
 
 
