@@ -7,34 +7,23 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.text import TOKEN_RUN, log_pattern, skeleton
 from tessera.operators import changelog, graph, logs, names, rules, search, secrets, sessions, snapshots
-from tessera.plans.paths import PathQuery, expression
+from tessera.plans.paths import PathQuery
+from tessera.queries import graphs
+from tessera.queries.base import QUERIES, SQL, query
 from tessera.streaming import replay
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+__all__ = ["QUERIES", "SQL", "graphs"]
 
 QUERY_TEXT = "the hand tion"
 PAGERANK_ROUNDS = 10
 AS_OF = "2024-01-20 00:00:00"
 
 
-def query(sql: str | None) -> Callable:
-    """Registers a function of (table reader, session, folder) under its name."""
-
-    def add(f: Callable) -> Callable:
-        QUERIES[f.__name__] = lambda spark, d: f(lambda t: spark.read.parquet(f"{d}/{t}.parquet"), spark, d)
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 def log_lines(t: Callable) -> DataFrame:
     """events as log lines: errors stay errors, sign-ups are warnings, the rest information."""
     kind = F.col("event_type")
@@ -139,7 +128,8 @@ SELECT node, depth, path FROM w
 """)
 def graph_depths(t, spark, d):
     roots = t("region").select(F.concat(F.lit("r"), "r_regionkey").alias("node"))
-    return graph.depths(places(t), roots).select("node", "depth", F.array_join("path", "/").alias("path"))
+    tree = graph.depths(places(t), roots)
+    return tree.select("node", "depth").join(graph.chains(tree), "node").select("node", "depth", F.array_join("chain", "/").alias("path"))
 
 
 @query(f"""

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.storage import written
+from tessera.storage import discard, written
 
 DAMPING = 0.85
+#: Levels of a walk after which what was seen is written as one table.
+LEVELS_PER_TABLE = 32
 
 
 def nodes_of(edges: DataFrame) -> DataFrame:
@@ -33,18 +38,47 @@ def most_depended_on(edges: DataFrame, most: int = 10) -> DataFrame:
     return degrees(edges).select("node", F.col("in_degree").alias("dependents")).orderBy(F.desc("dependents"), "node").limit(most)
 
 
-def depths(edges: DataFrame, roots: DataFrame, most: int = 64) -> DataFrame:
-    """node, depth (a root's is 1), parent, path from the root; unreachable nodes are left out. Of several parents the least is taken."""
-    seen = written(roots.select("node", F.lit(1).alias("depth"), F.lit(None).cast(edges.schema["src"].dataType).alias("parent"), F.array("node").alias("path")).dropDuplicates(["node"]), "depths")
-    frontier = seen
-    for depth in range(2, most + 1):
-        step = frontier.join(edges, frontier["node"] == edges["src"]).select(F.col("dst").alias("node"), F.lit(depth).alias("depth"), F.col("src").alias("parent"), "path")
-        step = step.join(seen.select("node"), "node", "left_anti").groupBy("node").agg(F.min("depth").alias("depth"), F.min(F.struct("parent", "path")).alias("p"))
-        frontier = written(step.select("node", "depth", "p.parent", F.concat("p.path", F.array("node")).alias("path")), "frontier")
+def depths(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """node, depth (a root's is 1), parent (null for a root); unreachable nodes are left out. Of several parents the least is taken.
+
+    Breadth first, a round a level until no new node is met, however deep that is. Rows stay small: chains() builds paths from the parents.
+    """
+    links = written(edges.select("src", "dst").distinct(), "links")
+    # seen is all levels in one folder each; a level is written once and never again
+    frontier = written(roots.select("node", F.lit(1).alias("depth"), F.lit(None).cast(edges.schema["src"].dataType).alias("parent")).dropDuplicates(["node"]), "depths")
+    seen, depth = frontier, 1
+    while True:
+        depth += 1
+        step = frontier.select("node").join(links, F.col("node") == F.col("src")).groupBy("dst").agg(F.min("src").alias("parent"))
+        frontier = written(step.select(F.col("dst").alias("node"), F.lit(depth).alias("depth"), "parent").join(seen.select("node"), "node", "left_anti"), "frontier")
         if frontier.isEmpty():
-            break
+            discard(frontier)
+            discard(links)
+            return seen
         seen = seen.unionByName(frontier)
-    return seen
+        if depth % LEVELS_PER_TABLE == 0:  # else the plan grows with the depth
+            seen = written(seen, "depths")
+
+
+def chains(tree: DataFrame, most: int | None = None) -> DataFrame:
+    """node, chain (its ancestors from the root on, and itself) of a tree (node, parent), by doubling: as many rounds as the depth has bits.
+
+    most: only so many of the nearest are kept, and an ellipsis before them where they are that many.
+    """
+    rows = written(tree.select("node", F.array(F.col("node").cast("string")).alias("chain"), F.col("parent").alias("up")), "chains")
+    while not (rows.filter("up IS NOT NULL") if most is None else rows.filter(F.col("up").isNotNull() & (F.size("chain") < most))).isEmpty():
+        above = rows.select(F.col("node").alias("up"), F.col("chain").alias("_c"), F.col("up").alias("_u"))
+        chain = F.concat(F.coalesce("_c", F.array().cast("array<string>")), F.col("chain"))
+        before, rows = rows, written(rows.join(above, "up", "left").select("node", (chain if most is None else F.slice(chain, -F.least(F.lit(most), F.size(chain)), F.lit(most))).alias("chain"), F.col("_u").alias("up")), "chains")
+        discard(before)
+    if most is None:
+        return rows.select("node", "chain")
+    return rows.select("node", F.when(F.size("chain") >= most, F.concat(F.array(F.lit("…")), "chain")).otherwise(F.col("chain")).alias("chain"))
+
+
+def blame(tree: DataFrame, hops: int = 64) -> DataFrame:
+    """node, chain as it is printed: the way from the root, of a longer one the last nodes after an ellipsis."""
+    return chains(tree, hops + 1)
 
 
 def reachable(edges: DataFrame, starts: DataFrame) -> DataFrame:
@@ -63,13 +97,89 @@ def reversed_edges(edges: DataFrame) -> DataFrame:
 
 
 def on_a_cycle(edges: DataFrame) -> DataFrame:
-    """Nodes on a cycle: nodes without a way in, or without a way out, go until none is left; of the rest those that reach themselves."""
+    """Nodes on a cycle: the ends of edges between nodes that reach each other.
+
+    Nodes without a way in, or without a way out, go until none is left. What is left may hold bridges between cycles; there, rounds hand
+    the least label forward and backward: nodes with one label both ways are of one strong component, and edges between others go.
+    """
     left = edges.distinct()
     before = -1
     while (now := left.count()) != before:
         before = now
         left = written(left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"), "cyclic")
-    return reachable(left, nodes_of(left)).filter("start = node").select("node")
+    return strong_edges(left).select(F.col("src").alias("node")).distinct()
+
+
+def least_labels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, label: the least node that reaches it, itself included. A row a node in every round, so a large cycle costs no pairs."""
+    rows = written(nodes.select("node", F.col("node").alias("label")), "labels")
+    while True:
+        handed = edges.join(rows, F.col("src") == F.col("node")).select(F.col("dst").alias("node"), "label")
+        after = written(rows.unionByName(handed).groupBy("node").agg(F.min("label").alias("label")), "labels")
+        moved = after.join(rows.withColumnRenamed("label", "was"), "node").filter("label <> was")
+        done = moved.isEmpty()
+        discard(rows)
+        rows = after
+        if done:
+            return rows
+
+
+def strong_edges(edges: DataFrame) -> DataFrame:
+    """The edges inside strong components: of each pair of labels, by the least node that reaches a node and the least that it reaches, one component settles a round."""
+    out, left = None, edges
+    while not left.isEmpty():
+        nodes = nodes_of(left)
+        down = least_labels(left, nodes).select("node", F.col("label").alias("down"))
+        up = least_labels(reversed_edges(left), nodes).select("node", F.col("label").alias("up"))
+        labels = written(down.join(up, "node"), "labels")
+        a, b = labels.select(F.col("node").alias("src"), F.col("down").alias("_d"), F.col("up").alias("_u")), labels.select(F.col("node").alias("dst"), F.col("down").alias("_e"), F.col("up").alias("_v"))
+        # ends with other labels are of other components; where the least node is reached and reaches, the component is settled
+        same = written(left.join(a, "src").join(b, "dst").filter("_d = _e AND _u = _v").select("src", "dst", (F.col("_d") == F.col("_u")).alias("settled")), "same")
+        settled = same.filter("settled").select("src", "dst")
+        out = settled if out is None else out.unionByName(settled)
+        left = same.filter("NOT settled").select("src", "dst")
+    return out if out is not None else edges
+
+
+CYCLE = "members array<string>"
+
+
+def cycles(edges: DataFrame, most: int | None = None) -> DataFrame:
+    """members (the least node first, not repeated at the end) of the cycles that a depth-first walk of the nodes in order closes: a sample, not all simple cycles.
+
+    Only the nodes on a cycle are walked; what lies off any cycle drops out before, and those nodes go to one task, for the walk is one after the other.
+    """
+    core = on_a_cycle(edges).select("node")
+    inner = edges.select("src", "dst").distinct().join(core.withColumnRenamed("node", "src"), "src", "left_semi").join(core.withColumnRenamed("node", "dst"), "dst", "left_semi")
+    ways = inner.groupBy(F.col("src").cast("string").alias("node")).agg(F.sort_array(F.collect_list(F.col("dst").cast("string"))).alias("to"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        to = {n: t for batch in batches for n, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())}
+        found: dict[tuple[str, ...], None] = {}
+        done: set[str] = set()
+        for start in sorted(to):
+            path, place, waiting = [start], {start: 0}, [iter(to[start])]
+            if start in done:
+                continue
+            while waiting:
+                step = next(waiting[-1], None)
+                if step is None:
+                    waiting.pop()
+                    done.add(path[-1])
+                    del place[path.pop()]
+                elif step in place:
+                    ring = path[place[step] :]
+                    least = ring.index(min(ring))
+                    found.setdefault(tuple(ring[least:] + ring[:least]))
+                elif step not in done:
+                    place[step] = len(path)
+                    path.append(step)
+                    waiting.append(iter(to[step]))
+        rings = [list(x) for x in found][:most]
+        if rings:
+            yield pa.record_batch([pa.array(rings, pa.list_(pa.string()))], names=["members"])
+
+    return ways.coalesce(1).mapInArrow(run, CYCLE)
 
 
 def levels(tasks: DataFrame, needs: DataFrame) -> DataFrame:
@@ -82,12 +192,19 @@ def levels(tasks: DataFrame, needs: DataFrame) -> DataFrame:
         waiting = needs.join(left.withColumnRenamed("task", "need"), "need", "left_semi").select("task")
         ready = written(left.join(waiting, "task", "left_anti").select("task", F.lit(level).alias("level")), "ready")
         if ready.isEmpty():
-            raise ValueError("tasks need each other in a cycle")
+            ring = cycles(needs.select(F.col("task").alias("src"), F.col("need").alias("dst")), 1).first()
+            raise ValueError(f"tasks need each other in a cycle: {' -> '.join([*ring.members, ring.members[0]])}")
         out = ready if out is None else out.unionByName(ready)
         left, level = written(left.join(ready, "task", "left_anti"), "tasks"), level + 1
     return out if out is not None else known.withColumn("level", F.lit(0))
 
 
+def needed(needs: DataFrame, targets: DataFrame) -> DataFrame:
+    """The targets (column task) and all that they need, directly or not."""
+    reached = reachable(needs.select(F.col("task").alias("src"), F.col("need").alias("dst")), targets.select(F.col("task").alias("node")))
+    return targets.select("task").union(reached.select("node")).distinct()
+
+
 def affected(needs: DataFrame, changed: DataFrame) -> DataFrame:
     """The changed tasks (column task) and all that need them, directly or not."""
     reached = reachable(needs.select(F.col("need").alias("src"), F.col("task").alias("dst")), changed.select(F.col("task").alias("node")))
@@ -111,7 +228,8 @@ def pagerank(edges: DataFrame, rounds: int = 100, tolerance: float | None = 1e-6
             break
         shares = links.join(ranks.filter("fan IS NOT NULL").select(F.col("node").alias("src"), (F.col("rank") / F.col("fan")).alias("inflow")), "src")
         parts = shares.select(F.col("dst").alias("node"), "inflow", F.lit(None).cast("long").alias("fan"), F.lit(None).cast("double").alias("was")).unionByName(ranks.select("node", F.lit(0.0).alias("inflow"), "fan", F.col("rank").alias("was")))
-        ranks = written(parts.groupBy("node").agg(F.max("fan").alias("fan"), ((1 - DAMPING + DAMPING * dangling) / n + DAMPING * F.sum("inflow")).alias("rank"), F.max("was").alias("was")), "ranks")
+        before, ranks = ranks, written(parts.groupBy("node").agg(F.max("fan").alias("fan"), ((1 - DAMPING + DAMPING * dangling) / n + DAMPING * F.sum("inflow")).alias("rank"), F.max("was").alias("was")), "ranks")
+        discard(before)
     return ranks.select("node", "rank")
 
 
@@ -119,3 +237,36 @@ def scaled_rank(ranks: DataFrame) -> DataFrame:
     """rank divided by the largest; all 0 if that is 0."""
     most = ranks.agg(F.max("rank").alias("_m"))
     return ranks.crossJoin(most).select("node", F.when(F.col("_m") > 0, F.col("rank") / F.col("_m")).otherwise(0.0).alias("rank"))
+
+
+#: What the name of a caller holds that serves a route.
+ROUTE_WORDS = ["route", "api", "endpoint", "view", "handler"]
+
+
+def impact(calls: DataFrame, symbols: DataFrame) -> DataFrame:
+    """symbol, direct, transitive (callers beyond the direct ones), tests (test_ begins the last part), routes (by words in the name) of the column node of `symbols`."""
+    back = reversed_edges(calls)
+    direct = back.select(F.col("src").alias("start"), F.col("dst").alias("node"), F.lit(True).alias("direct")).distinct()
+    rows = reachable(back, symbols).join(direct, ["start", "node"], "left")
+    number = lambda c: F.count_if(c)
+    near = F.coalesce("direct", F.lit(False))
+    return rows.groupBy(F.col("start").alias("symbol")).agg(number(near).alias("direct"), number(~near).alias("transitive"), number(F.col("node").rlike(r"(^|\.)test_[^.]*$")).alias("tests"), number(F.col("node").rlike("|".join(ROUTE_WORDS))).alias("routes"))
+
+
+def adjacency(calls: DataFrame) -> DataFrame:
+    """node, callers, callees (distinct, in order) and sites: how many calls lead to it, repeated ones counted."""
+    ends = calls.select(F.col("dst").alias("node"), F.col("src").alias("caller"), F.lit(None).cast("string").alias("callee")).unionByName(calls.select(F.col("src").alias("node"), F.lit(None).cast("string").alias("caller"), F.col("dst").alias("callee")))
+    return ends.groupBy("node").agg(F.sort_array(F.collect_set("caller")).alias("callers"), F.sort_array(F.collect_set("callee")).alias("callees"), F.count("caller").alias("sites"))
+
+
+def named(nodes: DataFrame, asked: DataFrame) -> DataFrame:
+    """asked, node: the node of that name, else the first whose last part it is, else the first that holds it; a name without any gives no row.
+
+    The first two are equi-joins; only what these leave is searched as text, against the distinct names.
+    """
+    last = F.element_at(F.split("node", "\\."), -1)
+    exact = asked.join(nodes.select(F.col("node").alias("asked"), "node"), "asked").select("asked", "node", F.lit(0).alias("rank"))
+    short = asked.join(nodes.select(last.alias("asked"), "node"), "asked").select("asked", "node", F.lit(1).alias("rank"))
+    known = exact.unionByName(short)
+    part = asked.join(known.select("asked").distinct(), "asked", "left_anti").join(nodes, F.contains(F.col("node"), F.col("asked"))).select("asked", "node", F.lit(2).alias("rank"))
+    return known.unionByName(part).groupBy("asked").agg(F.min_by("node", F.struct("rank", "node")).alias("node"))
