@@ -13,11 +13,11 @@ from pyspark.sql import functions as F
 from tessera.functions.text import TOKEN_RUN, log_pattern, skeleton
 from tessera.operators import changelog, graph, logs, names, rules, search, secrets, sessions, snapshots
 from tessera.plans.paths import PathQuery
-from tessera.queries import graphs
+from tessera.queries import graphs, texts
 from tessera.queries.base import QUERIES, SQL, query
 from tessera.streaming import replay
 
-__all__ = ["QUERIES", "SQL", "graphs"]
+__all__ = ["QUERIES", "SQL", "graphs", "texts"]
 
 QUERY_TEXT = "the hand tion"
 PAGERANK_ROUNDS = 10
@@ -155,9 +155,13 @@ def fuzzy_near_names(t, spark, d):
     return names.near_pairs(t("part"), "p_name")
 
 
-@query(None)
+@query("""
+WITH p AS (SELECT DISTINCT p_name FROM part WHERE p_name IS NOT NULL UNION SELECT unnest(['abcdef', 'badcef', 'red blot', 'edr bolt', 'tinw idget']))
+SELECT a.p_name AS a, b.p_name AS b, CAST(damerau_levenshtein(a.p_name, b.p_name) AS INTEGER) AS distance FROM p a JOIN p b ON a.p_name < b.p_name WHERE damerau_levenshtein(a.p_name, b.p_name) <= 2
+""")
 def fuzzy_osa(t, spark, d):
-    return names.with_distance(names.near_pairs(t("part"), "p_name").drop("distance"), "a", "b", 2)
+    more = spark.createDataFrame([("abcdef",), ("badcef",), ("red blot",), ("edr bolt",), ("tinw idget",)], "p_name string")
+    return names.aligned_pairs(t("part").select("p_name").unionByName(more), "p_name")
 
 
 @query("SELECT translate(regexp_replace(replace(replace(lower(p_name), 'rn', 'm'), 'vv', 'w'), '[-_.]', '', 'g'), '01|53', 'ollse') AS skeleton, count(*) AS n FROM part GROUP BY 1")
@@ -165,9 +169,9 @@ def fuzzy_skeleton(t, spark, d):
     return t("part").groupBy(skeleton(F.col("p_name")).alias("skeleton")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT p_name AS name, CAST(levenshtein(p_name, 'red bolt') AS INTEGER) AS distance FROM (SELECT DISTINCT p_name FROM part) WHERE levenshtein(p_name, 'red bolt') <= 4 ORDER BY distance, name LIMIT 5")
+@query("SELECT p_name AS name, CAST(damerau_levenshtein(p_name, 'rde bolt') AS INTEGER) AS distance FROM (SELECT DISTINCT p_name FROM part) WHERE damerau_levenshtein(p_name, 'rde bolt') <= 4 ORDER BY distance, name LIMIT 5")
 def fuzzy_suggestions(t, spark, d):
-    return names.suggestions(t("part").select(F.col("p_name").alias("name")), "red bolt", 4)
+    return names.suggestions(t("part").select(F.col("p_name").alias("name")), "rde bolt", 4)
 
 
 @query(r"""
@@ -184,7 +188,7 @@ c AS (SELECT doc_id, run, ch, count(*) AS n FROM (SELECT doc_id, run, unnest(str
 SELECT doc_id, run, round(-sum(n / length(run) * log2(n / length(run))), 6) AS entropy FROM c GROUP BY doc_id, run HAVING -sum(n / length(run) * log2(n / length(run))) >= 3.0
 """)
 def secrets_entropy(t, spark, d):
-    return secrets.high_entropy(t("documents"), "doc_id", "text", 3.0).select("doc_id", "run", F.round("entropy", 6).alias("entropy"))
+    return secrets.high_entropy(t("documents"), "doc_id", "text", 3.0).select("doc_id", "run", F.round("entropy", 6).alias("entropy")).distinct()
 
 
 @query(r"SELECT doc_id, sha256(regexp_replace(text, '(?i)\b(token|secret|password|api_?key)(\s*[=:]\s*)(\S+)', '\1\2***', 'g')) AS redacted FROM documents WHERE regexp_matches(text, '(?i)\b(token|secret|password|api_?key)\s*[=:]\s*\S')")

@@ -81,13 +81,21 @@ def entropy(text: Column) -> Column:
     return F.when(F.length(text) == 0, F.lit(0.0)).otherwise(-F.aggregate(parts, F.lit(0.0), lambda s, p: s + p * F.log2(p)))
 
 
+#: How many first characters of a secret without a known prefix are shown, by the most characters that it may have.
+SHOWN = {4: 0, 8: 2}
+SHOWN_OF_LONGER = 4
+
+
+def masked(secret: Column, shown: int) -> Column:
+    return F.concat(F.substring(secret, 1, shown), F.repeat(F.lit("*"), F.greatest(F.lit(0), F.length(secret) - shown)))
+
+
 def redacted(secret: Column) -> Column:
-    """A known prefix and stars, else the first few characters and stars."""
+    """A known prefix and four stars or more, else the first few characters and stars."""
     n = F.length(secret)
-    out = F.when(n <= 4, F.repeat(F.lit("*"), n)).when(n <= 8, F.concat(F.substring(secret, 1, 2), F.repeat(F.lit("*"), n - 2))).otherwise(F.concat(F.substring(secret, 1, 4), F.repeat(F.lit("*"), n - 4)))
-    for prefix in reversed(KNOWN_PREFIXES):
-        out = F.when(secret.startswith(prefix) & (n > len(prefix) + 1), F.concat(F.lit(prefix), F.repeat(F.lit("*"), F.greatest(F.lit(4), n - len(prefix))))).otherwise(out)
-    return F.when(n == 0, F.lit("[REDACTED]")).otherwise(out)
+    prefix = F.coalesce(*(F.when(secret.startswith(p) & (n > len(p) + 1), F.lit(p)) for p in KNOWN_PREFIXES))
+    by_length = F.coalesce(*(F.when(n <= most, masked(secret, shown)) for most, shown in SHOWN.items()), masked(secret, SHOWN_OF_LONGER))
+    return F.when(n == 0, F.lit("[REDACTED]")).when(prefix.isNotNull(), F.concat(prefix, F.repeat(F.lit("*"), F.greatest(F.lit(4), n - F.length(prefix))))).otherwise(by_length)
 
 
 def looks_binary(text: Column) -> Column:
@@ -102,7 +110,7 @@ def byte_size(text: Column) -> Column:
     number, unit = F.regexp_extract(text, r"^\s*(\d+(?:\.\d+)?)\s*([A-Za-z]*)\s*$", 1), F.lower(F.regexp_extract(text, r"^\s*(\d+(?:\.\d+)?)\s*([A-Za-z]*)\s*$", 2))
     scale = F.when(unit.isin("", "b"), F.lit(1))
     for k, letter in enumerate("kmgt", 1):
-        scale = scale.when(unit.isin(letter, f"{letter}b"), F.lit(1000**k)).when(unit == f"{letter}ib", F.lit(1024**k))
+        scale = scale.when(unit.isin(letter, f"{letter}b"), F.lit(1000**k)).when(unit.isin(f"{letter}i", f"{letter}ib"), F.lit(1024**k))
     return F.when(number != "", (number.cast("double") * scale).cast("long"))
 
 
@@ -113,21 +121,131 @@ def duration_seconds(text: Column) -> Column:
     return F.when(number != "", number.cast("double") * scale)
 
 
+#: Pools of characters, the last being all others, and how many each has.
+POOLS = {"[A-Z]": 26, "[a-z]": 26, "[0-9]": 10, "[^A-Za-z0-9]": len("!@#$%^&*()_+-=[]{}|;:,.<>?")}
+#: Points for a length, by the least length.
+LENGTH_POINTS = {24: 20, 16: 10, 12: 0, 8: -15, 0: -30}
+#: Parts that make a password easy to guess, and what any of them costs.
+COMMON_PARTS = ["12345", "qwerty", "asdfgh", "password", "admin", "letmein", "welcome", "monkey", "abc123", "iloveyou", "dragon"]
+COMMON_COST = 20
+#: Points a bit of entropy; what each missing pool costs below so many pools and characters; each run of three and more, and all of them at most;
+#: and a share of distinct characters under which a password of so many characters loses points.
+POINTS_A_BIT = 1.25
+FEW_POOLS, LONG_ENOUGH, POOL_COST = 3, 20, 10
+RUN_COST, RUNS_COST = 10, 20
+FEW_DISTINCT, DISTINCT_FROM, DISTINCT_COST = 0.5, 8, 15
+#: Tiers by their least score.
+TIERS = {90: "EXCELLENT", 80: "STRONG", 60: "MODERATE", 40: "WEAK", 0: "CRITICAL"}
+
+
+def banded(value: Column, bands: dict) -> Column:
+    """What the first band gives whose bound the value reaches; the bounds fall."""
+    return F.coalesce(*(F.when(value >= least, F.lit(given)) for least, given in bands.items()))
+
+
 def password_score(password: Column) -> Column:
-    """0 to 100: pool entropy, with length, diversity, repetition and redundancy terms (see tests for the worked cases)."""
+    """0 to 100: the points of its pool entropy and length, less what few pools, common parts, runs and few distinct characters cost."""
     n = F.length(password)
-    has = [password.rlike(p).cast("int") for p in ("[A-Z]", "[a-z]", "[0-9]", "[^A-Za-z0-9]")]
-    pool = F.greatest(F.lit(1), has[0] * 26 + has[1] * 26 + has[2] * 10 + has[3] * 29)
+    pools = [(password.rlike(pattern).cast("int"), size) for pattern, size in POOLS.items()]
+    used = sum((has for has, _ in pools), F.lit(0))
+    pool = F.greatest(F.lit(1), sum((has * size for has, size in pools), F.lit(0)))
     bits = F.round(n * F.log2(pool.cast("double")), 2)
-    base = F.least(F.lit(100), F.floor(bits * 1.25 + 0.5))
-    length = F.when(n < 8, -30).when(n < 12, -15).when(n >= 24, 20).when(n >= 16, 10).otherwise(0)
-    kinds = has[0] + has[1] + has[2] + has[3]
-    diversity = F.when((kinds < 3) & (n < 20), -(4 - kinds) * 10).otherwise(0)
-    repeats = -F.least(F.lit(20), F.regexp_count(password, F.lit(r"(.)\1{2,}")) * 10)
-    unique = F.size(F.array_distinct(F.split(password, "")))
-    redundancy = F.when((unique / n < 0.5) & (n >= 8), -15).otherwise(0)
-    return F.when(password.isNull() | (n == 0), 0).otherwise(F.greatest(F.lit(0), F.least(F.lit(100), base + length + diversity + repeats + redundancy))).cast("int")
+    terms = [
+        F.least(F.lit(100), F.floor(bits * POINTS_A_BIT + 0.5)),
+        banded(n, LENGTH_POINTS),
+        F.when((used < FEW_POOLS) & (n < LONG_ENOUGH), (used - len(POOLS)) * POOL_COST),
+        F.when(F.lower(password).rlike("|".join(COMMON_PARTS)), F.lit(-COMMON_COST)),
+        -F.least(F.lit(RUNS_COST), F.regexp_count(password, F.lit(r"(.)\1{2,}")) * RUN_COST),
+        F.when((F.size(F.array_distinct(F.split(password, ""))) < n * FEW_DISTINCT) & (n >= DISTINCT_FROM), F.lit(-DISTINCT_COST)),
+    ]
+    total = sum((F.coalesce(term, F.lit(0)) for term in terms), F.lit(0))
+    return F.when(password.isNull() | (n == 0), 0).otherwise(F.greatest(F.lit(0), F.least(F.lit(100), total))).cast("int")
 
 
 def password_tier(score: Column) -> Column:
-    return F.when(score >= 90, "EXCELLENT").when(score >= 80, "STRONG").when(score >= 60, "MODERATE").when(score >= 40, "WEAK").otherwise("CRITICAL")
+    return banded(score, TIERS)
+
+
+def human_size(size: Column) -> Column:
+    """1536 as '1.5 KiB'; whole bytes below 1024, TiB for all that is larger."""
+    units = ["KiB", "MiB", "GiB", "TiB"]
+    out = F.concat(size.cast("string"), F.lit(" B"))
+    for k, unit in enumerate(units, 1):
+        out = F.when(size >= 1024**k, F.format_string(f"%.1f {unit}", size / 1024**k)).otherwise(out)
+    return out
+
+
+def unsafe_archive_name(name: Column) -> Column:
+    """Empty, with a NUL, absolute, with a drive, or with a .. part."""
+    path = F.replace(name, F.lit("\\"), F.lit("/"))
+    return (path == "") | path.contains("\x00") | path.rlike(r"^(?:/|[A-Za-z]:)") | path.rlike(r"(?:^|/)\.\.(?:/|$)")
+
+
+def places(text: Column, pattern: str) -> Column:
+    """Array of (start from 0, text) of a pattern's matches, from what lies between them. The pattern must not match the empty string."""
+    found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+    length = lambda parts, upto: F.aggregate(F.slice(parts, F.lit(1), upto), F.lit(0), lambda n, x: n + F.length(x))
+    each = F.transform(found, lambda x, k: F.struct((length(between, k + 1) + length(found, k)).alias("start"), x.alias("text")))
+    return F.when(F.size(found) > 0, each).otherwise(F.array().cast("array<struct<start: int, text: string>>"))
+
+
+def line_of(text: Column, start: Column) -> Column:
+    """The line, from 1, of a place (from 0)."""
+    before = F.substr(text, F.lit(1), start)
+    return F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1
+
+
+def column_of(text: Column, start: Column) -> Column:
+    """The column, from 1, of a place (from 0)."""
+    return F.length(F.element_at(F.split(F.substr(text, F.lit(1), start), "\n", -1), -1)) + 1
+
+
+def byte_values(data: Column) -> Column:
+    """The bytes of a binary column as an array of numbers."""
+    h = F.hex(data)
+    return F.when(F.octet_length(data) > 0, F.transform(F.sequence(F.lit(1), F.octet_length(data)), lambda k: F.conv(F.substr(h, 2 * k - 1, F.lit(2)), 16, 10).cast("long"))).otherwise(F.array().cast("array<bigint>"))
+
+
+#: The reversed polynomial of CRC-32C.
+CASTAGNOLI = 0x82F63B78
+
+
+def crc32c(data: Column) -> Column:
+    """CRC-32C of a binary column, by a table of 256 steps."""
+    table = []
+    for byte in range(256):
+        for _ in range(8):
+            byte = byte >> 1 ^ (CASTAGNOLI if byte & 1 else 0)
+        table.append(byte)
+    steps = F.array(*(F.lit(x).cast("long") for x in table))
+    last = F.aggregate(byte_values(data), F.lit(0xFFFFFFFF).cast("long"), lambda c, b: F.shiftright(c, 8).bitwiseXOR(F.element_at(steps, (c.bitwiseXOR(b).bitwiseAND(F.lit(255)) + 1).cast("int"))))
+    return last.bitwiseXOR(F.lit(0xFFFFFFFF).cast("long"))
+
+
+def hmac(data: Column, key: bytes, kind: str = "sha256") -> Column:
+    """The lower-case hexadecimal HMAC of a binary column under one key, by the built-in digests."""
+    import hashlib
+
+    digest = (lambda c: F.sha2(c, 256)) if kind == "sha256" else F.sha1
+    short = key if len(key) <= 64 else hashlib.new(kind, key).digest()
+    inner, outer = (F.lit(bytearray(b ^ pad for b in short.ljust(64, b"\0"))) for pad in (0x36, 0x5C))
+    return digest(F.concat(outer, F.unhex(digest(F.concat(inner, data)))))
+
+
+def hotp(counter: Column, key: bytes, digits: int = 6) -> Column:
+    """One-time passwords of a key (RFC 4226)."""
+    mac = hmac(F.unhex(F.lpad(F.hex(counter), 16, "0")), key, "sha1")
+    at = F.conv(F.substring(mac, 40, 1), 16, 10).cast("int") * 2 + 1
+    return F.lpad((F.conv(F.substr(mac, at, F.lit(8)), 16, 10).cast("long").bitwiseAND(F.lit(0x7FFFFFFF)) % 10**digits).cast("string"), digits, "0")
+
+
+def totp(seconds: Column, key: bytes, digits: int = 6, period: int = 30) -> Column:
+    return hotp(F.floor(seconds / period), key, digits)
+
+
+def base32_key(text: str) -> bytes:
+    """The bytes of a base32 secret; blanks and hyphens are skipped, padding may be left out."""
+    import base64
+
+    plain = text.replace(" ", "").replace("-", "").rstrip("=").upper()
+    return base64.b32decode(plain + "=" * (-len(plain) % 8))

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from tessera.storage import discard, written
 
 DAMPING = 0.85
-#: Levels of a walk after which what was seen is written as one table.
-LEVELS_PER_TABLE = 32
+#: Levels that one job of a walk takes while they have so few nodes, and tables after which what was seen is written as one.
+LEVELS_AT_ONCE, NARROW = 8, 100_000
+TABLES_AT_ONCE = 16
 
 
 def nodes_of(edges: DataFrame) -> DataFrame:
@@ -41,23 +42,27 @@ def most_depended_on(edges: DataFrame, most: int = 10) -> DataFrame:
 def depths(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """node, depth (a root's is 1), parent (null for a root); unreachable nodes are left out. Of several parents the least is taken.
 
-    Breadth first, a round a level until no new node is met, however deep that is. Rows stay small: chains() builds paths from the parents.
+    Breadth first until no new node is met, however deep that is; a level a job, or several at once where the level is small. Rows stay small:
+    chains() builds paths from the parents.
     """
     links = written(edges.select("src", "dst").distinct(), "links")
-    # seen is all levels in one folder each; a level is written once and never again
-    frontier = written(roots.select("node", F.lit(1).alias("depth"), F.lit(None).cast(edges.schema["src"].dataType).alias("parent")).dropDuplicates(["node"]), "depths")
-    seen, depth = frontier, 1
-    while True:
-        depth += 1
-        step = frontier.select("node").join(links, F.col("node") == F.col("src")).groupBy("dst").agg(F.min("src").alias("parent"))
-        frontier = written(step.select(F.col("dst").alias("node"), F.lit(depth).alias("depth"), "parent").join(seen.select("node"), "node", "left_anti"), "frontier")
-        if frontier.isEmpty():
-            discard(frontier)
-            discard(links)
-            return seen
-        seen = seen.unionByName(frontier)
-        if depth % LEVELS_PER_TABLE == 0:  # else the plan grows with the depth
+    parent = F.lit(None).cast(edges.schema["src"].dataType)
+    frontier = written(roots.select("node", F.lit(1).alias("depth"), parent.alias("parent")).dropDuplicates(["node"]), "depths")
+    seen, depth, tables = frontier, 1, 1
+    while (width := frontier.count()) > 0:
+        levels_ = LEVELS_AT_ONCE if width <= NARROW else 1
+        rows = frontier
+        for _ in range(levels_):
+            # what is reached over a node that was seen before has been seen too, so it drops out below
+            step = rows.join(links, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), (F.col("depth") + 1).alias("depth"), F.col("src").alias("parent"))
+            rows = rows.unionByName(step).groupBy("node").agg(F.min(F.struct("depth", "parent")).alias("_x")).select("node", "_x.depth", "_x.parent")
+        found = written(rows.join(seen.select("node"), "node", "left_anti"), "depths")
+        depth, tables = depth + levels_, tables + 1
+        frontier, seen = found.filter(F.col("depth") == depth), seen.unionByName(found)
+        if tables % TABLES_AT_ONCE == 0:  # else the plan grows with the depth
             seen = written(seen, "depths")
+    discard(links)
+    return seen
 
 
 def chains(tree: DataFrame, most: int | None = None) -> DataFrame:
@@ -221,10 +226,10 @@ def pagerank(edges: DataFrame, rounds: int = 100, tolerance: float | None = 1e-6
     # out-degrees are joined once: each node's share is known where its links are
     fan = links.groupBy("src").agg(F.count("*").alias("fan"))
     ranks = written(nodes.join(fan, nodes["node"] == fan["src"], "left").select("node", "fan", F.lit(1.0 / n).alias("rank"), F.lit(1.0 / n).alias("was")), "ranks")
-    for _ in range(rounds):
+    for done in range(rounds):
         # two numbers a round come to the driver: what the dangling nodes hold, and how far the ranks moved
         dangling, moved = ranks.agg(F.coalesce(F.sum(F.when(F.col("fan").isNull(), F.col("rank"))), F.lit(0.0)), F.sum(F.abs(F.col("rank") - F.col("was")))).first()
-        if tolerance is not None and 0 < moved < tolerance:
+        if done and tolerance is not None and moved < tolerance:
             break
         shares = links.join(ranks.filter("fan IS NOT NULL").select(F.col("node").alias("src"), (F.col("rank") / F.col("fan")).alias("inflow")), "src")
         parts = shares.select(F.col("dst").alias("node"), "inflow", F.lit(None).cast("long").alias("fan"), F.lit(None).cast("double").alias("was")).unionByName(ranks.select("node", F.lit(0.0).alias("inflow"), "fan", F.col("rank").alias("was")))

@@ -83,6 +83,31 @@ def squats(names: DataFrame, popular: DataFrame) -> DataFrame:
     return confusable.unionByName(best.join(confusable, "name", "left_anti"))
 
 
+def aligned_pairs(names: DataFrame, name: str, most: int = 2) -> DataFrame:
+    """a, b, distance of distinct names within `most` edits where swapping neighbours is one edit, a before b. The signatures are those of near_pairs(): a swap is met by deleting one of the two on each side."""
+    rows = names.select(F.col(name).alias("a")).filter("a IS NOT NULL").distinct()
+    keyed = rows.select("a", F.explode(deletions("a", most)).alias("_k"))
+    pairs = keyed.join(keyed.select(F.col("a").alias("b"), "_k"), "_k").filter("a < b").select("a", "b").distinct()
+    return with_distance(pairs, "a", "b", most)
+
+
 def suggestions(names: DataFrame, asked: str, most: int = 2, at_most: int = 5) -> DataFrame:
-    """name, distance of the names nearest to the one asked for."""
-    return names.select("name").distinct().withColumn("distance", F.levenshtein("name", F.lit(asked))).filter(F.col("distance") <= most).orderBy("distance", "name").limit(at_most)
+    """name, distance of the names nearest to the one asked for, a swap being one edit."""
+    near = with_distance(names.select("name").distinct().withColumn("_asked", F.lit(asked)), "name", "_asked", most)
+    return near.select("name", "distance").orderBy("distance", "name").limit(at_most)
+
+
+def likely(names: DataFrame, asked: str, most: int = 2) -> DataFrame:
+    """name, position (both given) of the names that are near in plain edits, or hold what was asked for; case counts for nothing, no limit."""
+    low = F.lower("name")
+    near = (F.levenshtein(low, F.lit(asked.lower())) <= most) | low.contains(asked.lower())
+    return names.filter(near).select("position", "name")
+
+
+def only_nearest(words: DataFrame, names: DataFrame, most: int = 2) -> DataFrame:
+    """word, name: the nearest name in plain edits, if it is within `most` and no other is as near. An equi-join on what deletions leave."""
+    keyed = words.select("word").distinct().withColumn("_k", F.explode(deletions("word", most)))
+    known = names.select("name").distinct().withColumn("_k", F.explode(deletions("name", most)))
+    pairs = keyed.join(known, "_k").select("word", "name").distinct().withColumn("d", F.levenshtein("word", "name")).filter(F.col("d") <= most)
+    best = pairs.groupBy("word", "d").agg(F.min("name").alias("name"), F.count("*").alias("n"))
+    return best.groupBy("word").agg(F.min_by(F.struct("name", "n"), "d").alias("b")).filter("b.n = 1").select("word", "b.name")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.text import CONTENT_PATTERNS, SECRET_RULES, TOKEN_RUN, entropy, looks_binary, password_score, password_tier, redacted
+from tessera.functions.text import CONTENT_PATTERNS, SECRET_RULES, TOKEN_RUN, column_of, entropy, line_of, looks_binary, password_score, password_tier, places, redacted
 
 LEAST_ENTROPY = 4.5
 #: What a finding of each severity adds to a file's risk.
@@ -29,13 +31,29 @@ def findings(rows: DataFrame, key: str, text: str) -> DataFrame:
     return hits.select(key, "rule", "severity", shown.alias("secret"), F.length("s").alias("length"))
 
 
+def _ranger(pattern: str) -> Callable[[Column], Column]:
+    """start, end of a rule's group inside a match (start, text) of its pattern; of the match itself where the pattern does not fit that text alone."""
+
+    def of(match: Column) -> Column:
+        group = F.regexp_extract(match["text"], pattern, 1)
+        start = match["start"] + F.greatest(F.lit(0), F.position(group, match["text"]) - 1)
+        return F.struct(start.alias("start"), (start + F.length(F.when(group == "", match["text"]).otherwise(group))).alias("end"))
+
+    return of
+
+
 def high_entropy(rows: DataFrame, key: str, text: str, least: float = LEAST_ENTROPY) -> DataFrame:
-    """key, run, entropy of token runs of 20 and more characters that no secret rule has caught."""
-    runs = rows.select(key, F.col(text).alias("_t"), F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(f"({TOKEN_RUN})"), 1))).alias("run"))
-    caught = F.lit(False)
+    """key, line, column, run, entropy of token runs of 20 and more characters, but for those that lie inside a secret that a rule has found at that place."""
+    t = F.col(text)
+    caught = F.lit(None).cast("array<struct<start: int, end: int>>")
     for _, pattern in SECRET_RULES.values():
-        caught = caught | F.exists(F.regexp_extract_all("_t", F.lit(pattern), 1), lambda x: F.contains(x, F.col("run")))
-    return runs.withColumn("entropy", entropy(F.col("run"))).filter((F.col("entropy") >= least) & ~caught).select(key, "run", "entropy")
+        # a rule's match is looked at as a whole text: its group is the secret in it
+        secret = F.transform(places(t, pattern), _ranger(pattern)).cast("array<struct<start: int, end: int>>")
+        caught = F.concat(F.coalesce(caught, F.array().cast("array<struct<start: int, end: int>>")), secret)
+    runs = rows.select(key, t.alias("_t"), caught.alias("_c"), F.explode(places(t, TOKEN_RUN)).alias("_r"))
+    free = ~F.exists("_c", lambda c: (c["start"] <= F.col("_r.start")) & (c["end"] >= F.col("_r.start") + F.length("_r.text")))
+    found = runs.withColumn("entropy", entropy(F.col("_r.text"))).filter((F.col("entropy") >= least) & free)
+    return found.select(key, line_of(F.col("_t"), F.col("_r.start")).alias("line"), column_of(F.col("_t"), F.col("_r.start")).alias("column"), F.col("_r.text").alias("run"), "entropy")
 
 
 def redacted_text(text: Column) -> Column:
@@ -52,7 +70,7 @@ def file_risk(found: DataFrame, key: str) -> DataFrame:
 
 def vault_health(entries: DataFrame) -> DataFrame:
     """score, band over entries (id, value): the mean password score less 5 for each entry whose value others have too; halves round up."""
-    scored = entries.select("id", F.coalesce(password_score(F.col("value")), F.lit(80)).alias("s"), F.sha2("value", 256).alias("d"))
+    scored = entries.select("id", F.when(F.col("value").isNull(), F.lit(80)).otherwise(password_score(F.col("value"))).alias("s"), F.sha2("value", 256).alias("d"))
     uses = scored.filter("d IS NOT NULL").groupBy("d").agg(F.count("*").alias("n")).agg(F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0)).alias("reused"))
     score = F.greatest(F.lit(0), F.floor(F.col("mean") + 0.5) - 5 * F.col("reused"))
     out = scored.agg(F.avg("s").alias("mean")).crossJoin(uses).select(score.alias("score"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.text import byte_values
+
 
 def diff(before: DataFrame, after: DataFrame, key: str, value: str) -> DataFrame:
     """key, change (added, deleted, modified), before, after of the keys that differ. Equal values are left out before anything is built of them."""
@@ -82,3 +84,17 @@ def ledger(original: DataFrame, prepared: DataFrame) -> DataFrame:
     """path, action of each original file: unchanged, rewritten or left out."""
     p = prepared.select("path", F.col("sha256").alias("_p"))
     return original.join(p, "path", "left").select("path", F.when(F.col("_p").isNull(), "left out").when(F.col("_p") == F.col("sha256"), "unchanged").otherwise("rewritten").alias("action"))
+
+
+def parity(chunks: DataFrame, stripe: list[str], body: str) -> DataFrame:
+    """stripe..., parity: the exclusive or of a stripe's binary chunks, shorter ones padded by zeros. A partial aggregate by place in the chunk."""
+    bytes_ = chunks.select(*stripe, F.posexplode(byte_values(F.col(body))).alias("_at", "_b"))
+    sums = bytes_.groupBy(*stripe, "_at").agg(F.bit_xor("_b").alias("_x"))
+    return sums.groupBy(*stripe).agg(F.sort_array(F.collect_list(F.struct("_at", "_x"))).alias("_p")).select(*stripe, F.unhex(F.array_join(F.transform("_p", lambda p: F.lpad(F.hex(p["_x"]), 2, "0")), "")).alias("parity"))
+
+
+def recovered(there: DataFrame, parities: DataFrame, lost: DataFrame, stripe: list[str], chunk: str, body: str) -> DataFrame:
+    """stripe..., chunk, body of one lost chunk a stripe (lost: stripe..., chunk, size): the parity of what is there and of the stripe's parity."""
+    both = there.select(*stripe, body).unionByName(parities.select(*stripe, F.col("parity").alias(body)))
+    whole = parity(both, stripe, body)
+    return lost.join(whole, stripe).select(*stripe, chunk, F.substring("parity", F.lit(1), F.col("size")).alias(body))
