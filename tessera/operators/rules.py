@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.text import banded
 from tessera.operators import graph
 from tessera.operators.names import squats
 
 SEVERITIES = ["INFO", "LOW", "MEDIUM", "HIGH", "CRITICAL"]
-DEEP, ESTABLISHED = 6, 3
+DEEP, ESTABLISHED, MOST_CYCLES = 6, 3, 5
 
 RULES: dict[str, Callable[[DataFrame], DataFrame]] = {}
 
@@ -56,6 +57,11 @@ def suppressed(findings: DataFrame, suppressions: DataFrame) -> DataFrame:
     return findings.join(suppressions.select("file", "rule"), ["file", "rule"], "left_anti")
 
 
+def disabled(findings: DataFrame, rules: DataFrame) -> DataFrame:
+    """Findings without those of a disabled rule (rule)."""
+    return findings.join(rules.select("rule"), "rule", "left_anti")
+
+
 def off_registry(ecosystem: Column, resolved: Column) -> Column:
     """git, path, url or registry, where a package comes from elsewhere than its default registry; else null."""
     r = F.lower(resolved)
@@ -113,53 +119,77 @@ def audit(packages: DataFrame, edges: DataFrame, roots: DataFrame, popular: Data
         out = out.unionByName(placed.filter("depth IS NULL").select(F.lit("unreachable-entry").alias("rule"), F.lit("LOW").alias("severity"), "name", "version"))
     versions = rows.groupBy("name").agg(F.count_distinct("version").alias("v")).filter("v > 1").agg(F.count("*").alias("n")).filter("n > 0")
     out = out.unionByName(versions.select(F.lit("duplicate-versions").alias("rule"), F.lit("LOW").alias("severity"), F.format_string("%d packages", "n").alias("name"), F.lit("").alias("version")))
-    cyclic = graph.on_a_cycle(edges).join(rows.select(F.col("location").alias("node"), "name", "version"), "node")
-    out = out.unionByName(cyclic.select(F.lit("dependency-cycle").alias("rule"), F.lit("INFO").alias("severity"), "name", "version"))
+    rings = graph.cycles(edges, MOST_CYCLES).select(F.col("members")[0].alias("_first")).join(rows.select(F.col("location").cast("string").alias("_first"), "name", "version"), "_first")
+    out = out.unionByName(rings.select(F.lit("dependency-cycle").alias("rule"), F.lit("INFO").alias("severity"), "name", "version"))
     return out.withColumnRenamed("name", "package")
 
 
-@rule("signature-changed")
-def _signature(s: DataFrame) -> DataFrame:
-    return s.filter("change = 'modified' AND (args_changed OR returns_changed)").select("symbol", F.when(F.col("callers") > 0, "HIGH").otherwise("MEDIUM").alias("severity"), F.lit("its signature changed").alias("detail"))
-
-
-@rule("handlers-changed")
-def _handlers(s: DataFrame) -> DataFrame:
-    return s.filter("change = 'modified' AND handlers_changed").select("symbol", F.lit("MEDIUM").alias("severity"), F.lit("its exception handlers changed").alias("detail"))
-
-
-@rule("security-changed")
-def _security(s: DataFrame) -> DataFrame:
-    return s.filter("change = 'modified' AND security_changed").select("symbol", F.lit("CRITICAL").alias("severity"), F.lit("its security calls changed").alias("detail"))
-
-
-@rule("route-affected")
-def _route(s: DataFrame) -> DataFrame:
-    return s.filter("change = 'modified' AND routes > 0").select("symbol", F.lit("HIGH").alias("severity"), F.lit("a route leads to it").alias("detail"))
-
-
-@rule("no-test")
-def _no_test(s: DataFrame) -> DataFrame:
-    return s.filter("change <> 'deleted' AND tests = 0").select("symbol", F.lit("MEDIUM").alias("severity"), F.lit("no test names it").alias("detail"))
-
-
-@rule("stale-docstring")
-def _doc_rot(s: DataFrame) -> DataFrame:
-    return s.filter("change = 'modified' AND NOT docstring_changed AND (args_changed OR calls_changed)").select("symbol", F.lit("LOW").alias("severity"), F.lit("it changed and its description did not").alias("detail"))
-
-
-@rule("complex")
-def _complex(s: DataFrame) -> DataFrame:
-    return s.filter("change <> 'deleted' AND complexity > 10").select("symbol", F.lit("MEDIUM").alias("severity"), F.lit("over ten ways through it").alias("detail"))
-
-
-@rule("orphan")
-def _orphan(s: DataFrame) -> DataFrame:
-    return s.filter("change = 'added' AND callers = 0 AND routes = 0").select("symbol", F.lit("LOW").alias("severity"), F.lit("nothing calls it").alias("detail"))
+def changes(name: str, when: str, severity: str | Column, detail: str) -> None:
+    """A rule that is one condition on the frame of changed symbols."""
+
+    def f(symbols: DataFrame) -> DataFrame:
+        level = F.lit(severity) if isinstance(severity, str) else severity
+        return symbols.filter(when).select("symbol", level.alias("severity"), F.lit(detail).alias("detail"))
+
+    RULES[name] = f
+
+
+#: Names that are called from outside, so that nothing in the code calls them.
+ENTRY_NAMES = "('main', 'cli', 'app', 'setup', 'run')"
+_LOCAL = "element_at(split(symbol, '[.]'), -1)"
+changes("signature-changed", "public AND change = 'modified' AND (args_changed OR returns_changed)", "HIGH", "its signature changed")
+changes("handlers-changed", "handlers_changed AND NOT broad_handler_added", "MEDIUM", "its exception handlers changed")
+changes("broad-handler", "broad_handler_added", "HIGH", "it now catches every exception")
+changes("security-changed", "auth_related OR (security_calls AND security_changed)", F.when(F.col("security_changed"), "HIGH").otherwise("MEDIUM"), "a security boundary was touched")
+changes("route-affected", "routes > 0", F.when(F.col("decorated"), "HIGH").otherwise("MEDIUM"), "a route leads to it")
+changes("no-test", "tests = 0", "MEDIUM", "no test names it")
+changes("tests-unchanged", "tests > 0 AND body_changed AND tests_changed = 0", "HIGH", "it changed and its tests did not")
+changes("imports-changed", "imports_changed", "MEDIUM", "its file imports other names")
+changes("stale-docstring", "body_changed AND NOT docstring_changed AND documented", "MEDIUM", "it changed and its description did not")
+changes("complex", "complexity > 10", F.when(F.col("tests") == 0, "HIGH").otherwise("MEDIUM"), "over ten ways through it")
+changes("orphan", f"change = 'added' AND callers = 0 AND routes = 0 AND NOT startswith({_LOCAL}, '_') AND {_LOCAL} NOT IN {ENTRY_NAMES}", "MEDIUM", "nothing calls it")
+
+
+def attack_surface(before: DataFrame, after: DataFrame) -> DataFrame:
+    """rule, severity, added: one finding if requirements (name) are new, with their names in order. Its own rule, beside those of symbols."""
+    new = after.select("name").distinct().join(before.select("name"), "name", "left_anti")
+    rows = new.agg(F.array_join(F.sort_array(F.collect_list("name")), ", ").alias("added"), F.count("*").alias("_n")).filter("_n > 0")
+    return rows.select(F.lit("attack-surface").alias("rule"), F.lit("LOW").alias("severity"), "added")
+
+
+#: The extensions that belong to a kind of content.
+EXTENSIONS = {
+    "jpeg": [".jpg", ".jpeg", ".jpe"],
+    "png": [".png"],
+    "gif": [".gif"],
+    "pdf": [".pdf"],
+    "zip": [".zip", ".jar", ".apk", ".epub", ".docx", ".docm", ".xlsx", ".xlsm", ".pptx", ".pptm"],
+    "gzip": [".gz", ".tgz"],
+    "bzip2": [".bz2", ".tbz", ".tbz2"],
+    "xz": [".xz", ".txz"],
+    "tar": [".tar"],
+    "rar": [".rar"],
+    "7z": [".7z"],
+    "pe-executable": [".exe", ".dll", ".sys", ".scr", ".com"],
+    "elf-executable": ["", ".so", ".bin", ".run"],
+}
+
+
+def content_findings(files: DataFrame) -> DataFrame:
+    """path, rule, severity of files (path, kind) whose extension belongs to other content, and of executables."""
+    suffix = F.lower(F.regexp_extract("path", r"[^/.][^/]*(\.[^./]+)$", 1))
+    fits = F.coalesce(*(F.when(F.col("kind") == kind, suffix.isin(known)) for kind, known in EXTENSIONS.items()), F.lit(True))
+    runs = F.col("kind").endswith("executable")
+    found = F.array_compact(F.array(F.when(~fits, F.struct(F.lit("extension-mismatch").alias("rule"), F.when(runs, "CRITICAL").otherwise("HIGH").alias("severity"))), F.when(runs, F.struct(F.lit("executable").alias("rule"), F.lit("HIGH").alias("severity")))))
+    return files.select("path", F.explode(found).alias("f")).select("path", "f.rule", "f.severity")
 
 
 def change_findings(symbols: DataFrame, rules: dict[str, Callable[[DataFrame], DataFrame]] | None = None) -> DataFrame:
-    """rule, symbol, severity, detail of a symbol diff with callers, routes, tests and complexity."""
+    """rule, symbol, severity, detail of a symbol diff with the columns that the rules name.
+
+    change, public, documented, decorated, auth_related, security_calls, imports_changed, broad_handler_added, the flags ..._changed of args, returns, handlers, security, docstring and body, and the numbers callers,
+    routes, tests, tests_changed, complexity.
+    """
     out = None
     for name, f in (rules or RULES).items():
         rows = f(symbols).select(F.lit(name).alias("rule"), "symbol", "severity", "detail")
@@ -209,10 +239,15 @@ def badges(symbols: DataFrame) -> DataFrame:
     return symbols.select("qname", F.when(F.col("unknown_edges") > 0, "UNKNOWN").when((F.col("tests") > 0) & (F.col("callers") > 0), "PROVEN").when((F.col("tests") > 0) | (F.col("callers") > 0), "INFERRED").otherwise("UNKNOWN").alias("badge"))
 
 
+#: Weights of a change's five parts, and bands of the sum.
+RISK_WEIGHTS = {"severity": 0.30, "blast": 0.25, "tests": 0.20, "security": 0.15, "confidence": 0.10}
+RISK_BANDS = {75: "CRITICAL", 50: "HIGH", 25: "MEDIUM", 0: "LOW"}
+
+
 def risk_score(parts: DataFrame) -> DataFrame:
-    """id, score, band from five parts of 0 to 100: blast, security, tests, routes, confidence."""
-    score = F.bround(0.30 * F.col("blast") + 0.25 * F.col("security") + 0.20 * F.col("tests") + 0.15 * F.col("routes") + 0.10 * F.col("confidence"), 0).cast("int")
-    return parts.select("id", score.alias("score"), F.when(score >= 75, "CRITICAL").when(score >= 50, "HIGH").when(score >= 25, "MEDIUM").otherwise("LOW").alias("band"))
+    """id, score, band from five parts of 0 to 100; halves round to even."""
+    score = F.greatest(F.lit(0), F.least(F.lit(100), F.bround(sum((w * F.col(c) for c, w in RISK_WEIGHTS.items()), F.lit(0.0)), 0))).cast("int")
+    return parts.select("id", score.alias("score"), banded(score, RISK_BANDS).alias("band"))
 
 
 def bounded_newest(rows: DataFrame, key: str, order: str, most: int) -> DataFrame:

@@ -82,3 +82,13 @@ def blended(hits: DataFrame, symbols: DataFrame, key: str, tests_too: bool = Fal
 def starting_score(dependents, entry, functions, classes, todos, fixmes, lines):  # noqa: ANN001, ANN201
     """How good a file is to begin reading at."""
     return F.round(5 * dependents + 20 * entry.cast("int") + 2 * functions + 3 * classes + 2 * todos + 3 * fixmes + lines / 100, 2)
+
+
+def recommended(scores: DataFrame, key: str, most: int = 3) -> DataFrame:
+    """The files to begin with: by score, then by key; none where `most` is 0."""
+    return top(scores, key, most)
+
+
+def placed(scores: DataFrame, key: str) -> DataFrame:
+    """scores with place, from 1, by falling score and key. For the rows of a result page: the window has no partition."""
+    return scores.withColumn("place", F.row_number().over(Window.orderBy(F.desc("score"), key)).cast("long"))

@@ -126,3 +126,17 @@ def classified(found: DataFrame, stdlib: DataFrame, local: DataFrame, installed:
     for flag, side in (("_s", stdlib), ("_l", local), ("_i", installed)):
         out = out.join(side.select("module").distinct().withColumn(flag, F.lit(True)), "module", "left")
     return out.withColumn("kind", F.when(F.col("_s"), "STDLIB").when(F.col("_l"), "LOCAL").when(F.col("_i"), "THIRD_PARTY").otherwise("UNKNOWN")).drop("_s", "_l", "_i")
+
+
+#: What a decorator of a web framework ends in.
+METHODS = ["get", "post", "put", "patch", "delete", "head", "options"]
+
+
+def decorator_routes(files: DataFrame) -> DataFrame:
+    """path, function, method, route of functions with a decorator ....route('/x', methods=[...]) (GET without methods) or ....get('/x') and the like."""
+    each = symbols(files).select("path", F.col("symbol").alias("function"), F.explode("decorators").alias("d"))
+    quoted = F.regexp_extract("d", r"^[\w.]+\(\s*[rf]?'([^']*)'", 1)
+    verb = F.regexp_extract("d", r"^[\w.]*\.(\w+)\(", 1)
+    named = F.regexp_extract_all(F.regexp_extract("d", r"methods\s*=\s*[\[(]([^\])]*)", 1), F.lit(r"'(\w+)'"), 1)
+    methods = F.when(verb.isin(METHODS), F.array(F.upper(verb))).when((verb == "route") & (F.size(named) > 0), F.transform(named, F.upper)).when(verb == "route", F.array(F.lit("GET")))
+    return each.select("path", "function", F.explode(methods).alias("method"), quoted.alias("route")).filter("route <> ''")

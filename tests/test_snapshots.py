@@ -116,10 +116,13 @@ def test_requirements(spark):
 
 
 def test_rule_engine(spark):
-    symbols = spark.createDataFrame([("f", "modified", True, False, False, False, False, False, 2, 0, 0, 12), ("g", "added", False, False, False, False, False, False, 0, 0, 1, 1)], "symbol string, change string, args_changed boolean, returns_changed boolean, handlers_changed boolean, security_changed boolean, docstring_changed boolean, calls_changed boolean, callers int, routes int, tests int, complexity int")
+    flags = ["public", "documented", "decorated", "auth_related", "security_calls", "imports_changed", "broad_handler_added", *(f"{x}_changed" for x in ("args", "returns", "handlers", "security", "docstring", "body"))]
+    make = lambda symbol, change, true, *numbers: (symbol, change, *(f in true for f in flags), *numbers)
+    schema = f"symbol string, change string, {', '.join(f'{f} boolean' for f in flags)}, callers int, routes int, tests int, tests_changed int, complexity int"
+    symbols = spark.createDataFrame([make("f", "modified", ["public", "documented", "args_changed", "body_changed"], 2, 0, 0, 0, 12), make("m.g", "added", ["imports_changed"], 0, 0, 1, 1, 1), make("m.main", "added", ["auth_related"], 0, 1, 1, 0, 1), make("h", "modified", ["handlers_changed", "broad_handler_added", "body_changed"], 0, 0, 2, 0, 11)], schema)
     found = rules.change_findings(symbols)
-    assert rows(found, "rule", "symbol", "severity") == [("complex", "f", "MEDIUM"), ("no-test", "f", "MEDIUM"), ("orphan", "g", "LOW"), ("signature-changed", "f", "HIGH"), ("stale-docstring", "f", "LOW")]
-    assert tuple(rules.overall(found).first()) == ("HIGH", 5)
+    assert rows(found, "rule", "symbol", "severity") == sorted([("complex", "f", "HIGH"), ("no-test", "f", "MEDIUM"), ("signature-changed", "f", "HIGH"), ("stale-docstring", "f", "MEDIUM"), ("imports-changed", "m.g", "MEDIUM"), ("orphan", "m.g", "MEDIUM"), ("security-changed", "m.main", "MEDIUM"), ("route-affected", "m.main", "MEDIUM"), ("broad-handler", "h", "HIGH"), ("tests-unchanged", "h", "HIGH"), ("complex", "h", "MEDIUM")])
+    assert tuple(rules.overall(found).first()) == ("HIGH", 11)
     edges = spark.createDataFrame([("PROVEN",), ("INFERRED",), ("UNKNOWN",)], "confidence string")
     assert rules.confidence_score(edges).first().score == 60 and rules.confidence_score(edges.limit(0)).first().score == 100
     calls = spark.createDataFrame([("x.f", "g"), ("x.f", "m.h"), ("x.f", "none")], "caller string, callee string")
