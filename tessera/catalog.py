@@ -13,11 +13,11 @@ from pyspark.sql import functions as F
 from tessera.functions.text import TOKEN_RUN, log_pattern, skeleton
 from tessera.operators import changelog, graph, logs, names, rules, search, secrets, sessions, snapshots
 from tessera.plans.paths import PathQuery
-from tessera.queries import codebase, files, graphs, texts
+from tessera.queries import codebase, files, graphs, packages, stores, texts
 from tessera.queries.base import QUERIES, SQL, query
 from tessera.streaming import replay
 
-__all__ = ["QUERIES", "SQL", "codebase", "files", "graphs", "texts"]
+__all__ = ["QUERIES", "SQL", "codebase", "files", "graphs", "packages", "stores", "texts"]
 
 QUERY_TEXT = "the hand tion"
 PAGERANK_ROUNDS = 10

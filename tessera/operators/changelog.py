@@ -86,3 +86,56 @@ def sequence_gaps(rows: DataFrame, key: str, seq: str) -> DataFrame:
     """key, seq, before where a number does not follow the one before."""
     before = F.lag(seq).over(Window.partitionBy(key).orderBy(seq))
     return rows.select(key, seq, before.alias("before")).filter(F.col(seq) != F.col("before") + 1)
+
+
+def answers(state: DataFrame, asked: DataFrame, as_of: Column) -> DataFrame:
+    """asked (position, op, key) with answer, as text, from a replayed state (key, value, expires_at): get (null if there is none), exists, ttl (-1 without an end, null if there is none)."""
+    there = state.filter(F.col("expires_at").isNull() | (F.col("expires_at") > as_of)).select("key", F.lit(True).alias("_t"), F.col("value").alias("_v"), F.col("expires_at").alias("_e"))
+    found = F.coalesce("_t", F.lit(False))
+    left = F.when(found, F.when(F.col("_e").isNull(), F.lit(-1.0)).otherwise(F.col("_e") - as_of))
+    answer = F.when(F.col("op") == "get", F.col("_v")).when(F.col("op") == "exists", found.cast("string")).when(F.col("op") == "ttl", left.cast("string"))
+    return asked.join(there, "key", "left").select(*asked.columns, answer.alias("answer"))
+
+
+def live_keys(state: DataFrame, as_of: Column) -> DataFrame:
+    """key of what has not expired, in order."""
+    return state.filter(F.col("expires_at").isNull() | (F.col("expires_at") > as_of)).select("key").orderBy("key")
+
+
+def missing_deletes(log: DataFrame) -> DataFrame:
+    """seq, key of deletions of keys that were not there: the operation before was none, or a deletion too, or had expired (column ts: the time of an operation)."""
+    by = Window.partitionBy("key").orderBy("seq")
+    before = log.select("seq", "key", "op", "ts", F.lag("op").over(by).alias("_o"), F.lag("expires_at").over(by).alias("_e"))
+    gone = F.col("_o").isNull() | (F.col("_o") == "DELETE") | expired(F.col("_e"), F.col("ts"))
+    return before.filter((F.col("op") == "DELETE") & gone).select("seq", "key")
+
+
+def backup(log: DataFrame, path: str) -> None:
+    """Copies a log; raises where there is something already."""
+    log.write.mode("errorifexists").parquet(path)
+
+
+def restored(log: DataFrame) -> DataFrame:
+    """A log that is to be taken over; raises if its first record is no valid operation."""
+    first = log.orderBy("seq").select("op").first()
+    if first is None or first.op not in ("SET", "DELETE", "EXPIRE", "FLUSH"):
+        raise ValueError("the first record is no operation")
+    return log
+
+
+#: The commands of the text protocol, with the least and the most words after the verb.
+VERBS = {"SET": (2, None), "GET": (1, 1), "DELETE": (1, 1), "EXISTS": (1, 1), "EXPIRE": (2, 2), "TTL": (1, 1), "KEYS": (0, 0), "FLUSH": (0, 0), "PING": (0, 0), "STATS": (0, 0)}
+
+
+def commands(lines: DataFrame) -> DataFrame:
+    """seq, op, key, value, ttl, error of command lines (seq, value): a verb, a key, the rest as value. The verb's case counts for nothing."""
+    line = F.trim("value")
+    op, words = F.upper(F.regexp_extract(line, r"^(\S+)", 1)), F.size(F.split(line, r"\s+")) - 1
+    fits = F.lit(False)
+    for verb, (least, most) in VERBS.items():
+        fits = fits | ((op == verb) & (words >= least) & (F.lit(True) if most is None else words <= most))
+    known = op.isin(list(VERBS))
+    key, rest = F.regexp_extract(line, r"^\S+\s+(\S+)", 1), F.regexp_extract(line, r"^\S+\s+\S+\s+(.*)$", 1)
+    error = F.when(line == "", "empty command").when(~known, "unknown command").when(~fits, "wrong number of arguments").when((op == "EXPIRE") & rest.try_cast("double").isNull(), "not a number")
+    good = error.isNull()
+    return lines.select("seq", F.when(good, op).alias("op"), F.when(good & (key != ""), key).alias("key"), F.when(good & (op == "SET"), rest).alias("value"), F.when(good & (op == "EXPIRE"), rest.try_cast("double")).alias("ttl"), error.alias("error"))

@@ -253,3 +253,9 @@ def risk_score(parts: DataFrame) -> DataFrame:
 def bounded_newest(rows: DataFrame, key: str, order: str, most: int) -> DataFrame:
     """Of each key the newest rows only: a bounded history."""
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))).filter(F.col("_n") <= most).drop("_n")
+
+
+def transitive(packages: DataFrame, roots: DataFrame) -> DataFrame:
+    """transitive: how many packages (link) are neither links nor roots; 0 at least."""
+    n = packages.agg(F.count_if(~F.col("link")).alias("_n")).join(roots.agg(F.count("*").alias("_r")))
+    return n.select(F.greatest(F.lit(0), F.col("_n") - F.col("_r")).cast("long").alias("transitive"))

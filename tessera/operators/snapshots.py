@@ -47,6 +47,43 @@ def drift(declared: DataFrame, used: DataFrame, key: str) -> DataFrame:
     return undeclared.unionByName(unused)
 
 
+def new_findings(findings: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
+    """The findings (package, severity, ...) above INFO on packages that version_diff() says came."""
+    added = version_diff(before, after).filter("change IN ('new', 'bumped')").select(F.col("name").alias("package")).distinct()
+    return findings.filter("severity <> 'INFO'").join(added, "package", "left_semi")
+
+
+def drift_findings(imports: DataFrame, declared: DataFrame, provided: DataFrame) -> DataFrame:
+    """name, finding, severity, place: imports (name, kind, path, line) of unknown kind are MEDIUM, third-party ones that no manifest declares HIGH, declared ones (name, path) that nothing imports INFO.
+
+    provided: name, module: under which modules a distribution is imported. The place is the first import, or the first manifest.
+    """
+    first = imports.groupBy("name", "kind").agg(F.min(F.struct("path", "line")).alias("_p"))
+    where = F.concat_ws(":", "_p.path", "_p.line")
+    known = declared.select("name").union(provided.join(declared.select("name").distinct(), "name", "left_semi").select("module")).distinct()
+    unknown = first.filter("kind = 'UNKNOWN'").select("name", F.lit("unknown").alias("finding"), F.lit("MEDIUM").alias("severity"), where.alias("place"))
+    undeclared = first.filter("kind = 'THIRD_PARTY'").join(known, "name", "left_anti").select("name", F.lit("undeclared").alias("finding"), F.lit("HIGH").alias("severity"), where.alias("place"))
+    used = imports.select("name").union(provided.select("name", "module").join(imports.select(F.col("name").alias("module")).distinct(), "module", "left_semi").select("name")).distinct()
+    unused = declared.groupBy("name").agg(F.min("path").alias("place")).join(used, "name", "left_anti").select("name", F.lit("unused").alias("finding"), F.lit("INFO").alias("severity"), "place")
+    return unknown.unionByName(undeclared).unionByName(unused)
+
+
+def task_hash(tasks: DataFrame) -> DataFrame:
+    """task, digest of all that a task's result hangs on: name, command, cwd, shell, files, env, needs (maps) and outputs, in order."""
+    lines = lambda kind, m: F.transform(F.sort_array(F.map_keys(m)), lambda k: F.concat(F.lit(f"{kind}:"), k, F.lit(":"), F.element_at(F.col(m), k), F.lit("\n")))
+    head = F.array(*(F.concat(F.lit(f"{label}:"), F.coalesce(c, F.lit("")), F.lit("\n")) for label, c in (("task_name", "task"), ("command", "command"), ("cwd", "cwd"), ("shell", "shell"))))
+    tail = F.transform(F.sort_array("outputs"), lambda o: F.concat(F.lit("output_pattern:"), o, F.lit("\n")))
+    return tasks.select("task", F.sha2(F.array_join(F.concat(head, lines("file", "files"), lines("env", "env"), lines("dep", "needs"), tail), ""), 256).alias("digest"))
+
+
+def run_summary(results: DataFrame, total: Column) -> DataFrame:
+    """tasks, cached, executed, failed, saved, saved_percent of task results (status, duration, original); total: the time of the whole run."""
+    saved = F.coalesce(F.sum(F.when((F.col("status") == "CACHED") & (F.col("original") > F.col("duration")), F.col("original") - F.col("duration"))), F.lit(0.0))
+    state = lambda s: F.count_if(F.col("status") == s)
+    rows = results.agg(F.count("*").alias("tasks"), state("CACHED").alias("cached"), state("EXECUTED").alias("executed"), state("FAILED").alias("failed"), saved.alias("saved"))
+    return rows.withColumn("saved_percent", F.when(F.col("saved") + total > 0, 100.0 * F.col("saved") / (F.col("saved") + total)).otherwise(0.0))
+
+
 def duplicates(rows: DataFrame, key: str, digest: Column, size: Column) -> DataFrame:
     """digest, size, copies, canonical (the least key), reclaimable bytes of the contents that several rows have."""
     groups = rows.select(digest.alias("digest"), size.alias("size"), key).groupBy("digest", "size").agg(F.count("*").alias("copies"), F.min(key).alias("canonical"))

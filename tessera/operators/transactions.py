@@ -219,6 +219,25 @@ def castagnoli(data: bytes) -> int:
     return crc ^ 0xFFFFFFFF
 
 
+def frames(path: str, data: bytes) -> list[tuple]:
+    """path, sequence, kind, checked bytes, payload, checksum of a journal's whole frames."""
+    at, rows = 0, []
+    while at + FRAME.size <= len(data):
+        magic, version, kind, sequence, length = FRAME.unpack_from(data, at)
+        if magic != MAGIC or version != VERSION:
+            raise ValueError(f"{path}: no journal frame at {at}")
+        if sequence != len(rows) + 1:
+            raise ValueError(f"{path}: sequence {sequence}, expected {len(rows) + 1}")
+        end = at + FRAME.size + length
+        if end + 4 > len(data):
+            break
+        rows.append((path, sequence, kind, data[at + 4 : end], data[at + FRAME.size : end].decode(), struct.unpack_from(">I", data, end)[0]))
+        at = end + 4
+    if not rows:
+        raise ValueError(f"{path}: no whole frame")
+    return rows
+
+
 def journal(files: DataFrame) -> DataFrame:
     """path, sequence, kind, payload of journals (path, content); raises on bad magic, version, checksum or a gap in the sequence. A torn last frame is left out; a journal that holds no whole one raises.
 
@@ -228,20 +247,7 @@ def journal(files: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1)):
-                data, at, rows = content.as_py() or b"", 0, []
-                while at + FRAME.size <= len(data):
-                    magic, version, kind, sequence, length = FRAME.unpack_from(data, at)
-                    if magic != MAGIC or version != VERSION:
-                        raise ValueError(f"{path}: no journal frame at {at}")
-                    if sequence != len(rows) + 1:
-                        raise ValueError(f"{path}: sequence {sequence}, expected {len(rows) + 1}")
-                    end = at + FRAME.size + length
-                    if end + 4 > len(data):
-                        break
-                    rows.append((path, sequence, kind, data[at + 4 : end], data[at + FRAME.size : end].decode(), struct.unpack_from(">I", data, end)[0]))
-                    at = end + 4
-                if not rows:
-                    raise ValueError(f"{path}: no whole frame")
+                rows = frames(path, content.as_py() or b"")
                 yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows), (pa.string(), pa.int64(), pa.int32(), pa.binary(), pa.string(), pa.int64()))], names=["path", "sequence", "kind", "_bytes", "payload", "_crc"])
 
     cut = files.select("path", "content").mapInArrow(run, "path string, sequence long, kind int, _bytes binary, payload string, _crc long")

@@ -80,3 +80,84 @@ def lock_edges(packages: DataFrame) -> DataFrame:
     found = tried.join(packages.select(F.col("location").alias("dst")), "dst")
     return found.groupBy("src", "name").agg(F.max(F.struct("depth", "dst")).alias("x")).select("src", F.col("x.dst").alias("dst"))
 
+
+
+def nested_lock_packages(files: DataFrame) -> DataFrame:
+    """path, name, version, resolved, integrity, dev, optional, wants of lock files in the nested layout (path, value: the JSON): every entry, copies inside others too, in the order of names, with a depth of 1.
+
+    The nesting has no bound that a schema could state, so the tree is walked in Python, a file at a time, without recursion.
+    """
+    import json
+    from collections.abc import Iterator
+
+    import pyarrow as pa
+
+    schema = "path string, name string, version string, resolved string, integrity string, dev boolean, optional boolean, wants array<string>, depth int"
+    kinds = (pa.string(), pa.string(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.bool_(), pa.list_(pa.string()), pa.int32())
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for path, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                waiting = [json.loads(value or "{}").get("dependencies") or {}]
+                while waiting:
+                    for name, entry in sorted(waiting.pop(0).items()):
+                        text = lambda k, e=entry: e[k] if isinstance(e.get(k), str) else None
+                        out.append((path, name, text("version") or "", text("resolved"), text("integrity"), entry.get("dev") is True, entry.get("optional") is True, sorted(entry.get("requires") or {}) if isinstance(entry.get("requires"), dict) else [], 1))
+                        if isinstance(entry.get("dependencies"), dict):
+                            waiting.append(entry["dependencies"])
+            if out:
+                yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*out), kinds)], names=names)
+
+    return files.select("path", "value").mapInArrow(run, schema)
+
+
+def base_name(text):  # noqa: ANN001, ANN201
+    """The first name of a requirement, lower case, hyphens as underscores; empty without one."""
+    return F.replace(F.lower(F.regexp_extract(text, r"^([a-zA-Z0-9_\-]+)", 1)), F.lit("-"), F.lit("_"))
+
+
+def requirement_names(files: DataFrame) -> DataFrame:
+    """path, name of requirement files (path, value), each name once a file."""
+    lines = files.select("path", F.explode(F.split("value", r"\r?\n")).alias("_l")).select("path", F.trim("_l").alias("_l"))
+    return lines.filter("_l <> '' AND NOT startswith(_l, '#')").select("path", base_name(F.col("_l")).alias("name")).filter("name <> ''").distinct()
+
+
+def project_names(files: DataFrame) -> DataFrame:
+    """path, name of the dependencies of project files in TOML (path, value); one that is no TOML gives none."""
+    import tomllib
+    from collections.abc import Iterator
+
+    import pyarrow as pa
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for path, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                try:
+                    found = tomllib.loads(value or "").get("project", {}).get("dependencies", [])
+                except tomllib.TOMLDecodeError:
+                    continue
+                out += [(path, x) for x in found if isinstance(x, str)]
+            if out:
+                yield pa.record_batch([pa.array(x) for x in zip(*out)], names=["path", "text"])
+
+    rows = files.select("path", "value").mapInArrow(run, "path string, text string")
+    return rows.select("path", base_name(F.col("text")).alias("name")).filter("name <> ''").distinct()
+
+
+TASK = T.MapType(T.StringType(), T.StructType([T.StructField(n, T.StringType()) for n in ("command", "cwd")] + [T.StructField(n, T.ArrayType(T.StringType())) for n in ("depends_on", "inputs", "outputs")] + [T.StructField("weight", T.IntegerType())]))
+
+
+def task_manifest(files: DataFrame) -> DataFrame:
+    """task, package, command, cwd, depends_on, inputs, outputs, weight of manifests (folder, value: the JSON); '' is the root's folder, any other a workspace.
+
+    A workspace's tasks are package#task, their needs too unless they name a package; their folder is the workspace unless they name one. A weight is 1 at least.
+    """
+    each = files.select("folder", F.explode(F.from_json("value", T.StructType([T.StructField("tasks", TASK)]))["tasks"]).alias("_n", "t"))
+    package = F.when(F.col("folder") != "", F.element_at(F.split("folder", "/"), -1))
+    scoped = lambda n: F.when(package.isNull() | n.contains("#"), n).otherwise(F.concat(package, F.lit("#"), n))
+    none = F.array().cast("array<string>")
+    cwd = F.coalesce("t.cwd", F.lit(""))
+    return each.select(scoped(F.col("_n")).alias("task"), package.alias("package"), F.coalesce("t.command", F.lit("")).alias("command"), F.when((cwd == "") & package.isNotNull(), F.col("folder")).otherwise(cwd).alias("cwd"), F.transform(F.coalesce("t.depends_on", none), scoped).alias("depends_on"), F.coalesce("t.inputs", none).alias("inputs"), F.coalesce("t.outputs", none).alias("outputs"), F.greatest(F.lit(1), F.coalesce("t.weight", F.lit(0))).alias("weight"))

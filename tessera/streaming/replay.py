@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tessera.storage import fresh_dir
 
@@ -23,11 +19,14 @@ def drained(stream: DataFrame, mode: str, name: str) -> DataFrame:
     top = fresh_dir(spark, f"stream-{name}")
 
     def keep(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{top}/out")
+        # a batch that runs again after a failure replaces what it wrote
+        place = "all" if mode == "complete" else f"{number:020}"
+        batch.withColumn("_batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{top}/out/{place}")
 
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{top}/progress").trigger(availableNow=True).foreachBatch(keep).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{top}/out")
+    written = stream.sparkSession.createDataFrame([], stream.schema).withColumn("_batch", F.lit(0).cast("long")).schema
+    return spark.read.schema(written).option("recursiveFileLookup", True).parquet(f"{top}/out").drop(*([] if mode == "update" else ["_batch"]))
 
 
 def counts(events: DataFrame, by: str) -> DataFrame:
@@ -35,16 +34,22 @@ def counts(events: DataFrame, by: str) -> DataFrame:
 
 
 def latest_values(changes: DataFrame) -> DataFrame:
-    """A stream of changes (seq, op, key, value) as a stream of each key's state: key, value, seq (value null once deleted). FLUSH can't be kept by key and is refused."""
+    """A stream of changes (seq, op, key, value) as a stream of each key's state: key, value, seq (value null once deleted). One running aggregate a key, in update mode. FLUSH can't be kept by key and is refused."""
     checked = changes.withColumn("op", F.when(F.col("op") == "FLUSH", F.raise_error(F.lit("FLUSH is for batches"))).otherwise(F.col("op")))
+    last = checked.groupBy("key").agg(F.max_by(F.struct(F.when(F.col("op") != "DELETE", F.col("value")).alias("value"), "seq"), "seq").alias("_x"))
+    return last.select("key", "_x.value", "_x.seq")
+
+
+def newest_updates(updates: DataFrame, key: str) -> DataFrame:
+    """What drained() gives in update mode, of each key the row of its last batch."""
+    rest = [c for c in updates.columns if c not in (key, "_batch")]
+    return updates.groupBy(key).agg(F.max_by(F.struct(*rest), "_batch").alias("_x")).select(key, "_x.*")
+
 
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        best = state.get if state.exists else (None, -1)
-        for part in parts:
-            row = part.loc[part["seq"].idxmax()]
-            if row["seq"] > best[1]:
-                best = (None if row["op"] == "DELETE" else row["value"], int(row["seq"]))
-        state.update(best)
-        yield pd.DataFrame({"key": [key[0]], "value": [best[0]], "seq": [best[1]]})
+def indexed(events: DataFrame, session: str, order: str, size: str) -> DataFrame:
+    """events with index (from 0) and offset (sizes before) in each session, as an append stream numbers them."""
+    from pyspark.sql import Window
 
-    return checked.groupBy("key").applyInPandasWithState(step, "key string, value string, seq long", "value string, seq long", "update", GroupStateTimeout.NoTimeout)
+    by = Window.partitionBy(session).orderBy(order)
+    before = by.rowsBetween(Window.unboundedPreceding, -1)
+    return events.withColumns({"index": (F.row_number().over(by) - 1).cast("long"), "offset": F.coalesce(F.sum(size).over(before), F.lit(0)).cast("long")})
