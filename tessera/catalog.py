@@ -76,7 +76,7 @@ def text_bm25_topk(t, spark, d):
 
 @query(f"SELECT term, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest({_TOKENS}) AS term FROM documents) GROUP BY term HAVING count(DISTINCT doc_id) >= 5")
 def text_token_df(t, spark, d):
-    return search.document_frequency(search.postings(t("documents"), "doc_id", "text")).filter("df >= 5")
+    return search.document_frequency(t("documents"), "text").filter("df >= 5")
 
 
 def purchases(t) -> DataFrame:

@@ -47,10 +47,19 @@ def log_pattern(message: Column) -> Column:
     return F.trim(F.regexp_replace(numbers, r"\b[a-f0-9]{8,}\b", "<id>"))
 
 
+def spaced(text: Column) -> Column:
+    """Lower case, with a blank where a lower letter is followed by an upper one."""
+    return F.lower(F.regexp_replace(text, "([a-z])([A-Z])", "$1 $2"))
+
+
+def all_tokens(text: Column) -> Column:
+    """Runs of letters or digits, split at lower-to-upper changes; short ones, empty ones and stop words are still there."""
+    return F.split(spaced(text), "[^a-z0-9]+")
+
+
 def search_tokens(text: Column) -> Column:
     """Words of two or more letters or digits, split at lower-to-upper changes, without stop words."""
-    spaced = F.lower(F.regexp_replace(text, "([a-z])([A-Z])", "$1 $2"))
-    return F.filter(F.split(spaced, "[^a-z0-9]+"), lambda t: (F.length(t) >= 2) & ~t.isin(STOP_WORDS))
+    return F.filter(all_tokens(text), lambda t: (F.length(t) >= 2) & ~t.isin(STOP_WORDS))
 
 
 def skeleton(name: Column) -> Column:

@@ -124,11 +124,13 @@ def audit(packages: DataFrame, edges: DataFrame, roots: DataFrame, popular: Data
     return out.withColumnRenamed("name", "package")
 
 
-def changes(name: str, when: str, severity: str | Column, detail: str) -> None:
-    """A rule that is one condition on the frame of changed symbols."""
+def changes(name: str, when: str, severity: str, detail: str) -> None:
+    """A rule that is one condition on the frame of changed symbols. severity: a level, or 'A if condition else B'."""
+    high, _, rest = severity.partition(" if ")
+    condition, _, low = rest.partition(" else ")
 
     def f(symbols: DataFrame) -> DataFrame:
-        level = F.lit(severity) if isinstance(severity, str) else severity
+        level = F.when(F.expr(condition), high).otherwise(low) if condition else F.lit(severity)
         return symbols.filter(when).select("symbol", level.alias("severity"), F.lit(detail).alias("detail"))
 
     RULES[name] = f
@@ -140,13 +142,13 @@ _LOCAL = "element_at(split(symbol, '[.]'), -1)"
 changes("signature-changed", "public AND change = 'modified' AND (args_changed OR returns_changed)", "HIGH", "its signature changed")
 changes("handlers-changed", "handlers_changed AND NOT broad_handler_added", "MEDIUM", "its exception handlers changed")
 changes("broad-handler", "broad_handler_added", "HIGH", "it now catches every exception")
-changes("security-changed", "auth_related OR (security_calls AND security_changed)", F.when(F.col("security_changed"), "HIGH").otherwise("MEDIUM"), "a security boundary was touched")
-changes("route-affected", "routes > 0", F.when(F.col("decorated"), "HIGH").otherwise("MEDIUM"), "a route leads to it")
+changes("security-changed", "auth_related OR (security_calls AND security_changed)", "HIGH if security_changed else MEDIUM", "a security boundary was touched")
+changes("route-affected", "routes > 0", "HIGH if decorated else MEDIUM", "a route leads to it")
 changes("no-test", "tests = 0", "MEDIUM", "no test names it")
 changes("tests-unchanged", "tests > 0 AND body_changed AND tests_changed = 0", "HIGH", "it changed and its tests did not")
 changes("imports-changed", "imports_changed", "MEDIUM", "its file imports other names")
 changes("stale-docstring", "body_changed AND NOT docstring_changed AND documented", "MEDIUM", "it changed and its description did not")
-changes("complex", "complexity > 10", F.when(F.col("tests") == 0, "HIGH").otherwise("MEDIUM"), "over ten ways through it")
+changes("complex", "complexity > 10", "HIGH if tests = 0 else MEDIUM", "over ten ways through it")
 changes("orphan", f"change = 'added' AND callers = 0 AND routes = 0 AND NOT startswith({_LOCAL}, '_') AND {_LOCAL} NOT IN {ENTRY_NAMES}", "MEDIUM", "nothing calls it")
 
 

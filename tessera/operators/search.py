@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import search_tokens
+from tessera.functions.text import STOP_WORDS, all_tokens, spaced
+from tessera.storage import written
 
 K1, B = 1.5, 0.75
 #: Weights of the blend, and of the evidence badges.
@@ -13,12 +14,18 @@ TEXT_WEIGHT, RANK_WEIGHT, EVIDENCE_WEIGHT = 0.60, 0.20, 0.20
 BADGES = {"PROVEN": 1.0, "INFERRED": 0.65, "UNKNOWN": 0.30}
 
 
+def _kept(term: Column) -> Column:
+    return (F.length(term) >= 2) & ~term.isin(STOP_WORDS)
+
+
 def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """key, term, tf."""
-    return docs.select(key, F.explode(search_tokens(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    """key, term, tf. Stop words go as rows, in compiled code, not inside arrays."""
+    return docs.select(key, F.explode(all_tokens(F.col(text))).alias("term")).filter(_kept(F.col("term"))).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
-def document_frequency(rows: DataFrame) -> DataFrame:
+def document_frequency(docs: DataFrame, text: str) -> DataFrame:
+    """term, df: each document gives each of its terms once, so nothing is counted by document."""
+    rows = docs.select(F.explode(F.array_distinct(all_tokens(F.col(text)))).alias("term")).filter(_kept(F.col("term")))
     return rows.groupBy("term").agg(F.count("*").alias("df"))
 
 
@@ -26,8 +33,6 @@ def query_terms(query: str) -> dict[str, int]:
     """The query's terms with their number: one asked twice counts twice."""
     import re
 
-    from tessera.functions.text import STOP_WORDS
-
     words = re.split("[^a-z0-9]+", re.sub("([a-z])([A-Z])", r"\1 \2", query).lower())
     out: dict[str, int] = {}
     for word in words:
@@ -39,17 +44,19 @@ def query_terms(query: str) -> dict[str, int]:
 def bm25(docs: DataFrame, key: str, text: str, query: str) -> DataFrame:
     """key, score of the documents with a score over 0.
 
-    One pass over the texts: each document gives its length and the counts of the few query terms, and the corpus figures are
-    one row. Nothing else of the texts is kept or shuffled.
+    One pass over the texts: each document gives its length and the counts of the few query terms, by regular expressions and not by lists of
+    words. These few numbers are written; the corpus figures are one row of them. Nothing else of the texts is kept or shuffled.
     """
     terms = query_terms(query)
     names = list(terms)
-    tokens = docs.select(key, search_tokens(F.col(text)).alias("t"))
+    low = spaced(F.col(text))
 
-    def number(name: str) -> Column:
-        return F.coalesce(F.size(F.filter("t", lambda x: x == F.lit(name))), F.lit(0))
+    def number(pattern: str) -> Column:
+        return F.coalesce(F.regexp_count(low, F.lit(f"(?<![a-z0-9]){pattern}(?![a-z0-9])")), F.lit(0))
 
-    counts = tokens.select(key, F.coalesce(F.size("t"), F.lit(0)).alias("len"), *(number(n).alias(f"f{i}") for i, n in enumerate(names)))
+    stop = "|".join(STOP_WORDS)
+    length = number(f"(?!(?:{stop})(?![a-z0-9]))[a-z0-9]{{2,}}")
+    counts = written(docs.select(key, length.alias("len"), *(number(n).alias(f"f{i}") for i, n in enumerate(names))), "counts")
     corpus = counts.agg(F.count("*").alias("n"), F.avg("len").alias("avg"), *(F.sum((F.col(f"f{i}") > 0).cast("int")).alias(f"d{i}") for i in range(len(names))))
     score = F.lit(0.0)
     for i, name in enumerate(names):

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -157,21 +159,38 @@ class PathQuery:
         return "\n".join([*lines, *(f"exclude           {x}" for x in self.exclude), f"hidden            {self.hidden}", f"limit             {self.limit}"])
 
 
+COMPILED = "directory string, regex string, ignores boolean, position long"
+
+
+def compiled_rules(rules: DataFrame) -> DataFrame:
+    """COMPILED of ignore rules (directory, pattern, position): a bare name matches at any depth below its directory, and all that lies below a match is matched too."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for directory, pattern, position in zip(*(c.to_pylist() for c in batch.columns)):
+                text = pattern.strip()
+                if not text or text.startswith("#"):
+                    continue
+                ignores, text, base = not text.startswith("!"), text.lstrip("!").rstrip("/"), directory.strip("/")
+                deep = (f"{base}/" if base else "") + (text.lstrip("/") if "/" in text else f"**/{text}")
+                out += [(base, expression(p), ignores, position) for x in (deep, f"{deep}/**") for p in braces(x)]
+            if out:
+                yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*out), (pa.string(), pa.string(), pa.bool_(), pa.int64()))], names=["directory", "regex", "ignores", "position"])
+
+    return rules.select("directory", "pattern", F.col("position").cast("long")).mapInArrow(run, COMPILED)
+
+
 def ignored(files: DataFrame, rules: DataFrame, path: str = "path") -> DataFrame:
-    """files without those whose last matching ignore rule (directory, pattern, position) isn't a ! rule. A bare name matches at any depth below its directory.
+    """files without those whose last matching ignore rule isn't a ! rule.
 
-    The rules are few and come to the driver, where they are compiled.
+    Rules are a table, met by the directories above a path; so a path is tried against the rules of its own directories only, however many there are.
     """
-    found = F.lit(None).cast("boolean")
-    for r in sorted(rules.collect(), key=lambda r: r.position):
-        text = r.pattern.strip()
-        if not text or text.startswith("#"):
-            continue
-        negated, text = text.startswith("!"), text.lstrip("!").rstrip("/")
-        base = (r.directory.strip("/") + "/") if r.directory.strip("/") else ""
-        deep = base + (text.lstrip("/") if "/" in text else f"**/{text}")
-        found = F.when(matches(F.col(path), [deep, f"{deep}/**"]), F.lit(not negated)).otherwise(found)
-    return files.filter(~F.coalesce(found, F.lit(False)))
+    parts = F.split(path, "/")
+    above = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+    tried = files.select(path, F.explode(above).alias("directory")).join(compiled_rules(rules), "directory").filter(F.rlike(F.col(path), F.col("regex")))
+    gone = tried.groupBy(path).agg(F.max_by("ignores", "position").alias("_gone")).filter("_gone").select(path)
+    return files.join(gone, path, "left_anti")
 
 
 def statistics(files: DataFrame, query: PathQuery, path: str = "path") -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.storage import written
+
 LINE = r"(?i)^(\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}:\d{2})\s+(DEBUG|INFO|WARNING|ERROR|CRITICAL)\s+(.*)$"
 CHANGE = T.StructType([T.StructField("op", T.StringType()), T.StructField("key", T.StringType()), T.StructField("value", T.StringType()), T.StructField("ttl", T.DoubleType()), T.StructField("ts", T.DoubleType()), T.StructField("_corrupt", T.StringType())])
 
@@ -23,8 +25,15 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
 
 
 def numbered(spark: SparkSession, path: str) -> DataFrame:
-    """line (from 0), value of one text file, in order: a change log is one ordered file."""
-    return spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("line", "value"))
+    """line (from 0), value of one text file, in order: a change log is one ordered file.
+
+    The file is read in blocks. A line's number is its place in its block and the lines of the blocks before, a row a block; no task sees the whole file.
+    """
+    place = F.monotonically_increasing_id()
+    rows = written(spark.read.text(path).select("value", F.col("_metadata.file_block_start").alias("_block"), place.alias("_id")), "lines")
+    blocks = rows.groupBy("_block").agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))
+    before = blocks.withColumn("_before", F.sum("_n").over(Window.orderBy("_block")) - F.col("_n")).select("_block", "_first", "_before")
+    return rows.join(before, "_block").select((F.col("_before") + F.col("_id") - F.col("_first")).alias("line"), "value")
 
 
 def change_log(lines: DataFrame) -> DataFrame:
