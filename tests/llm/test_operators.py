@@ -98,6 +98,86 @@ def test_scores_by_pairs_equal_plain_filters():
     assert np.allclose(net.score(x), language.softmax(np.concatenate(pools, 1) @ net.out + net.bias), atol=1e-5)
 
 
+def test_gradients_equal_small_differences():
+    """The gradient of every kind of weight against the loss of plain loops."""
+    rng = np.random.default_rng(4)
+    net = language.Network(["a", "b", "c"])
+    x, y, weight = rng.integers(97, 105, (3, language.WINDOW)).astype(np.uint8), np.array([0, 2, 1]), np.array([1.0, 0.5, 2.0])
+    weights = [t for row in net.tables for t in row] + [net.out, net.bias]
+    for k, w in enumerate(weights):  # in double precision
+        weights[k] = w.astype(np.float64)
+    at = 0
+    for row in net.tables:
+        for j in range(len(row)):
+            row[j] = weights[at]
+            at += 1
+    net.out, net.bias = weights[-2:]
+
+    def loss():
+        total = 0.0
+        for row in range(3):
+            pools = []
+            for tables, width in zip(net.tables, language.WIDTHS):
+                for f in range(language.FILTERS):
+                    pools.append(max(sum(tables[j][x[row, p + j], f] for j in range(width)) for p in range(language.WINDOW - width + 1)))
+            z = [sum(v * net.out[i, c] for i, v in enumerate(pools)) + net.bias[c] for c in range(3)]
+            total -= weight[row] / 3 * (z[y[row]] - np.log(sum(np.exp(v) for v in z)))
+        return total
+
+    grads = net._gradients(x, y, weight)
+    for w, grad in zip(weights, grads):
+        flat = np.flatnonzero(np.abs(grad).ravel() > 1e-4)
+        for i in flat[:: max(1, len(flat) // 2)][:2]:
+            place = np.unravel_index(i, w.shape)
+            old, w[place] = w[place], w[place] + 1e-6
+            up = loss()
+            w[place] = old - 1e-6
+            down = loss()
+            w[place] = old
+            assert (up - down) / 2e-6 == pytest.approx(grad[place], rel=1e-3, abs=1e-6)
+
+
+def test_language_of_a_query_by_plain_loops(spark):
+    """What the query draws, learns from and votes: by loops over rows, windows and places."""
+    rng = random.Random(12)
+    letters = {"xx": "abcdefg", "yy": "efghijk", "zz": "hijklmn"}
+    prose = lambda k, n: " ".join("".join(rng.choice(letters[k]) for _ in range(5)) for _ in range(n))
+    rows = [(i, prose(k, rng.choice([4, 60, 300])), k, "clash", 1.0) for i in range(90) for k in [["xx", "yy", "zz"][i % 3]]]
+    rows += [(200, prose("xx", 5) + " " + prose("yy", 400), None, "c", 1.0), (201, "é" * 3000, "xx", "c", 1.0), (7, rows[7][1], rows[7][2], "c", 1.0), (None, prose("zz", 50), "zz", "c", 1.0), (None, prose("zz", 50), "zz", "c", 1.0), (203, "1 2 3", "yy", "c", 1.0), (204, "", "yy", "c", 1.0), (205, None, "yy", "c", 1.0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, lang_pred string, score double").repartition(3)
+    usable = {(i, t, k) for i, t, k, *_ in rows if (i is None or zlib.crc32(str(i).encode()) % 3 != 1) and k and t and any(map(str.isalpha, t))}
+    drawn = sorted((r.lang, bytes(r.windows)) for r in language.drawn_windows(docs).collect())
+
+    def windows(text):
+        raw = bytes(b + 32 if 65 <= b <= 90 else b for b in text.encode())
+        return [raw[p : p + language.WINDOW].ljust(language.WINDOW) for p in range(0, len(raw), language.WINDOW)]
+
+    want = []
+    for _, t, k in usable:
+        all_ = windows(t)
+        want.append((k, b"".join(all_[j] for j in sorted({int(v) for v in np.linspace(0, len(all_) - 1, language.WINDOWS_PER_DOCUMENT)}))))
+    assert drawn == sorted(want)
+    net = language.fitted(docs)
+    got = sorted(((r.doc_id, r.lang_pred, round(r.score, 4)) for r in language.predicted(docs, net).collect()), key=repr)
+    expected = []
+    for i, t, *_ in rows:
+        if not t or not any(map(str.isalpha, t)):
+            expected.append((i, "und", 0.0))
+            continue
+        votes, size = np.zeros(3), len(t.encode())
+        for n, w in enumerate(windows(t)):
+            pools = []
+            for tables, width in zip(net.tables, language.WIDTHS):
+                at = np.frombuffer(w, np.uint8)
+                pools.append(np.max([sum(tables[j][at[p + j]] for j in range(width)) for p in range(language.WINDOW - width + 1)], axis=0))
+            z = np.concatenate(pools) @ net.out + net.bias
+            votes += np.exp(z - z.max()) / np.exp(z - z.max()).sum() * min(language.WINDOW, size - n * language.WINDOW)
+        expected.append((i, net.labels[int(votes.argmax())], round(float(votes.max() / size), 4)))
+    expected = sorted(expected, key=repr)
+    assert [x[:2] for x in got] == [x[:2] for x in expected]
+    assert np.allclose([x[2] for x in got], [x[2] for x in expected], atol=2e-3)
+
+
 # op2
 
 
@@ -722,3 +802,23 @@ def test_rates_are_exponential_in_size(spark):
     assert np.ptp(tilt) < 1e-9
     words = sum(r._rate * r._size for r in mixing.mix(docs, ("doc_id", "source")).collect() if r.source == "a")
     assert words == pytest.approx(got[0]._target, rel=1e-6)
+
+
+def test_mixing_keeps_columns_with_clashing_names(spark):
+    rows = [(i, "w " * (1 + i % 7), "a" if i % 3 else None, i, f"n{i}", 0.5) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, _size long, _key string, _rate double")
+    out = mixing.copied(docs).collect()
+    assert set(map(tuple, out)) <= set(rows) and mixing.copied(docs).columns == docs.columns
+    copies = {r.doc_id: r._copies for r in mixing.mix(docs.select("doc_id", "text", "source")).collect()}
+    assert {i: sum(r.doc_id == i for r in out) for i in copies} == copies
+
+
+def test_a_target_near_the_most_settles(spark):
+    """Sources whose targets are just under three times their words, with very different sizes."""
+    rows = [(i, "w " * (1 + (i % 5) ** 5), "big" if i % 10 else "small") for i in range(300)] + [(1000 + i, "w " * 3, f"s{i}") for i in range(40)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), ("doc_id", "source")).collect()
+    taken, target, most = {}, {}, {}
+    for r in got:
+        taken[r.source] = taken.get(r.source, 0) + r._copies * r._size
+        target[r.source], most[r.source] = r._target, max(most.get(r.source, 0), r._size)
+    assert all(abs(taken[s] - target[s]) <= most[s] for s in target)

@@ -55,3 +55,19 @@ def test_run(spark, tmp_path):
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert out.select(F.countDistinct("doc_id")).first()[0] <= 12 and out.count() > 0
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality_rules", "ngram_jaccard_join", "suffix_array_dedup", "mix_sources", "best_fit_packing"]
+
+
+def test_stages_on_empty_tables_and_null_sources(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(i, " ".join(f"v{i}x{j % 97}" for j in range(90 + i)), None, None if i % 2 else "s", None) for i in range(8)] + [(None, " ".join(f"null{j}" for j in range(70)), None, None, 1)]
+    for values in ([], rows):
+        docs = spark.createDataFrame(values, schema)
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, docs, str(tmp_path))
+            assert out.columns == docs.columns
+            out.write.parquet(str(tmp_path / f"{name}{len(values)}"))
+            docs = spark.read.schema(docs.schema).parquet(str(tmp_path / f"{name}{len(values)}"))
+            if name != "mix_sources":
+                assert docs.count() == len(values)
+        packed = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
+        assert len({(r.sequence_id, r.offset) for r in packed}) == len(packed) and bool(packed) == bool(values)
