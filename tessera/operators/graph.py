@@ -53,9 +53,11 @@ def depths(edges: DataFrame, roots: DataFrame) -> DataFrame:
         levels_ = LEVELS_AT_ONCE if width <= NARROW else 1
         rows = frontier
         for _ in range(levels_):
-            # what is reached over a node that was seen before has been seen too, so it drops out below
-            step = rows.join(links, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), (F.col("depth") + 1).alias("depth"), F.col("src").alias("parent"))
-            rows = rows.unionByName(step).groupBy("node").agg(F.min(F.struct("depth", "parent")).alias("_x")).select("node", "_x.depth", "_x.parent")
+            # each row and where it leads, in one pass; what is reached over a node that was seen before has been seen too, so it drops out below
+            here = F.struct("node", "depth", F.col("parent").alias("parent"))
+            there = F.when(F.col("dst").isNotNull(), F.struct(F.col("dst").alias("node"), (F.col("depth") + 1).alias("depth"), F.col("src").alias("parent")))
+            led = rows.join(links, F.col("node") == F.col("src"), "left").select(F.explode(F.array_compact(F.array(here, there))).alias("r"))
+            rows = led.groupBy("r.node").agg(F.min(F.struct("r.depth", "r.parent")).alias("_x")).select("node", "_x.depth", "_x.parent")
         found = written(rows.join(seen.select("node"), "node", "left_anti"), "depths")
         depth, tables = depth + levels_, tables + 1
         frontier, seen = found.filter(F.col("depth") == depth), seen.unionByName(found)

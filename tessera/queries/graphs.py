@@ -8,9 +8,9 @@ from tessera.operators import graph
 from tessera.plans.paths import expression
 from tessera.queries.base import Rows, query
 
-DEEP = 100
+DEEP = 75
 #: A chain of DEEP nodes with short cuts to every 50th from the 20 before it, and a ring at its end.
-_CHAIN = f"SELECT printf('n%03d', i) AS src, printf('n%03d', i + 1) AS dst FROM range({DEEP - 1}) t(i) UNION ALL SELECT printf('n%03d', i), printf('n%03d', i + 3) FROM range({DEEP - 3}) t(i) WHERE i % 50 = 20 UNION ALL SELECT printf('n%03d', {DEEP - 1}), 'n090'"
+_CHAIN = f"SELECT printf('n%03d', i) AS src, printf('n%03d', i + 1) AS dst FROM range({DEEP - 1}) t(i) UNION ALL SELECT printf('n%03d', i), printf('n%03d', i + 3) FROM range({DEEP - 3}) t(i) WHERE i % 50 = 20 UNION ALL SELECT printf('n%03d', {DEEP - 1}), 'n060'"
 
 
 def deep_edges(spark):
@@ -18,7 +18,7 @@ def deep_edges(spark):
     i = F.col("id")
     steps = spark.range(DEEP - 1).select(name(i).alias("src"), name(i + 1).alias("dst"))
     cuts = spark.range(DEEP - 3).filter(i % 50 == 20).select(name(i).alias("src"), name(i + 3).alias("dst"))
-    return steps.unionByName(cuts).unionByName(spark.range(1).select(name(F.lit(DEEP - 1)).alias("src"), F.lit("n090").alias("dst")))
+    return steps.unionByName(cuts).unionByName(spark.range(1).select(name(F.lit(DEEP - 1)).alias("src"), F.lit("n060").alias("dst")))
 
 
 def deep_tree(spark):
