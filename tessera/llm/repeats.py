@@ -42,8 +42,8 @@ INDEX_BITS = 21
 BUCKET = 1 << 19
 SYMBOL_BITS = 9
 FIRST = 4
-#: A document's bytes that one call of anchors() takes; longer ones are taken in overlapping parts.
-PART = 1 << 23
+#: A document's bytes that one call of anchors() takes; longer ones are taken in overlapping parts. A call takes some 80 bytes of memory for each.
+PART = 1 << 20
 ANCHOR = "_doc long, _tag long, _start long, _count int, _left int, _seed long, _context long, _check long"
 CONTEXT = ["_seed", "_context", "_check"]
 #: A part of a split anchor has the strings whose reach to the left lies in one block of so many bytes, halved from split to split.

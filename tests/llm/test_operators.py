@@ -310,7 +310,7 @@ def test_weights_are_copies():
 def test_a_very_long_text(spark):
     """Longer than one call of anchors() takes."""
     rng = np.random.default_rng(3)
-    long = bytes(rng.integers(97, 123, repeats.PART + 700_000).astype(np.uint8)).decode()
+    long = bytes(rng.integers(97, 123, 9 * repeats.PART + 700_000).astype(np.uint8)).decode()
     cut = [(5_000, 5_300), (repeats.PART - 150, repeats.PART + 250), (len(long) - 200, len(long))]
     docs = spark.createDataFrame([(0, long), *((1 + i, "ä" * 50 + long[a:b] + "ö") for i, (a, b) in enumerate(cut)), (9, None)], "doc_id long, text string")
     got = {r.doc_id: (r.n_removed, r.n_spans) for r in repeats.cut(docs, with_text=False).collect()}
