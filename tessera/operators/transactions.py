@@ -26,7 +26,7 @@ TRANSITIONS = {
 TERMINAL = ["COMMITTED", "ROLLED_BACK"]
 EFFECTS = ["create", "modify", "move", "delete", "overwrite", "noop"]
 #: A journal's frame: magic, version, kind, sequence, payload length; then payload and CRC-32C of all but the magic.
-FRAME, MAGIC, VERSION = struct.Struct(">4sHHQI"), b"UDJ1", 1
+FRAME, MAGIC, VERSION = struct.Struct(">4sHHQI"), b"UNDO", 1
 PLAN = "txn string, position long, effect string, rollback_bytes long, error string"
 
 
