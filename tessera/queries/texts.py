@@ -271,3 +271,13 @@ def parity_recovered(t, spark, d):
     lost = chunks.filter("stripe = 1 AND chunk = 1 OR stripe = 2 AND chunk = 0").select("stripe", "chunk", F.octet_length("body").alias("size"))
     there = chunks.join(lost.select("stripe", "chunk"), ["stripe", "chunk"], "left_anti")
     return snapshots.recovered(there, parity, lost, ["stripe"], "chunk", "body").select("stripe", "chunk", F.col("body").cast("string").alias("body"))
+
+
+DUPLICATES = Rows("id long, body string, a long, s string", [(1, '{"a": 1, "a": 2}', 2, None), (2, '{"s": "\\ud83d\\ude00", "a": 7}', 7, "😀"), (3, '{"a": 1', None, None), (4, '{"s": "x"}', None, "x")])
+
+
+@query(f"SELECT id, a, s FROM {DUPLICATES}")
+def json_duplicate_keys(t, spark, d):
+    """the last of equal keys wins, surrogate pairs are one character, what is no JSON is null."""
+    parsed = F.from_json("body", "a long, s string")
+    return DUPLICATES.frame(spark).select("id", parsed["a"].alias("a"), parsed["s"].alias("s"))
