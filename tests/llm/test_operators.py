@@ -216,10 +216,11 @@ def test_embeddings(spark, kind, monkeypatch):
     rows += [(0, rows[50][1]), (0, rows[100][1]), (0, rows[0][1]), (7, [1.0, 2.0]), (None, rows[60][1]), (None, [0.0, 3.0, 4.0]), (None, [0.0, 3.0, 4.0]), (None, None)]
     # columns whose names clash with the operator's own
     frame = spark.createDataFrame([(*r, "x", 1, 2.0) for r in rows], f"vec_id long, embedding array<{kind}>, key string, rep int, unit double").repartition(4)
-    got = sorted(((r.vec_id, r.n_links, r.component_id) for r in embeddings.near_duplicates(frame, block=32).collect()), key=repr)
+    found = embeddings.near_duplicates(frame, block=32).collect()
+    got = sorted(((r.vec_id, r.n_links, r.component_id) for r in found), key=repr)
     want = brute_links(rows)
     assert sum(n for _, n, _ in want) > 20_000 and got == sorted(want, key=repr)
-    assert all(r.kept == (r.vec_id == r.component_id) for r in embeddings.near_duplicates(frame, block=32).collect())
+    assert all(r.kept == (r.vec_id == r.component_id) for r in found)
     assert embeddings.near_duplicates(frame.limit(0)).count() == 0
 
 
