@@ -13,8 +13,8 @@ classes link when 9 * intersection >= 4 * (sum of sizes), which is a Jaccard ind
 Hot groups, and candidates that fill several blocks, are dealt to parts by hash, and a few pivots go to all parts: a family of near
 copies is one component after each part has been settled by itself. Only what is not of a group's largest component then
 visits the other parts, in parts of its own, so every pair that a chain doesn't join yet still meets, and a family costs no pairs of parts.
-Copies send one row a task. Common shingles are those of a share of all sets, so their number is bounded by the sets' mean
-size whatever the corpus's; they only set the order.
+Copies send one row a task. Common shingles, of passages that many documents hold, come last in the order, so a passage makes no group of all
+its documents, which would grow with the square of the corpus. They only set the order; there are MOST_COMMON of them at most.
 
 Edge cases: a null text and one without words have the empty set, link with nothing and are their own component. Rows with one
 doc_id stay rows; their component is that of their own text. A null doc_id has the least id of its component, or null.
@@ -45,8 +45,11 @@ DENSE = 8
 LEAF = 16
 #: Rows of a part of a hot group (one of more than twice as many), and shingles of a block.
 PART, BLOCK = 512, 800_000
-#: A shingle is common if this share of all different sets has it, counted in the batches that have it so often.
-COMMON_IN_BATCH, COMMON_SHARE = 4, 0.002
+#: A shingle is common if so many different sets have it (whatever the corpus), and it is one of the most frequent ones. It is known by so many leading bits.
+COMMON_IN_BATCH, MOST_COMMON = 64, 250_000
+COUNTED_BITS = 36
+#: Shingles whose counts a task holds before it sends them.
+COUNTED_AT_ONCE = 4_000_000
 PIVOTS = 8
 
 
@@ -66,10 +69,11 @@ def prefix_size(n: int) -> int:
 
 
 def common_last(x: np.ndarray, common: np.ndarray) -> np.ndarray:
-    """The first prefix_size() shingles in hash order, common ones after all others."""
+    """The first prefix_size() shingles in hash order, common ones (their leading bits) after all others."""
     n = prefix_size(len(x))
     if len(common):
-        late = common[np.minimum(np.searchsorted(common, x), len(common) - 1)] == x
+        lead = x >> np.uint64(64 - COUNTED_BITS)
+        late = common[np.minimum(np.searchsorted(common, lead), len(common) - 1)] == lead
         if late[:n].any():
             x = np.concatenate([x[~late], x[late]])
     return x[:n]
@@ -95,27 +99,73 @@ def bounded(a: np.ndarray, b: np.ndarray, n: int) -> bool:
     return 9 * int(np.minimum(folded(a, slots), folded(b, slots)).sum()) >= 4 * n
 
 
+def counts_packed(values: np.ndarray, counts: np.ndarray) -> bytes:
+    """Ascending values below 2**32 and their counts, by differences and byte planes."""
+    planes = np.concatenate([np.diff(values, prepend=values[:1] * 0), counts]).astype("<u4").view(np.uint8).reshape(-1, 4).T
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def counts_unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    both = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(4, -1).T.copy().view("<u4").ravel().astype(np.uint64)
+    return np.cumsum(both[: len(both) // 2], dtype=np.uint64), both[len(both) // 2 :]
+
+
 def common_shingles(docs: DataFrame) -> np.ndarray:
-    """Sorted shingles that COMMON_SHARE of the batches' different sets have; counted over all documents. No more than mean set size / COMMON_SHARE."""
+    """Sorted leading COUNTED_BITS of the shingles that COMMON_IN_BATCH different sets or more have, of the MOST_COMMON most frequent.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    All shingles of all documents are counted: each task sends its counts by ranges of the hash, packed, and a range's counts meet in one task.
+    Copies count once a task.
+    """
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    low = np.uint64(COUNTED_BITS - max(4, (2 * partitions - 1).bit_length()))  # bits within a range
+
+    def counted(parts: list[np.ndarray]) -> pa.RecordBatch:
+        every = np.sort(np.concatenate(parts))
+        cut = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
+        counts, every = np.diff(np.append(cut, len(every))), every[cut]
+        ranges = every >> low
+        begin = np.flatnonzero(np.concatenate([[True], ranges[1:] != ranges[:-1]]))
+        end = np.append(begin[1:], len(every))
+        inner = every & np.uint64((1 << int(low)) - 1)
+        blobs = [counts_packed(inner[a:b], counts[a:b]) for a, b in zip(begin.tolist(), end.tolist())]
+        return pa.record_batch({"key": pa.array(ranges[begin].astype(np.int64)), "counts": pa.array(blobs, pa.binary())})
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        held: list[np.ndarray] = []
+        size = 0
         for batch in few_rows(batches, 2500):
             raw, at = text_bytes(text_column(batch))
-            distinct = {class_id(x): x for x in shingle_sets(raw, at) if len(x)}
-            every = np.sort(np.concatenate(list(distinct.values()) or [np.zeros(0, np.uint64)]))
-            if not len(every):
-                continue
-            cut = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
-            n = np.diff(np.append(cut, len(every)))
-            often = n >= COMMON_IN_BATCH
-            h = pa.array(every[cut[often]].view(np.int64))
-            yield pa.record_batch({"h": pa.concat_arrays([h, pa.nulls(1, pa.int64())]), "n": pa.array(np.append(n[often], len(distinct)))})
-
-    # the row of a null holds the number of sets
-    found = written(docs.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "common")
-    sets = found.filter("h is null").first()
-    rows = found.filter("h is not null").filter(F.col("n") >= COMMON_SHARE * sets.n).select("h").collect() if sets else []
-    return np.sort(np.array([r.h for r in rows], np.int64).view(np.uint64))
+            for x in shingle_sets(raw, at):
+                if len(x) and (rid := class_id(x)) not in seen:
+                    seen.add(rid)
+                    held.append(x >> np.uint64(64 - COUNTED_BITS))
+                    size += len(x)
+                    if size > COUNTED_AT_ONCE:
+                        yield counted(held)
+                        held, size = [], 0
+        if held:
+            yield counted(held)
+        held = []
+        give_back()
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in runs_of(batches):
+            values, counts = (np.concatenate(x) for x in zip(*(counts_unpacked(b.as_py()) for b in table.column(1))))
+            order = np.argsort(values, kind="stable")
+            values = values[order]
+            cut = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
+            n = np.add.reduceat(counts[order], cut)
+            often = np.flatnonzero(n >= COMMON_IN_BATCH)
+            if len(often):
+                h = (np.uint64(table.column(0)[0].as_py()) << low) + values[cut[often]]
+                yield pa.record_batch({"h": pa.array(h.astype(np.int64)), "n": pa.array(n[often].astype(np.int64))})
+        give_back()
+
+    sent = docs.select("text").mapInArrow(count, "key long, counts binary")
+    found = written(sent.repartition("key").sortWithinPartitions("key").mapInArrow(add, "h long, n long"), "common")
+    rows = found.orderBy(F.desc("n"), "h").limit(MOST_COMMON).select("h").toArrow()
+    return np.sort(rows.column(0).to_numpy().astype(np.uint64))
 
 
 def described(docs: DataFrame, common: np.ndarray) -> DataFrame:
@@ -298,10 +348,15 @@ def candidates(groups: DataFrame, classes: DataFrame) -> DataFrame:
                 vectors = np.stack([folded(v) for v in fine])
                 tree, forest = CountTree(n, vectors), Forest()
                 joined_by(rids, forest)  # who visits his own part is there twice
+                apart = len({forest.root(k) for k in range(len(rids))})
                 for k in range(len(rids)):
                     if home[k]:
                         continue
-                    out += [(rids[k], rids[j]) for j in tree.near(int(n[k]), vectors[k]).tolist() if forest.root(j) != forest.root(k) and bounded(fine[k], fine[j], int(n[k] + n[j])) and forest.join(k, j)]
+                    if apart == 1:
+                        break
+                    links = [(rids[k], rids[j]) for j in tree.near(int(n[k]), vectors[k]).tolist() if forest.root(j) != forest.root(k) and bounded(fine[k], fine[j], int(n[k] + n[j])) and forest.join(k, j)]
+                    apart -= len(links)
+                    out += links
             if len(out) > 20_000:
                 yield links_batch(out)
                 out = []
@@ -356,10 +411,13 @@ def verified(members: DataFrame) -> DataFrame:
             distinct, codes = np.unique(np.concatenate(sets), return_inverse=True)
             tree, forest, mark, out = CountTree(n, vectors), Forest(), np.zeros(len(distinct), bool), []
             joined_by(roots, forest)
+            apart = len({forest.root(k) for k in range(len(rids))})
             del sets, raw
             for k in range(len(rids)):
                 if home[k]:
                     continue
+                if apart == 1:
+                    break
                 root = forest.root(k)
                 near = [j for j in tree.near(int(n[k]), vectors[k]).tolist() if forest.root(j) != root]
                 if not near:
@@ -369,6 +427,7 @@ def verified(members: DataFrame) -> DataFrame:
                 for j in near:
                     if forest.root(j) != forest.root(k) and 9 * int(np.count_nonzero(mark[codes[begin[j] : begin[j] + n[j]]])) >= 4 * int(n[k] + n[j]):
                         forest.join(k, j)
+                        apart -= 1
                         out.append((rids[k], rids[j]))
                 mark[own] = False
             if out:

@@ -735,6 +735,31 @@ def test_jaccard(spark, monkeypatch, small):
         assert jaccard.near_duplicates(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("most", [1000, 7])
+def test_jaccard_counts_common_shingles_over_all_tasks(spark, monkeypatch, most):
+    """A passage that few documents of any batch hold, and more in all, makes no group."""
+    monkeypatch.setattr(jaccard, "COMMON_IN_BATCH", 3)
+    monkeypatch.setattr(jaccard, "MOST_COMMON", most, raising=False)
+    monkeypatch.setattr(jaccard, "COUNTED_AT_ONCE", 100, raising=False)
+    rng = random.Random(4)
+    passage = " ".join(f"p{i}" for i in range(30))
+    rows = [(k, " ".join([f"w{rng.random()}" for _ in range(120)] + [passage] * (k % 4 == 0))) for k in range(40)]
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, 40), "doc_id long, text string")
+    common = jaccard.common_shingles(docs)
+    assert len(common) == min(most, 26)
+    grouped = jaccard.prefix_tokens(jaccard.described(docs, common)).groupBy("token").count().filter("count > 1").count()
+    assert grouped == 0 if most > 26 else grouped <= 26 - most
+    assert all(r.component_id == r.doc_id for r in jaccard.near_duplicates(docs).collect())
+
+
+def test_jaccard_packed_counts_come_back():
+    rng = np.random.default_rng(3)
+    for values in (np.unique(rng.integers(0, 1 << 32, 500, np.uint64)), np.array([0], np.uint64), np.array([(1 << 32) - 1], np.uint64)):
+        counts = rng.integers(1, 1 << 20, len(values)).astype(np.uint64)
+        got = jaccard.counts_unpacked(jaccard.counts_packed(values, counts))
+        assert np.array_equal(got[0], values) and np.array_equal(got[1], counts)
+
+
 def test_jaccard_shared_and_null_ids(spark):
     long = " ".join(WORDS[:60])
     rows = jaccard.near_duplicates(documents(spark, [long, long, "other text of five words", None], [7, None, 7, 8])).collect()
